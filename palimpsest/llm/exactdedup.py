@@ -45,3 +45,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     groups = same_prefix.groupBy("n_bytes", "prefix_hash", "text_sha256").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("text_sha256", "top", "n")
     keep = F.coalesce("top", "doc_id")
     return rows.join(groups, "text_sha256", "left").select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == keep).alias("kept"), "text_sha256")
+
+
+def keep_last_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)``, all columns, that stay; see exact_duplicates()."""
+    dropped = exact_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -21,8 +21,9 @@ MAX_LANGUAGES = 200
 
 LEVEL = 3
 BLOCK_BYTES = 4 << 10
+SHORT_BYTES = 80
 #: A text is rejected if the second smallest encoding is larger by less than this share of the smallest.
-MIN_MARGIN = 0.002
+MIN_MARGIN = 0.0005
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -66,14 +67,16 @@ class Compressors:
         self.content = [f"\n{c.decode('utf-8', 'ignore')} ".replace("\n", " ") for c in dictionaries.values()]
 
     def sizes(self, text: str) -> list[float]:
-        """Encoded bytes in all; equal sizes are told apart by how many words the dictionary holds whole."""
+        """Encoded bytes in all. A few words leave too few bytes to tell by, so there, and where the smallest
+        sizes are equal, the share of words that a dictionary holds whole counts as well."""
         body = text.encode()
         blocks = [body[k : k + BLOCK_BYTES] for k in range(0, len(body), BLOCK_BYTES)]
         total = [float(sum(len(encode(b)) for b in blocks)) for encode in self.encoders]
         best = min(total)
-        if sum(x == best for x in total) > 1:
+        if len(body) < SHORT_BYTES or sum(x == best for x in total) > 1:
             words = text.split()[:64]
-            total = [x - (0.5 * sum(f" {w} " in c for w in words) / len(words) if x == best else 0) for x, c in zip(total, self.content, strict=True)]
+            bonus = 2.0 if len(body) < SHORT_BYTES else 0.5
+            total = [x - bonus * sum(f" {w} " in c for w in words) / len(words) for x, c in zip(total, self.content, strict=True)]
         return total
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
@@ -110,3 +113,16 @@ def identify(docs: DataFrame, train: DataFrame, min_margin: float = MIN_MARGIN,
 
     found = keyed_texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, margin double")
     return found.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < min_margin))
+
+
+def keep_identified(docs: DataFrame, train: DataFrame, min_margin: float = MIN_MARGIN, **bounds) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)``, all columns, whose language is not rejected; see identify()."""
+    dictionaries = build_dictionaries(sample_texts(train, **bounds))
+
+    def run(batches):
+        compressors = Compressors(dictionaries)
+        for batch in batches:
+            found = [compressors.predict(t) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and margin >= min_margin for lang, _, margin in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

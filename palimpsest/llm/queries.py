@@ -24,6 +24,32 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.toxicity import score_toxicity
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, docs.filter(~held_out("doc_id")), read_table(spark, sf_dir, "labels").filter(~held_out("doc_id")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.decontam import contamination
+
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.htmlextract import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.simhash import near_duplicates
 
@@ -38,7 +64,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_exact_dedup, op9_simhash_near_dedup, op10_url_filter)
+    for f in (
+        op1_language_id,
+        op2_exact_dedup,
+        op3_toxicity,
+        op5_benchmark_decontamination,
+        op6_html_extraction,
+        op8_curve_packing,
+        op9_simhash_near_dedup,
+        op10_url_filter,
+    )
 }
 
 ORACLE: dict[str, str] = {
