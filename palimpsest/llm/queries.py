@@ -32,6 +32,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.suffixdedup import repeated_substrings
+
+    return repeated_substrings(read_table(spark, sf_dir, "documents"), span=50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.decontam import contamination
 
@@ -44,6 +50,12 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read_table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.substrdedup import repeated_windows
+
+    return repeated_windows(read_table(spark, sf_dir, "documents"), width=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.packing import pack
 
@@ -68,8 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_language_id,
         op2_exact_dedup,
         op3_toxicity,
+        op4_suffix_array_dedup,
         op5_benchmark_decontamination,
         op6_html_extraction,
+        op7_substring_dedup,
         op8_curve_packing,
         op9_simhash_near_dedup,
         op10_url_filter,
