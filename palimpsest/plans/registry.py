@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from palimpsest.plans import evaluation, lineage, ranking, records, scalars, segments  # noqa: F401  they register
+from palimpsest.plans.common import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
