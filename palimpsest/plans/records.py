@@ -105,10 +105,10 @@ def caption_folding(spark, sf):
 
 
 @register("U2_current_records", """
-WITH d AS (SELECT event_id AS seq, epoch(ts)::BIGINT AS "at",
+WITH d AS (SELECT event_id AS seq, floor(epoch(ts))::BIGINT AS "at",
     CASE WHEN event_id % 4 < 2 THEN 'add' WHEN event_id % 4 = 2 THEN 'update' ELSE 'delete' END AS op,
     CASE WHEN event_id % 4 < 3 THEN event_id END AS id, CASE WHEN event_id % 4 >= 2 THEN event_id - (event_id % 4) - 4 * (event_id % 3) END AS target,
-    epoch(ts)::BIGINT + 60 AS t_valid FROM events),
+    floor(epoch(ts))::BIGINT + 60 AS t_valid FROM events),
 e AS (SELECT target AS id, seq, CASE WHEN op = 'update' THEN t_valid ELSE "at" END AS t_invalid FROM d WHERE op IN ('update', 'delete')),
 f AS (SELECT id, arg_min(t_invalid, seq) AS t_invalid FROM e GROUP BY id)
 SELECT d.id, d.seq, d.t_valid, f.t_invalid FROM d LEFT JOIN f ON d.id = f.id WHERE d.op IN ('add', 'update')""")

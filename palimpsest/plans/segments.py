@@ -21,7 +21,7 @@ def by_cap(spark, sf):
 
 
 @register("W1_episodes_by_gap", """
-WITH g AS (SELECT user_id, event_id, ts, coalesce((epoch(ts)::BIGINT - epoch(lag(ts) OVER w)::BIGINT > 3600)::INT, 0) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+WITH g AS (SELECT user_id, event_id, ts, coalesce((floor(epoch(ts))::BIGINT - floor(epoch(lag(ts) OVER w))::BIGINT > 3600)::INT, 0) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, event_id, (sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS episode FROM g""")
 def by_gap(spark, sf):
     from pyspark.sql import Window
