@@ -37,13 +37,13 @@ _CLASS[128:] = 27
 
 #: Letters that a character resembles.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c"}
-MARKS = frozenset(".,;:-_*'`\"~^=/\\#%&()[]{}<>?!|+$@°·•")
+MARKS = frozenset("!|+$@(<€£")
 _EDGE_MARKS = ".,;:?\"'[]{}*#%&^~`/\\-_=…«»¡¿“”„‘’)>"
 _EDGE_RUNS = re.compile(r"^([(<!|+$@])\1+|([(<!|+$@])\2+$|!+$|^\(|\($")
 _REPEAT = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 
-LEET_COST, SKIP_COST, REPEAT_COST, DOUBLE_COST = 1.0, 0.7, 0.1, 3.0
+LEET_COST, SKIP_COST, DROP_COST, REPEAT_COST, DOUBLE_COST = 0.5, 0.7, 5.0, 0.1, 3.0
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
@@ -105,8 +105,10 @@ class Restorer:
                 steps += [(letter, LEET_COST) for letter in LEET.get(ch, "")]
                 if run > 1 and ch in LEET:
                     steps.append(("", REPEAT_COST if run > 2 or token[k + 1 : k + 2] == ch else DOUBLE_COST))
-                if ch in MARKS or ch not in LEET:
+                if ch not in LEET:
                     steps.append(("", SKIP_COST))
+                elif ch in MARKS:  # dearer than a letter usually is, or dropping it would always win
+                    steps.append(("", DROP_COST))
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, text) in states.items():
                 for letter, extra in steps:
