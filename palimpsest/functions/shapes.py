@@ -67,7 +67,7 @@ def is_enumeration_question(text: Column) -> Column:
     rest = after_wh(words)
     aux_at = _first(F.slice(rest, 1, SPAN_WORDS + 1), AUXILIARIES)
     span = F.slice(rest, 1, F.greatest(F.lit(0), aux_at - 1))
-    word = lambda k: F.coalesce(F.try_element_at(rest, k), F.lit(""))
+    word = lambda k: F.coalesce(F.try_element_at(rest, F.lit(k)), F.lit(""))
     of_at = _first(span, ("of",))
     before_of = F.coalesce(F.try_element_at(span, F.greatest(F.lit(1), of_at - 1)), F.lit(""))
     head = F.when((of_at > 1) & ~before_of.isin(*KIND_WORDS), before_of).otherwise(F.coalesce(F.try_element_at(span, F.lit(-1)), F.lit("")))

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Whitespace as Unicode has it, and ASCII punctuation.
 SPACES = r"(?U)\s+"
@@ -179,6 +180,6 @@ def phrases_of(text: str | None) -> list[str]:
     return sorted(p for p in found if len(p) >= 2 and p not in PHRASE_STOPWORDS)[:MAX_PHRASES]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def phrases(text: pd.Series) -> pd.Series:
     return text.map(phrases_of)

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_QUERY = Window.partitionBy("query_id")
+def _per_query():
+    return Window.partitionBy("query_id")
+
 TRUST_ORDER = ("verified", "asserted", "untrusted", "quarantined")
 
 
@@ -23,7 +25,7 @@ def distinct_texts(ranked: DataFrame) -> DataFrame:
 def untrusted_ceiling(ranked: DataFrame, most: int) -> DataFrame:
     """At most ``most`` untrusted rows, the best ranked."""
     untrusted = (F.col("trust_tier") == "untrusted").cast("int")
-    so_far = F.sum(untrusted).over(PER_QUERY.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    so_far = F.sum(untrusted).over(_per_query().orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("so_far", so_far).filter((F.col("trust_tier") != "untrusted") | (F.col("so_far") <= most)).drop("so_far")
 
 
@@ -31,7 +33,7 @@ def kind_quota(ranked: DataFrame, kind: str, reserved: int) -> DataFrame:
     """The first ``reserved`` rows of a kind go first; nothing is dropped. Gives ``position``."""
     nth = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("rank"))
     late = ~((F.col("kind") == kind) & (F.col("nth") <= reserved))
-    return ranked.withColumn("nth", nth).withColumn("late", late).withColumn("position", F.row_number().over(PER_QUERY.orderBy("late", "rank"))).drop("nth", "late")
+    return ranked.withColumn("nth", nth).withColumn("late", late).withColumn("position", F.row_number().over(_per_query().orderBy("late", "rank"))).drop("nth", "late")
 
 
 def within_budget(ranked: DataFrame, k: int = 6, max_tokens: int = 2048) -> DataFrame:
@@ -118,7 +120,7 @@ def drop_near_kept(ranked: DataFrame, bound: float = 0.93) -> DataFrame:
 
 def bookend(kept: DataFrame, column: str = "position") -> DataFrame:
     """Best first and last, worst in the middle: 1, 3, 5, ..., 6, 4, 2. Gives ``slot``."""
-    n = F.count(F.lit(1)).over(PER_QUERY)
+    n = F.count(F.lit(1)).over(_per_query())
     r = F.col(column)
     slot = F.when(r % 2 == 1, (r + 1) / 2).otherwise(n + 1 - r / 2)
     return kept.withColumn("slot", slot.cast("int"))
@@ -126,7 +128,7 @@ def bookend(kept: DataFrame, column: str = "position") -> DataFrame:
 
 def timeline(kept: DataFrame, day: str = "day") -> DataFrame:
     """One line a query: days from the first, in order of the day and id."""
-    first = F.min(day).over(PER_QUERY)
+    first = F.min(day).over(_per_query())
     dated = kept.withColumn("offset", F.datediff(day, first))
     line = F.struct(F.col(day).alias("d"), F.col("id").cast("string").alias("k"), F.concat(F.lit("+"), F.col("offset").cast("string"), F.lit("d "), F.col("id").cast("string")).alias("line"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "; ")

@@ -39,7 +39,7 @@ def hard_delete(seeds: DataFrame, edges: DataFrame, tables: dict[str, tuple[Data
     left = {}
     for name, (table, columns) in tables.items():
         for column in columns:
-            table = table.join(gone.withColumnRenamed("id", column), column, "left_anti")
+            table = table.join(gone.withColumnRenamed("id", column), column, "left_anti").select(*table.columns)
         left[name] = table
     return gone, left
 

@@ -9,18 +9,17 @@ from palimpsest.operators import ledger, predicates
 from palimpsest.plans.common import ADMISSIBLE_SQL, NOW, RECORDS_SQL, T0, records, register, table
 
 _R = f"WITH r AS ({RECORDS_SQL})"
-_NOW = F.lit(NOW)
 
 
 @register("F1_admissible", f"{_R} SELECT id, namespace, trust_tier FROM r WHERE {ADMISSIBLE_SQL}")
 def admissible(spark, sf):
-    return records(spark, sf).filter(predicates.admissible(_NOW)).select("id", "namespace", "trust_tier")
+    return records(spark, sf).filter(predicates.admissible(F.lit(NOW))).select("id", "namespace", "trust_tier")
 
 
 @register("F2_scope_newest", f"{_R} SELECT id, kind, t_ingested FROM r WHERE tenant = 'src1' AND kind IN ('semantic', 'event', 'episodic') AND {ADMISSIBLE_SQL} ORDER BY t_ingested DESC, id LIMIT 20")
 def scope_newest(spark, sf):
     scope = predicates.in_scope("src1", kinds=("semantic", "event", "episodic"))
-    return predicates.newest(records(spark, sf).filter(scope & predicates.admissible(_NOW)).select("id", "kind", "t_ingested"), 20)
+    return predicates.newest(records(spark, sf).filter(scope & predicates.admissible(F.lit(NOW))).select("id", "kind", "t_ingested"), 20)
 
 
 @register("F4_meta_filter", "SELECT event_id FROM events WHERE event_type = 'click' AND try_cast(json_extract_string(props, '$.k') AS BIGINT) >= 10 AND try_cast(json_extract_string(props, '$.k') AS BIGINT) < 60")
@@ -40,12 +39,12 @@ def kind_in(spark, sf):
 
 @register("F7_namespace_counts", f"{_R} SELECT namespace, count(*) AS n FROM r WHERE {ADMISSIBLE_SQL} GROUP BY namespace")
 def namespace_counts(spark, sf):
-    return predicates.namespace_counts(records(spark, sf).filter(predicates.admissible(_NOW)))
+    return predicates.namespace_counts(records(spark, sf).filter(predicates.admissible(F.lit(NOW))))
 
 
 @register("F8_source_prefix", f"{_R} SELECT id, prov_source FROM r WHERE starts_with(prov_source, 'src1:') AND {ADMISSIBLE_SQL}")
 def source_prefix(spark, sf):
-    return records(spark, sf).filter(predicates.admissible(_NOW) & F.col("prov_source").startswith("src1:")).select("id", "prov_source")
+    return records(spark, sf).filter(predicates.admissible(F.lit(NOW)) & F.col("prov_source").startswith("src1:")).select("id", "prov_source")
 
 
 @register("F9_state_search", "SELECT page_id, url FROM pages WHERE contains(lower(url), 'blog.') OR contains(lower(html), 'track(7)') ORDER BY page_id LIMIT 100")
@@ -67,7 +66,7 @@ def missing_provenance(spark, sf):
 @register("F12_visible_kind_days", f"{_R} SELECT id, t_valid FROM r WHERE kind = 'event' AND {ADMISSIBLE_SQL} AND t_valid BETWEEN {T0 + 5 * 86400} AND {T0 + 9 * 86400}")
 def visible_kind_days(spark, sf):
     days = F.col("t_valid").between(T0 + 5 * 86400, T0 + 9 * 86400)
-    return records(spark, sf).filter(predicates.admissible(_NOW) & (F.col("kind") == "event") & days).select("id", "t_valid")
+    return records(spark, sf).filter(predicates.admissible(F.lit(NOW)) & (F.col("kind") == "event") & days).select("id", "t_valid")
 
 
 @register("P2_preview", "SELECT doc_id, left(text, 180) AS preview FROM documents")
