@@ -163,9 +163,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, pair_limit:
     degree = ends.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     classes = distinct.join(roots, distinct.first_id == roots.node).join(degree, "fp", "left").select("fp", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return each.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"), "n_links")
-
-
-def keep_one_of_each(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of ``docs(doc_id, text, ...)``, all columns, with the least doc_id of their component."""
-    dropped = near_duplicates(docs, width, seed).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

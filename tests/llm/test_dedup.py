@@ -8,7 +8,8 @@ import xxhash
 
 from palimpsest.llm.common import connected_components
 from palimpsest.llm.exactdedup import exact_duplicates, keep_last_copies
-from palimpsest.llm.simhash import decode, fingerprint, keep_one_of_each, near_duplicates, near_pairs, nearby_codewords, shingle_hashes
+from palimpsest.llm.shingles import keep_one_of_each, prefix, shingle_set, similar_pairs
+from palimpsest.llm.simhash import decode, fingerprint, near_duplicates, near_pairs, nearby_codewords, shingle_hashes
 from palimpsest.llm.substrdedup import repeated_windows
 from palimpsest.llm.suffixdedup import repeated_substrings
 
@@ -63,7 +64,6 @@ def test_simhash(docs, rows, no_docs):
     got = {r.doc_id: r for r in near_duplicates(docs).collect()}
     assert {i: r.component_id for i, r in got.items()} == want
     assert all(r.fingerprint == f"{prints[i]:016x}" for i, r in got.items())
-    assert {r.doc_id for r in keep_one_of_each(docs).collect()} == set(want.values())
     assert near_duplicates(no_docs).count() == 0
 
 
@@ -163,3 +163,37 @@ def test_substrings_of_many_contexts(spark):
                 gone[k : k + 50] = [True] * 50
         seen.update(text[k : k + 50] for k in range(len(text) - 49))
         assert got[i].n_removed == sum(gone)
+
+
+def test_similar_pairs(spark, docs, rows, no_docs):
+    """Families of edited copies against all pairs; the groups are whole, and no pair is false."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    texts = {}
+    for family in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(8, 150))]
+        for _ in range(rng.choice([1, 2, 3, 5, 14])):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts[len(texts)] = f"{' '.join(copy)}"
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {i: set(shingle_set(t.encode(), 5).tolist()) for i, t in texts.items()}
+    true = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = {(r.u, r.v) for r in similar_pairs(frame).collect()}
+    assert got <= true and len(true) > 20
+    link = lambda pairs: components(sorted(texts), lambda a, b: (min(a, b), max(a, b)) in pairs)
+    assert link(got) == link(true)
+    near = {i: brute_fingerprint(t) for i, t in texts.items()}
+    both = true | {(a, b) for a in near for b in near if a < b and (near[a] ^ near[b]).bit_count() <= 2}
+    assert {r.doc_id for r in keep_one_of_each(frame).collect()} == set(link(both).values())
+    assert keep_one_of_each(docs).columns == docs.columns and keep_one_of_each(no_docs).count() == 0
+
+
+def test_prefix_puts_common_shingles_last():
+    import numpy as np
+
+    h = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], np.uint64)
+    assert prefix(h, 0.8, np.empty(0, np.uint64)).tolist() == [1, 2, 3]
+    assert prefix(h, 0.8, np.array([1, 3, 99], np.uint64)).tolist() == [2, 4, 5]
+    assert prefix(h[:1], 0.8, h).tolist() == [1] and not len(prefix(h[:0], 0.8, h))
