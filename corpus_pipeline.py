@@ -15,7 +15,7 @@ from palimpsest.llm.decontam import keep_clean
 from palimpsest.llm.exactdedup import keep_last_copies
 from palimpsest.llm.langid import keep_identified
 from palimpsest.llm.packing import pack
-from palimpsest.llm.simhash import keep_one_of_each
+from palimpsest.llm.shingles import keep_one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the row with the least doc_id."""
+    """Of each group of near-duplicates, by fingerprints and by verified five-word shingles, the least doc_id."""
     return keep_one_of_each(docs)
 
 
