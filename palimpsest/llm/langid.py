@@ -19,8 +19,9 @@ SAMPLE_CHARS = 1500
 DICTIONARY_BYTES = 112 << 10
 MAX_LANGUAGES = 200
 
-LEVEL = 3
-BLOCK_BYTES = 4 << 10
+#: Matches from four bytes on: the languages' syllables are short.
+SEARCH = {"window_log": 18, "hash_log": 17, "chain_log": 17, "search_log": 4, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
+BLOCK_BYTES = 1 << 10
 SHORT_BYTES = 80
 #: A text is rejected if the second smallest encoding is larger by less than this share of the smallest.
 MIN_MARGIN = 0.0005
@@ -62,8 +63,9 @@ class Compressors:
         self.encoders = []
         for content in dictionaries.values():
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.encoders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            search = zstandard.ZstdCompressionParameters(write_content_size=0, write_checksum=0, write_dict_id=0, **SEARCH)
+            d.precompute_compress(compression_params=search)
+            self.encoders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=search).compress)
         self.content = [f"\n{c.decode('utf-8', 'ignore')} ".replace("\n", " ") for c in dictionaries.values()]
 
     def sizes(self, text: str) -> list[float]:
