@@ -24,6 +24,8 @@ TRAIN_ROWS = 20_000
 MAX_FEATURES = 20_000
 MIN_POSITIVE = 4
 MIN_PRECISION = 0.5
+#: Weight from which a single word is a sure sign.
+STRONG = 0.96
 PREFIXES = range(4, 10)
 THRESHOLD = 0.7
 READINGS = 8
@@ -123,9 +125,9 @@ class Restorer:
         ends = sorted((cost + self.costs[a][b][0], text) for (a, b), (cost, text) in states.items())
         return [text for _, text in ends[:READINGS] if text]
 
-    def tokens(self, text: str) -> set[str]:
-        """Distinct tokens; letters spaced out also stand together as one more token each."""
-        found = set(text.split())
+    def tokens(self, text: str) -> Counter:
+        """Tokens and how often they occur; letters spaced out also stand together as one more token each."""
+        found = Counter(text.split())
         found.update(m[0].replace(" ", "").replace("\t", "") for m in _SPACED.finditer(text))
         return found
 
@@ -166,10 +168,11 @@ def fit_weights(docs: DataFrame, labels: DataFrame, restorer: Restorer, rows: in
 
 
 class Scorer:
-    """1 - the product over a text's distinct words of 1 - weight: one sure word is enough."""
+    """What a text's weighted words say: how many are sure signs, and how many, how often and how densely the
+    weaker ones stand. ``calibration`` weighs these five figures and a constant into a probability."""
 
-    def __init__(self, restorer: Restorer, weights: dict[str, float]):
-        self.restorer, self.weights = restorer, weights
+    def __init__(self, restorer: Restorer, weights: dict[str, float], calibration: list[float] | None = None):
+        self.restorer, self.weights, self.calibration = restorer, weights, calibration
         self.known: dict[str, tuple[str, float] | None] = {}
 
     def _weigh(self, token: str) -> tuple[str, float] | None:
@@ -182,30 +185,69 @@ class Scorer:
             self.known[token] = best
         return best
 
-    def score(self, text: str) -> float:
-        known, hits = self.known, {}
-        for token in self.restorer.tokens(text):
+    def figures(self, text: str) -> list[float]:
+        known, strong, weak, occurrences, total = self.known, set(), set(), 0, 0
+        for token, n in self.restorer.tokens(text).items():
+            total += n
             hit = known[token] if token in known else self._weigh(token)
-            if hit:
-                hits[hit[0]] = hit[1]
-        clean = math.prod(1.0 - p for p in sorted(hits.values()))
-        return round(1.0 - clean, 9)
+            if hit and hit[1] >= STRONG:
+                strong.add(hit[0])
+            elif hit:
+                weak.add(hit[0])
+                occurrences += n
+        return [min(len(strong), 3), math.log1p(len(weak)), math.log1p(occurrences), min(5.0, 100 * occurrences / max(1, total)), math.log1p(total) / 5, 1.0]
+
+    def score(self, text: str) -> float:
+        if not self.calibration:
+            return 0.0
+        logit = sum(w * x for w, x in zip(self.calibration, self.figures(text), strict=True))
+        return round(1 / (1 + math.exp(-max(-500.0, min(500.0, logit)))), 9)
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
+    """Ridge logistic regression by Newton steps."""
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return [round(v, 9) for v in w.tolist()]
+
+
+def fit_calibration(train: DataFrame, labels: DataFrame, restorer: Restorer, weights: dict[str, float], rows: int = TRAIN_ROWS) -> list[float] | None:
+    """How the figures of the sampled texts tell their labels; None without weights or with one class only."""
+    if not weights:
+        return None
+
+    def run(batches):
+        scorer = Scorer(restorer, weights)
+        for batch in batches:
+            found = [scorer.figures(t or "") for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.list_(pa.float64())), batch.column("toxic")], names=["doc_id", "x", "toxic"])
+
+    sample = labelled_sample(train, labels, rows).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    found = sorted(sample.mapInArrow(run, "doc_id long, x array<double>, toxic int").collect())  # bounded by the sample
+    y = np.array([float(r["toxic"] > 0) for r in found])
+    return fit_logistic(np.array([r["x"] for r in found]), y) if 0 < y.sum() < len(y) else None
 
 
 def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, score, predicted`` for every row of ``docs(doc_id, text, ...)``.
 
-    ``train(doc_id, text)`` with ``labels(doc_id, toxic)`` gives the weights, from a bounded sample; the
-    character model counts every text of ``docs``. Null and empty texts, and texts without a weighted word,
-    score 0. The score depends on the set of a text's words only, so length, order and repeats don't dilute
-    it; equal texts score equally. ``predicted`` is 1 from ``threshold`` on. Without labels all scores are 0.
-    An empty ``docs`` gives an empty result. Other columns are ignored.
+    ``train(doc_id, text)`` with ``labels(doc_id, toxic)`` gives the weights of words and then the calibration,
+    both from one bounded sample; the character model counts every text of ``docs``. Null and empty texts
+    score what a text without weighted words does, near 0; equal texts score equally. ``predicted`` is 1 from
+    ``threshold`` on. Without labels of both kinds all scores are 0. An empty ``docs`` gives an empty result.
+    Other columns are ignored.
     """
     restorer = Restorer(language_model(docs))
     weights = fit_weights(train, labels, restorer, rows)
+    calibration = fit_calibration(train, labels, restorer, weights, rows)
 
     def run(batches):
-        scorer = Scorer(restorer, weights)
+        scorer = Scorer(restorer, weights, calibration)
         for ids, texts in text_slices(batches):
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([scorer.score(t.decode()) for t in texts], pa.float64())], names=["doc_id", "score"])
 
