@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
 import glob
+import numbers
 import os
 
 import duckdb
@@ -22,9 +23,9 @@ def duck():
 
 def canonical(frame, columns):
     def cell(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
             return ""
-        return repr(round(float(v), 9)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return repr(round(float(v), 9)) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
     return sorted(tuple(cell(v) for v in row) for row in frame[columns].itertuples(index=False))
 
