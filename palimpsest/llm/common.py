@@ -133,3 +133,14 @@ def concat_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def persist_to_disk(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
+
+
+def in_worker(name: str, make: Callable[[], object]):
+    """What ``make`` gives, made once in each Python worker process and kept for its later tasks."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("palimpsest_worker_state", types.ModuleType("palimpsest_worker_state")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]

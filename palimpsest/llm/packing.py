@@ -9,19 +9,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from palimpsest.llm.common import concat_bytes, keyed_texts, shuffle_width, text_slices
+from palimpsest.llm.common import concat_bytes, in_worker, keyed_texts, shuffle_width, text_slices
 
 SEQUENCE_TOKENS = 1024
 SEPARATOR_ID = 0
 DIMENSIONS = 4
 BITS = 12
-#: Encoded units that a task remembers.
+#: Encoded units, of either kind, that a worker remembers.
 CACHE_UNITS = 300_000
+#: Texts of one vector step, in bytes: its arrays then stay in the processor's cache.
+VECTOR_BYTES = 192 << 10
+#: Bound of the sample of documents whose keys give the range splitters.
+SPLITTER_ROWS = 20_000
 
 #: Unicode White_Space, as the pre-tokeniser's \s has it.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: White space next to a space.
+_ODD_SPACE = re.compile(f" [{_SPACE}]|[{_SPACE}] ")
 
 
 class UnitEncoder:
@@ -51,22 +58,29 @@ class UnitEncoder:
         ranks = {bytes(map(to_byte.__getitem__, word)): i for word, i in spec["model"]["vocab"].items() if word not in self.specials}
         self.fast = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
-    def _unit(self, unit: str) -> bytes:
+    def _unit(self, unit: str, known: dict[str, bytes], key: str) -> bytes:
         plain = not any(s in unit for s in self.specials)
         ids = self.fast.encode_ordinary(unit) if plain else self.tokenizer.encode(unit, add_special_tokens=False).ids
         packed = np.array(ids, self.width).tobytes()
-        if len(self.known) < CACHE_UNITS:
-            self.known[unit] = packed
+        if len(known) < CACHE_UNITS:
+            known[key] = packed
         return packed
 
     def encode(self, text: str) -> np.ndarray:
         if not self.by_unit:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        units = _UNIT.findall(text)
-        parts = list(map(self.known.get, units))
-        if None in parts:
-            parts = [self._unit(u) if p is None else p for u, p in zip(units, parts, strict=True)]
+        if "  " in text or _ODD_SPACE.search(text) or text[:1].isspace() or text[-1:].isspace():
+            units = _UNIT.findall(text)
+            parts = list(map(self.known.get, units))
+            if None in parts:
+                parts = [self._unit(u, self.known, u) if p is None else p for u, p in zip(units, parts, strict=True)]
+        else:  # single spaces only: each word but the first is a unit with the space before it
+            first, *rest = text.split(" ")
+            parts = [self.known.get(first) or self._unit(first, self.known, first), *map(self.spaced.get, rest)]
+            if None in parts:
+                parts = [self._unit(f" {u}", self.spaced, u) if p is None else p for u, p in zip([first, *rest], parts, strict=True)]
         return np.frombuffer(b"".join(parts), self.width).astype("<u4")
 
 
@@ -183,15 +197,35 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, pattern: str | None
     ``tokenizer_path`` or, by default, the public byte-level BPE of 50,257 ids.
     """
 
+    def keyed(batches):
+        for ids, texts in text_slices(batches, VECTOR_BYTES):
+            yield ids, texts, hilbert_keys(hashed_vectors(texts))
+
+    def sample(batches):
+        for ids, _, key in keyed(batches):
+            yield pa.record_batch([pa.array(key), pa.array(ids, pa.int64())], names=["key", "doc_id"])
+
+    texts = keyed_texts(docs)
+    width = partitions or shuffle_width(docs.sparkSession)
+    share = min(1.0, SPLITTER_ROWS / max(1, texts.count()))
+    picked = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit("packing")), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * SPLITTER_ROWS)
+    drawn = sorted((r[0], r[1]) for r in picked.mapInArrow(sample, "key long, doc_id long").collect())
+    cuts = [drawn[k * len(drawn) // width] for k in range(1, width)] if drawn else []
+    cut_keys, cut_ids = (np.array([c[j] for c in cuts], np.int64) for j in (0, 1))
+
     def place(batches):
-        for ids, texts in text_slices(batches):
-            key = hilbert_keys(hashed_vectors(texts))
-            yield pa.record_batch([pa.array(key), pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["key", "doc_id", "text"])
+        for ids, texts, key in keyed(batches):
+            part = np.searchsorted(cut_keys, key, side="left")
+            high = np.searchsorted(cut_keys, key, side="right")
+            for k in np.nonzero(high > part)[0]:  # among equal keys the ids decide
+                part[k] += np.searchsorted(cut_ids[part[k] : high[k]], ids[k], side="right")
+            yield pa.record_batch([pa.array(part, pa.int32()), pa.array(key), pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["part", "key", "doc_id", "text"])
 
     def cut(batches):
         import public_tokenizers
 
-        encoder = UnitEncoder(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN)
+        path, split = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
+        encoder = in_worker(f"units {path} {split}", lambda: UnitEncoder(path, split))
         packer = _Packer(TaskContext.get().partitionId() << 36, capacity)
         end = np.array([SEPARATOR_ID], "<u4")
         for ids, texts in text_slices(batches):
@@ -201,7 +235,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, pattern: str | None
         packer.finish()
         yield packer.take()
 
-    placed = keyed_texts(docs).mapInArrow(place, "key long, doc_id long, text string")
-    width = partitions or shuffle_width(docs.sparkSession)
-    ranged = placed.repartitionByRange(width, "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    placed = texts.mapInArrow(place, "part int, key long, doc_id long, text string")
+    ranged = placed.repartitionById(width, "part").sortWithinPartitions("key", "doc_id")
     return ranged.select("doc_id", "text").mapInArrow(cut, PIECES)
