@@ -152,3 +152,55 @@ def week_helpers(spark, sf):
 def temporal_score(spark, sf):
     gold = F.to_date(F.lit("1996-01-01")), F.to_date(F.lit("1996-12-31"))
     return _days(spark, sf).select("o_orderkey", F.round(temporal.temporal_score(F.col("lo"), F.col("hi"), *gold), 6).alias("score"))
+
+
+@register("T3_parsed_times", f"""WITH {_DAYS}
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'duration' ELSE 'range' END AS kind,
+  CASE o_orderkey % 4 WHEN 0 THEN lo WHEN 1 THEN date_trunc('month', lo)::DATE WHEN 2 THEN date_trunc('year', lo)::DATE END::VARCHAR AS lo,
+  CASE o_orderkey % 4 WHEN 0 THEN lo WHEN 1 THEN last_day(lo) WHEN 2 THEN make_date(year(lo), 12, 31) END::VARCHAR AS hi, CASE WHEN o_orderkey % 4 = 3 THEN 21 ELSE 0 END AS days FROM d""")
+def parsed_times(spark, sf):
+    from palimpsest.functions.timephrases import parsed_time
+
+    written = F.expr("CASE o_orderkey % 4 WHEN 0 THEN date_format(lo, 'd MMMM, yyyy') WHEN 1 THEN date_format(lo, 'MMMM yyyy') WHEN 2 THEN date_format(lo, 'yyyy') ELSE 'three weeks' END")
+    got = _days(spark, sf).withColumn("t", parsed_time(written))
+    return got.select("o_orderkey", "t.kind", F.col("t.lo").cast("string").alias("lo"), F.col("t.hi").cast("string").alias("hi"), F.coalesce("t.days", F.lit(0)).cast("int").alias("days"))
+
+
+@register("T5_relative_phrases", f"""WITH {_DAYS}, p AS (SELECT o_orderkey, lo AS anchor, o_orderkey % 9 + 2 AS n FROM d WHERE o_orderkey % 5 < 4)
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'yesterday' WHEN 1 THEN 'last week' WHEN 2 THEN n || ' days ago' ELSE 'tomorrow' END AS phrase,
+  CASE o_orderkey % 5 WHEN 0 THEN anchor - 1 WHEN 1 THEN anchor - 7 WHEN 2 THEN anchor - n::INT ELSE anchor + 1 END::VARCHAR AS lo,
+  CASE o_orderkey % 5 WHEN 0 THEN anchor - 1 WHEN 1 THEN anchor - 1 WHEN 2 THEN anchor - n::INT ELSE anchor + 1 END::VARCHAR AS hi FROM p""")
+def relative(spark, sf):
+    from palimpsest.functions.timephrases import relative_phrases
+
+    said = F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'It was yesterday.' WHEN 1 THEN 'we met last week, I think' WHEN 2 THEN concat(o_orderkey % 9 + 2, ' days ago it was') WHEN 3 THEN 'see you Tomorrow' ELSE 'no time at all' END")
+    rows = _days(spark, sf).select("o_orderkey", F.explode(relative_phrases(said, F.col("lo"))).alias("p"))
+    return rows.select("o_orderkey", "p.phrase", F.col("p.lo").cast("string").alias("lo"), F.col("p.hi").cast("string").alias("hi"))
+
+
+@register("P6_packed_lines")
+def packed_lines(spark, sf):
+    """Documents in chunks of at most 1,800 bytes of whole lines; held against a loop in the tests."""
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(text.pack_lines(F.col("text"))).alias("chunk", "lines"))
+
+
+@register("C8_stamps", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (DATE '2024-01-01' + (doc_id % 300)::INT)::VARCHAR END AS stamped, left(text, 50) AS body FROM documents")
+def stamps(spark, sf):
+    stamp = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("["), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 300).cast("int")).cast("string"), F.lit("] "))).otherwise(F.lit(""))
+    written = F.concat(stamp, F.left("text", F.lit(50)))
+    return table(spark, sf, "documents").select("doc_id", text.stamped_date(written).cast("string").alias("stamped"), text.strip_stamp(written).alias("body"))
+
+
+@register("C5_abstentions", "SELECT event_id, event_id % 4 < 2 AS declined FROM events")
+def abstentions(spark, sf):
+    said = F.expr("CASE event_id % 4 WHEN 0 THEN 'I don''t know, sorry' WHEN 1 THEN 'No information!' WHEN 2 THEN 'It was the 7th' ELSE 'I know' END")
+    return table(spark, sf, "events").select("event_id", text.is_abstention(said).alias("declined"))
+
+
+@register("K7_question_depth", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 18 WHEN 1 THEN 12 WHEN 2 THEN 18 ELSE 6 END AS k, CASE event_id % 4 WHEN 0 THEN 8192 WHEN 1 THEN 9000 WHEN 2 THEN 9000 ELSE 2048 END AS tokens FROM events")
+def question_depth(spark, sf):
+    from palimpsest.evaluation.audit import depth_for
+
+    asked = F.expr("CASE event_id % 4 WHEN 0 THEN 'How many books did I read?' WHEN 1 THEN 'What are Nate''s hobbies?' WHEN 2 THEN 'What are some totals in total?' ELSE 'Who is Ann?' END")
+    depth = depth_for(asked, 6, 2048, {"aggregation": (18, 8192), "enumeration": (12, 9000)})
+    return table(spark, sf, "events").select("event_id", depth["k"].alias("k"), depth["tokens"].alias("tokens"))
