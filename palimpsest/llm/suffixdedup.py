@@ -166,16 +166,35 @@ def _split(cuts: np.ndarray, lead: np.ndarray, rest: np.ndarray, n_buckets: int)
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns one after the other: runs of equal leads then take little room once compressed."""
-    return b"".join(c.tobytes() for c in columns)
+    """Columns one after the other: runs of equal leads then take little room once compressed. Truth values
+    take a bit each, and ids (signed) four bytes each where they lie close enough together."""
+    out = [np.uint32(len(columns[0])).tobytes()]
+    for c in columns:
+        if c.dtype == bool:
+            out.append(np.packbits(c).tobytes())
+        elif c.dtype == np.int64:
+            base = c.min() if len(c) else np.int64(0)
+            near = not len(c) or int(c.max()) - int(base) < 1 << 32
+            out += [np.uint8(near).tobytes(), np.int64(base).tobytes(), (c - base).astype(np.uint32).tobytes() if near else c.tobytes()]
+        else:
+            out.append(c.tobytes())
+    return b"".join(out)
 
 
 def _unpack(body: bytes, *types: str) -> list[np.ndarray]:
-    types = [np.dtype(t) for t in types]
-    n, at, out = len(body) // sum(t.itemsize for t in types), 0, []
+    n, at, out = int(np.frombuffer(body, np.uint32, 1)[0]), 4, []
     for t in types:
-        out.append(np.frombuffer(body, t, n, at))
-        at += n * t.itemsize
+        if t == "?":
+            size = (n + 7) // 8
+            out.append(np.unpackbits(np.frombuffer(body, np.uint8, size, at), count=n).astype(bool))
+        elif t == "i8":
+            near, base = body[at], np.frombuffer(body, np.int64, 1, at + 1)[0]
+            at, size = at + 9, n * (4 if near else 8)
+            out.append(np.frombuffer(body, np.uint32, n, at).astype(np.int64) + base if near else np.frombuffer(body, np.int64, n, at))
+        else:
+            size = n * np.dtype(t).itemsize
+            out.append(np.frombuffer(body, t, n, at))
+        at += size
     return out
 
 
@@ -185,6 +204,15 @@ def _gathered(bodies: list[bytes], *types: str) -> tuple[np.ndarray, list[np.nda
     return np.cumsum(sizes)[:-1], [np.concatenate([p[k] for p in parts]) for k in range(len(types))]
 
 
+def _short(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper 48 bits of a hash: enough where a chance equal only means one more question."""
+    return (rest >> np.uint64(32)).astype(np.uint32), (rest >> np.uint64(16)).astype(np.uint16)
+
+
+def _joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return high.astype(np.uint64) << np.uint64(16) | low
+
+
 class _Rounds:
     """The three questions; each rebuilds the chunk's suffixes and takes from its notes what is known."""
 
@@ -197,26 +225,25 @@ class _Rounds:
         s = _Suffixes(chunk.texts, self.span, self.gram)
         lead, rest = s.keys
         several = self._several(s, chunk)
-        found = {b: _pack(lead[x].astype(np.uint32), (rest[x] >> np.uint64(32)).astype(np.uint32), (rest[x] >> np.uint64(16)).astype(np.uint16), several[x]) for b, x in _split(self.cuts, lead, rest, self.n_buckets)}
-        return found
+        return {b: _pack(lead[x].astype(np.uint32), *_short(rest[x]), several[x]) for b, x in _split(self.cuts, lead, rest, self.n_buckets)}
 
     @staticmethod
     def _several(s: _Suffixes, chunk: Chunk) -> np.ndarray:
-        """Per distinct suffix: 1 if documents of different ids in this chunk have it."""
+        """Per distinct suffix: whether documents of different ids in this chunk have it."""
         n = len(s.keys[0])
         ids = chunk.ids[s.doc]
         low, high = np.full(n, _NO_DOC), np.full(n, np.iinfo(np.int64).min)
         np.minimum.at(low, s.group, ids)
         np.maximum.at(high, s.group, ids)
-        return (low != high).astype(np.uint8)
+        return low != high
 
     @staticmethod
     def answer_sieve(bodies: list[bytes]) -> list[bytes]:
-        cuts, (lead, high, low, several) = _gathered(bodies, "u4", "u4", "u2", "u1")
-        rest = high.astype(np.uint64) << np.uint64(16) | low
+        cuts, (lead, high, low, several) = _gathered(bodies, "u4", "u4", "u2", "?")
+        rest = _joined(high, low)
         order = multikey_argsort(lead, rest)
         group = run_lengths(lead[order], rest[order])
-        weight = np.bincount(group, weights=1 + several[order])
+        weight = np.bincount(group, weights=1.0 + several[order])
         found = np.empty(len(order), bool)
         found[order] = weight[group] > 1
         return [np.packbits(x).tobytes() for x in np.split(found, cuts)]
@@ -254,16 +281,17 @@ class _Rounds:
         if len(many):
             first[:] = many & np.append(True, of_group[1:] != of_group[:-1])
         rows = keep | first
-        group, context, least = of_group[rows], np.where(keep, of_pair, 0)[rows], np.where(keep, least, _NO_DOC)[rows]
+        group, context, least = of_group[rows], np.where(keep, of_pair, 0)[rows], least[rows]
         lead, rest = s.keys[0][group], s.keys[1][group]
         for b, x in _split(self.cuts, lead, rest, self.n_buckets):
-            asked[b] = _pack(lead[x].astype(np.uint32), rest[x], context[x], least[x], (~keep[rows][x]).astype(np.uint8))
+            asked[b] = _pack(lead[x].astype(np.uint32), *_short(rest[x]), context[x], least[x], many[rows][x])
         return asked | _notes(replies, 1)
 
     @staticmethod
     def answer_contexts(bodies: list[bytes]) -> list[bytes]:
         """For each (suffix, context): its least document, and whether the suffix has other contexts."""
-        cuts, (lead, rest, context, least, many) = _gathered(bodies, "u4", "u8", "u8", "i8", "u1")
+        cuts, (lead, high, low, context, least, many) = _gathered(bodies, "u4", "u4", "u2", "u8", "i8", "?")
+        rest = _joined(high, low)
         order = multikey_argsort(lead, rest, context)
         suffix = run_lengths(lead[order], rest[order])
         pair = run_lengths(suffix, context[order])
@@ -272,7 +300,7 @@ class _Rounds:
         heads = np.searchsorted(pair, np.arange(pair[-1] + 1))
         n_contexts = np.bincount(suffix[heads])
         marked = np.bincount(suffix, weights=many[order]) > 0
-        mixed = np.empty(len(order), np.uint8)
+        mixed = np.empty(len(order), bool)
         mixed[order] = ((n_contexts > 1) | marked)[suffix]
         out = np.empty(len(order), np.int64)
         out[order] = low[pair]
@@ -289,9 +317,9 @@ class _Rounds:
         lead, rest = s.keys[0][group], s.keys[1][group]
         own = replies if self._own(replies) else _noted(replies, 2)
         low, mixed = np.full(len(many), _NO_DOC), np.ones(len(many), bool)
-        parts = [_unpack(own[b], "i8", "u1") for b, _ in _split(self.cuts, lead, rest, self.n_buckets)]
+        parts = [_unpack(own[b], "i8", "?") for b, _ in _split(self.cuts, lead, rest, self.n_buckets)]
         if parts:
-            low[rows], mixed[rows] = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]) > 0
+            low[rows], mixed[rows] = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         low[many], mixed[many] = _NO_DOC, True
         ids = chunk.ids[s.doc[which]]
         low, mixed = low[pair_of], mixed[pair_of]
@@ -339,7 +367,7 @@ class _Rounds:
         np.minimum.at(low, group, least[order])
         out = np.empty(len(order), np.int64)
         out[order] = low[group]
-        return [x.tobytes() for x in np.split(out, cuts)]
+        return [_pack(x) for x in np.split(out, cuts)]
 
     def removed(self, chunk: Chunk, replies: Replies) -> tuple[_Suffixes, np.ndarray]:
         """Over all bytes of the chunk: 1 at each start of a window that a smaller document has too."""
@@ -350,7 +378,7 @@ class _Rounds:
         flags[start] = True
         start, doc = self._open_windows(s, which, open_)
         lead, rest, _, group = self._window_keys(s, start, chunk.ids[doc])
-        parts = [np.frombuffer(replies[b], np.int64) for b, _ in _split(self.cuts, lead, rest, self.n_buckets)]
+        parts = [_unpack(replies[b], "i8")[0] for b, _ in _split(self.cuts, lead, rest, self.n_buckets)]
         if parts:
             least = np.concatenate(parts)[group]
             flags[start[least < chunk.ids[doc]]] = True
