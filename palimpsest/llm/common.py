@@ -45,6 +45,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+#: Ids that a broadcast may hold; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join with distinct ids. They are counted first: only a set of bounded size is broadcast, so
+    that the texts of ``df`` stay where they are; a larger one is shuffled with them."""
+    ids = cut_lineage(ids)
+    return df.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, key, how)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """An eager, reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)

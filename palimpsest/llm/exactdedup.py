@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ascii_lower, cut_lineage, keyed_texts
+from palimpsest.llm.common import ascii_lower, by_ids, cut_lineage, keyed_texts
 
 PREFIX_CHARS = 64
 
@@ -50,4 +50,4 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def keep_last_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs(doc_id, text, ...)``, all columns, that stay; see exact_duplicates()."""
     dropped = exact_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return by_ids(docs, dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import connected_components, cut_lineage, keyed_texts, text_slices
+from palimpsest.llm.common import by_ids, connected_components, cut_lineage, keyed_texts, text_slices
 from palimpsest.llm.simhash import near_duplicates, shingle_hashes
 
 WIDTH = 5
@@ -25,7 +25,7 @@ SIMILARITY = 0.8
 SAMPLE_ROWS = 3000
 COMMON_ROWS = 4
 MAX_COMMON = 300_000
-#: Texts that share a prefix shingle meet in pairs up to this many; beyond, each meets the two least of them.
+#: Texts that share a prefix shingle meet in pairs up to this many; beyond, each meets the first and the last.
 PAIR_LIMIT = 8
 
 
@@ -70,27 +70,27 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Distinct pairs ``a, b`` that share a prefix shingle and whose set sizes allow the similarity."""
+    """Distinct pairs ``a, b`` that share a prefix shingle.
+
+    Keys are counted on their own first, combined before the shuffle; only rows with a key that some other
+    row has too go on.
+    """
     common = common_shingles(docs, width)
 
     def keys(batches):
         for ids, texts in text_slices(batches):
-            sets = [shingle_set(t, width) for t in texts]
-            heads = [prefix(s, least, common) for s in sets]
-            sizes = [len(h) for h in heads]
+            heads = [prefix(shingle_set(t, width), least, common) for t in texts]
             flat = np.concatenate(heads) if heads else np.empty(0, np.uint64)
-            yield pa.record_batch([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), sizes))], names=["key", "id", "n"])
-
-    rows = keyed_texts(docs).mapInArrow(keys, "key long, id long, n int")
-    who = F.struct(F.xxhash64("id").alias("h"), "id", "n")
-    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(who).alias("first"), F.max(who).alias("last")).filter("size > 1")
-    shared = cut_lineage(rows.join(groups, "key"))
-    fits = lambda m, n: F.least(m, n) >= F.floor(F.lit(least) * F.greatest(m, n))
-    meets = shared.select("id", "n", F.explode(F.array("first", "last")).alias("other"))
-    stars = meets.filter(fits(F.col("n"), F.col("other.n"))).select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b"))
-    small = shared.filter((F.col("size") > 2) & (F.col("size") <= PAIR_LIMIT)).select("key", "id", "n")
-    other = small.select("key", F.col("id").alias("other"), F.col("n").alias("m"))
-    pairs = small.join(other, "key").filter((F.col("id") < F.col("other")) & fits(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), F.col("other").alias("b"))
+            yield pa.record_batch([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), [len(h) for h in heads]))], names=["key", "id"])
+
+    rows = keyed_texts(docs).mapInArrow(keys, "key long, id long")
+    repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = cut_lineage(rows.join(repeated, "key"))
+    ends = shared.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    meets = shared.join(ends, "key").select("id", F.explode(F.array("first", "last")).alias("other"))
+    stars = meets.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    small = shared.filter((F.col("size") > 3) & (F.col("size") <= PAIR_LIMIT)).select("key", "id")
+    pairs = small.join(small.select("key", F.col("id").alias("b")), "key").select(F.col("id").alias("a"), "b")
     return stars.unionByName(pairs).filter("a < b").distinct()
 
 
@@ -98,13 +98,13 @@ def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY
     """``u, v``: verified links of Jaccard similarity ``least`` or more between rows of ``docs(doc_id, text)``.
 
     All pairs that share a prefix shingle with few other texts are found; where many texts share one, each is
-    compared with two of them, the same for all, in every such shingle of its prefix, so that a family of
+    compared with the first and the last of them, in every such shingle of its prefix, so that a family of
     copies hangs together without all its pairs. Texts of fewer words than ``width`` are one shingle.
     """
-    sets = cut_lineage(_sets(docs, width))
     wanted = cut_lineage(candidates(docs, width, least))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("body").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("body").alias("y"))
+    named = wanted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = _sets(by_ids(keyed_texts(docs), named, "doc_id", "left_semi"), width)
+    sizes = cut_lineage(sets.select("doc_id", "n"))
 
     def verify(batches):
         for batch in batches:
@@ -115,7 +115,10 @@ def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY
                 keep.append(both > 0 and both >= least * (len(p) + len(q) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    met = wanted.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    of = lambda df, end, *names: df.select(F.col("doc_id").alias(end), *[F.col(old).alias(new) for old, new in names])
+    sized = wanted.join(of(sizes, "a", ("n", "m")), "a").join(of(sizes, "b", ("n", "n")), "b")
+    fits = sized.filter(F.least("m", "n") >= F.floor(F.lit(least) * F.greatest("m", "n"))).select("a", "b")
+    met = fits.join(of(sets, "a", ("body", "x")), "a").join(of(sets, "b", ("body", "y")), "b").select("a", "b", "x", "y")
     return met.mapInArrow(verify, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
@@ -130,4 +133,4 @@ def keep_one_of_each(docs: DataFrame, width: int = WIDTH, least: float = SIMILAR
     links = similar_pairs(docs, width, least).join(of("u"), "u").join(of("v"), "v").select(F.col("c_u").alias("u"), F.col("c_v").alias("v"))
     roots = connected_components(base.select(F.col("component_id").alias("node")).distinct(), links)
     dropped = base.join(roots, base.component_id == roots.node).filter("doc_id <> component").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return by_ids(docs, dropped, "doc_id", "left_anti").select(*docs.columns)
