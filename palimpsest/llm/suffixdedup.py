@@ -204,6 +204,21 @@ def _gathered(bodies: list[bytes], *types: str) -> tuple[np.ndarray, list[np.nda
     return np.cumsum(sizes)[:-1], [np.concatenate([p[k] for p in parts]) for k in range(len(types))]
 
 
+def _pack_lower(own: np.ndarray, low: np.ndarray, *flags: np.ndarray) -> bytes:
+    """Ids only where they are lower than those asked with, which the asker knows."""
+    lower = low < own
+    head = _pack(lower, *flags)
+    return np.uint32(len(head)).tobytes() + head + _pack(low[lower])
+
+
+def _unpack_lower(body: bytes, own: np.ndarray, flags: int = 0) -> list[np.ndarray]:
+    size = int(np.frombuffer(body, np.uint32, 1)[0]) + 4
+    lower, *rest = _unpack(body[4:size], *"?" * (1 + flags))
+    low = own.copy()
+    low[lower] = _unpack(body[size:], "i8")[0]
+    return [low, *rest]
+
+
 def _short(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The upper 48 bits of a hash: enough where a chance equal only means one more question."""
     return (rest >> np.uint64(32)).astype(np.uint32), (rest >> np.uint64(16)).astype(np.uint16)
@@ -304,7 +319,7 @@ class _Rounds:
         mixed[order] = ((n_contexts > 1) | marked)[suffix]
         out = np.empty(len(order), np.int64)
         out[order] = low[pair]
-        return [_pack(a, b) for a, b in zip(np.split(out, cuts), np.split(mixed, cuts), strict=True)]
+        return [_pack_lower(*x) for x in zip(*(np.split(c, cuts) for c in (least, out, mixed)), strict=True)]
 
     def _resolved(self, chunk: Chunk, replies: Replies):
         """After round 2: per candidate anchor the least document of its context (or none known), and whether
@@ -317,7 +332,8 @@ class _Rounds:
         lead, rest = s.keys[0][group], s.keys[1][group]
         own = replies if self._own(replies) else _noted(replies, 2)
         low, mixed = np.full(len(many), _NO_DOC), np.ones(len(many), bool)
-        parts = [_unpack(own[b], "i8", "?") for b, _ in _split(self.cuts, lead, rest, self.n_buckets)]
+        asked = least[rows]
+        parts = [_unpack_lower(own[b], asked[x], 1) for b, x in _split(self.cuts, lead, rest, self.n_buckets)]
         if parts:
             low[rows], mixed[rows] = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         low[many], mixed[many] = _NO_DOC, True
@@ -367,7 +383,7 @@ class _Rounds:
         np.minimum.at(low, group, least[order])
         out = np.empty(len(order), np.int64)
         out[order] = low[group]
-        return [_pack(x) for x in np.split(out, cuts)]
+        return [_pack_lower(*x) for x in zip(np.split(least, cuts), np.split(out, cuts), strict=True)]
 
     def removed(self, chunk: Chunk, replies: Replies) -> tuple[_Suffixes, np.ndarray]:
         """Over all bytes of the chunk: 1 at each start of a window that a smaller document has too."""
@@ -377,8 +393,8 @@ class _Rounds:
         start, _ = self._open_windows(s, which, whole & (low < ids))
         flags[start] = True
         start, doc = self._open_windows(s, which, open_)
-        lead, rest, _, group = self._window_keys(s, start, chunk.ids[doc])
-        parts = [_unpack(replies[b], "i8")[0] for b, _ in _split(self.cuts, lead, rest, self.n_buckets)]
+        lead, rest, asked, group = self._window_keys(s, start, chunk.ids[doc])
+        parts = [_unpack_lower(replies[b], asked[x])[0] for b, x in _split(self.cuts, lead, rest, self.n_buckets)]
         if parts:
             least = np.concatenate(parts)[group]
             flags[start[least < chunk.ids[doc]]] = True
