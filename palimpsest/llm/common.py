@@ -80,12 +80,19 @@ def sliced(ids: list, texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[
 
 def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """(doc_ids, texts as bytes) of Arrow batches that have the columns of keyed_texts()."""
-    for batch in batches:
+    for batch in row_slices(batches):
         ids = batch.column("doc_id").to_pylist()
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         yield from sliced(ids, texts, limit)
 
 
+def row_slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a worker holds few of them as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import keyed_texts, text_slices
+from palimpsest.llm.common import keyed_texts, row_slices, text_slices
 
 WINDOW = 5
 MIN_CONTAINMENT = 0.8
@@ -246,7 +246,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_c
     def sieve(rows):
         def run(batches):
             bench, canon = Benchmark.of(rows, width), Canonicaliser()
-            for batch in batches:
+            for batch in row_slices(batches):
                 clean = []
                 for text in batch.column("text").to_pylist():
                     words = (text or "").split()

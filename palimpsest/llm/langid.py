@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import keyed_texts, text_slices
+from palimpsest.llm.common import keyed_texts, row_slices, text_slices
 
 #: Bounds of the labelled sample that the dictionaries are cut from.
 SAMPLE_ROWS = 400
@@ -123,7 +123,7 @@ def keep_identified(docs: DataFrame, train: DataFrame, min_margin: float = MIN_M
 
     def run(batches):
         compressors = Compressors(dictionaries)
-        for batch in batches:
+        for batch in row_slices(batches):
             found = [compressors.predict(t) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([lang != "und" and margin >= min_margin for lang, _, margin in found], pa.bool_()))
 
