@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import by_ids, connected_components, cut_lineage, keyed_texts, text_slices
+from palimpsest.llm.common import MAX_BROADCAST_IDS, by_ids, connected_components, cut_lineage, keyed_texts, row_slices, text_slices
 from palimpsest.llm.simhash import near_duplicates, shingle_hashes
 
 WIDTH = 5
@@ -25,8 +25,10 @@ SIMILARITY = 0.8
 SAMPLE_ROWS = 3000
 COMMON_ROWS = 4
 MAX_COMMON = 300_000
-#: Texts that share a prefix shingle meet in pairs up to this many; beyond, each meets the first and the last.
+#: Texts that share a prefix shingle meet in pairs up to this many; beyond, each meets the first and the last, and
+#: what these leave apart meets in blocks.
 PAIR_LIMIT = 8
+BLOCK = 512
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -69,12 +71,8 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
-def candidates(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Distinct pairs ``a, b`` that share a prefix shingle.
-
-    Keys are counted on their own first, combined before the shuffle; only rows with a key that some other
-    row has too go on.
-    """
+def _prefix_rows(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """``key, id``: the prefix shingles of every text."""
     common = common_shingles(docs, width)
 
     def keys(batches):
@@ -83,45 +81,113 @@ def candidates(docs: DataFrame, width: int, least: float) -> DataFrame:
             flat = np.concatenate(heads) if heads else np.empty(0, np.uint64)
             yield pa.record_batch([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), [len(h) for h in heads]))], names=["key", "id"])
 
-    rows = keyed_texts(docs).mapInArrow(keys, "key long, id long")
-    repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = cut_lineage(rows.join(repeated, "key"))
-    ends = shared.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    meets = shared.join(ends, "key").select("id", F.explode(F.array("first", "last")).alias("other"))
-    stars = meets.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    small = shared.filter((F.col("size") > 3) & (F.col("size") <= PAIR_LIMIT)).select("key", "id")
-    pairs = small.join(small.select("key", F.col("id").alias("b")), "key").select(F.col("id").alias("a"), "b")
-    return stars.unionByName(pairs).filter("a < b").distinct()
+    return keyed_texts(docs).mapInArrow(keys, "key long, id long")
 
 
-def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
-    """``u, v``: verified links of Jaccard similarity ``least`` or more between rows of ``docs(doc_id, text)``.
+def _groups(rows: DataFrame) -> DataFrame:
+    """``size, first, last, key``: one key for each set of texts that share one.
 
-    All pairs that share a prefix shingle with few other texts are found; where many texts share one, each is
-    compared with the first and the last of them, in every such shingle of its prefix, so that a family of
-    copies hangs together without all its pairs. Texts of fewer words than ``width`` are one shingle.
+    Copies share most of their prefix, so that many keys have the same texts; sets are told apart by their size,
+    ends and sum of hashed ids.
     """
-    wanted = cut_lineage(candidates(docs, width, least))
-    named = wanted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _sets(by_ids(keyed_texts(docs), named, "doc_id", "left_semi"), width)
+    of = F.pmod(F.xxhash64("id"), F.lit(1 << 36))
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"), F.max("id").alias("last"), F.sum(of).alias("sum")).filter("first < last")
+    return keys.groupBy("size", "first", "last", "sum").agg(F.min("key").alias("key")).drop("sum")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpoint, broadcast where it has few rows."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_IDS else df
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """``u, v``: those of the pairs ``a, b`` whose whole sets are similar."""
     sizes = cut_lineage(sets.select("doc_id", "n"))
 
     def verify(batches):
-        for batch in batches:
+        for batch in row_slices(batches):
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(both > 0 and both >= least * (len(p) + len(q) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda df, end, *names: df.select(F.col("doc_id").alias(end), *[F.col(old).alias(new) for old, new in names])
-    sized = wanted.join(of(sizes, "a", ("n", "m")), "a").join(of(sizes, "b", ("n", "n")), "b")
+    sized = pairs.join(of(sizes, "a", ("n", "m")), "a").join(of(sizes, "b", ("n", "n")), "b")
     fits = sized.filter(F.least("m", "n") >= F.floor(F.lit(least) * F.greatest("m", "n"))).select("a", "b")
     met = fits.join(of(sets, "a", ("body", "x")), "a").join(of(sets, "b", ("body", "y")), "b").select("a", "b", "x", "y")
     return met.mapInArrow(verify, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _across(rows: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """``u, v``: all similar pairs of texts with one key and two components, of ``rows(key, id, size, component)``.
+
+    The texts of a key are dealt into blocks, and every two blocks meet in one group of bounded size.
+    """
+    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component")
+
+    def meet(table):
+        mine, ids, component, n = (table.column(c).to_numpy() for c in ("mine", "id", "component", "n"))
+        bodies = [np.frombuffer(b.as_buffer(), "<u4") for b in table.column("body")]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.nonzero(mine == i)[0], np.nonzero(mine == j)[0]
+        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if len(left) and len(right):
+            flat = np.concatenate([bodies[k] for k in right])
+            starts = np.concatenate([[0], np.cumsum(n[right])[:-1]]).astype(np.int64)
+            for k in left:
+                fits = (component[right] != component[k]) & (np.minimum(n[right], n[k]) >= least * np.maximum(n[right], n[k]) - 1e-9)
+                if not fits.any():
+                    continue
+                at = np.minimum(np.searchsorted(bodies[k], flat), n[k] - 1)
+                both = np.add.reduceat((bodies[k][at] == flat).astype(np.int64), starts)
+                near = ids[right[fits & (both >= least * (n[right] + n[k] - both) - 1e-9)]]
+                u.append(np.minimum(near, ids[k]))
+                v.append(np.maximum(near, ids[k]))
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    full = cells.join(sets.withColumnRenamed("doc_id", "id"), "id")
+    return full.groupBy("key", "i", "j").applyInArrow(meet, "u long, v long").distinct()
+
+
+def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, known: DataFrame | None = None, pair_limit: int = PAIR_LIMIT, block: int = BLOCK) -> DataFrame:
+    """``u, v``: verified links that connect all rows of ``docs(doc_id, text)`` of Jaccard similarity ``least`` or more.
+
+    Texts that share a prefix shingle with few others meet in all pairs. Where more than ``pair_limit`` share one,
+    each is first compared with the first and the last of them, which joins a family of copies in linear work; then
+    all texts of such a shingle that these links and those of ``known(u, v)`` leave in different components are
+    compared with one another. So no link between components is lost. Texts of fewer words than ``width`` are one
+    shingle.
+    """
+    rows = _prefix_rows(docs, width, least)
+    groups = cut_lineage(_groups(rows))
+    members = cut_lineage(rows.join(_small(groups.filter("size > 2")), "key"))
+    twos = groups.filter("size = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
+    large = members.filter(F.col("size") > pair_limit)
+    meets = large.select("id", F.explode(F.array("first", "last")).alias("other"))
+    stars = meets.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    small = members.filter(F.col("size") <= pair_limit).select("key", "id")
+    pairs = small.join(small.select("key", F.col("id").alias("b")), "key").select(F.col("id").alias("a"), "b")
+    wanted = cut_lineage(twos.unionByName(stars).unionByName(pairs).filter("a < b").distinct())
+    named = wanted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = lambda ids: _sets(by_ids(keyed_texts(docs), ids, "doc_id", "left_semi"), width)
+    links = cut_lineage(_verified(sets(named), wanted, least))
+    ids = large.select("id").distinct()
+    if ids.isEmpty():
+        return links
+    roots = connected_components(ids.withColumnRenamed("id", "node"), links if known is None else links.unionByName(known))
+    tagged = cut_lineage(large.select("key", "id", "size").join(roots.withColumnRenamed("node", "id"), "id"))
+    apart = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    rest = cut_lineage(tagged.join(_small(apart), "key"))
+    if rest.isEmpty():
+        return links
+    return links.unionByName(_across(rest, sets(rest.select(F.col("id").alias("doc_id")).distinct()).distinct(), least, block))
+
+
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs(doc_id, text, ...)``, all columns, with the least doc_id of their group.
 
@@ -129,8 +195,8 @@ def keep_one_of_each(docs: DataFrame, width: int = WIDTH, least: float = SIMILAR
     ``least`` or more over shingles of ``width`` words.
     """
     base = cut_lineage(near_duplicates(docs).select("doc_id", "component_id").distinct())
-    of = lambda end: base.select(F.col("doc_id").alias(end), F.col("component_id").alias(f"c_{end}"))
-    links = similar_pairs(docs, width, least).join(of("u"), "u").join(of("v"), "v").select(F.col("c_u").alias("u"), F.col("c_v").alias("v"))
-    roots = connected_components(base.select(F.col("component_id").alias("node")).distinct(), links)
-    dropped = base.join(roots, base.component_id == roots.node).filter("doc_id <> component").select("doc_id")
+    known = base.filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    links = similar_pairs(docs, width, least, known)
+    roots = connected_components(base.select(F.col("doc_id").alias("node")), links.unionByName(known))
+    dropped = roots.filter("node <> component").select(F.col("node").alias("doc_id"))
     return by_ids(docs, dropped, "doc_id", "left_anti").select(*docs.columns)

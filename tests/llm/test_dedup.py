@@ -190,6 +190,20 @@ def test_similar_pairs(spark, docs, rows, no_docs):
     assert keep_one_of_each(docs).columns == docs.columns and keep_one_of_each(no_docs).count() == 0
 
 
+def test_no_similar_pair_is_lost_where_many_texts_share_a_shingle(spark):
+    """All texts hold one long passage and three of twenty shorter ones; those that share two of these are similar."""
+    rng = random.Random(8)
+    made = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    block, parts = made(304), [made(30) for _ in range(20)]
+    texts = {k: " ".join([block, *(parts[p] for p in sorted(rng.sample(range(20), 3)))]) for k in range(80)}
+    texts[40] += " " + made(500)
+    sets = {i: set(shingle_set(t.encode(), 5).tolist()) for i, t in texts.items()}
+    true = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = {(r.u, r.v) for r in similar_pairs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    link = lambda pairs: components(sorted(texts), lambda a, b: (min(a, b), max(a, b)) in pairs)
+    assert len(true) > 50 and got <= true and link(got) == link(true)
+
+
 def test_prefix_puts_common_shingles_last():
     import numpy as np
 

@@ -22,3 +22,17 @@ def test_stages(spark, rows, tmp_path):
     assert 1 in kept["near_dedup"] and 1 not in kept["decontamination"] and 3 in kept["decontamination"]
     assert kept["packing"] == kept["decontamination"]
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == kept["packing"]
+
+
+def test_near_dedup_finds_five_word_copies(spark):
+    """One word in sixty changed: similar by five-word shingles, far apart by fingerprint."""
+    import random
+
+    from palimpsest.llm.simhash import fingerprint, shingle_hashes
+
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    text, copy = " ".join(words), " ".join([*words[:30], "other", *words[31:]])
+    assert (fingerprint(shingle_hashes(text.encode(), 3)) ^ fingerprint(shingle_hashes(copy.encode(), 3))).bit_count() > 2
+    docs = spark.createDataFrame([(1, text), (2, copy), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()} == {1, 3}
