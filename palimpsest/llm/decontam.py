@@ -151,7 +151,7 @@ class Benchmark:
             item, best = self.items[item_id], None
             if len({p for _, p in places}) < min_containment * item.n_usable * 0.5:
                 continue
-            for group in _clusters(places, 2 * len(item.words)):
+            for group in _alignments(places, len(item.words)):
                 share = len({int(item.hashes[p]) for _, p in group}) / item.n_usable
                 if share >= min_containment and (kind := _slots(item, words, codes, group, width, min_consistency)):
                     best = max(best or (0.0, ""), (share, kind))
@@ -160,16 +160,34 @@ class Benchmark:
         return found
 
 
-def _clusters(places: list[tuple[int, int]], gap: int) -> list[list[tuple[int, int]]]:
-    """Runs of hits near each other in the text, so that two copies with other parameters stand apart."""
-    places.sort(key=lambda x: (x[0] - x[1], x[0]))
-    groups, run = [], [places[0]]
-    for here in places[1:]:
-        if (here[0] - here[1]) - (run[-1][0] - run[-1][1]) > gap:
+def _alignments(places: list[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:
+    """Groups of hits, each of which may be one copy of the item; a hit may be in several.
+
+    Copies with other parameters may stand side by side, so hits are parted by diagonal at a few gaps: none, a
+    few changed words, half an item and two items, for text put in between. For copies that have text in
+    between and stand close, hits are also parted where the item starts over.
+    """
+    places = sorted(set(places), key=lambda x: (x[0] - x[1], x[0]))
+    groups = []
+    for gap in sorted({0, WINDOW, length // 2, 2 * length}):
+        run = [places[0]]
+        for here in places[1:]:
+            if (here[0] - here[1]) - (run[-1][0] - run[-1][1]) > gap:
+                groups.append(run)
+                run = []
+            run.append(here)
+        groups.append(run)
+    by_text: dict[int, list[int]] = defaultdict(list)
+    for at, pos in places:
+        by_text[at].append(pos)
+    run = []
+    for at in sorted(by_text):
+        later = [pos for pos in by_text[at] if not run or pos > run[-1][1]]
+        if not later:
             groups.append(run)
-            run = []
-        run.append(here)
-    return [*groups, run]
+            run, later = [], by_text[at]
+        run.append((at, min(later)))
+    return list({tuple(g): g for g in [*groups, run]}.values())
 
 
 def _slots(item: Item, words: list[str], codes: np.ndarray, group: list[tuple[int, int]], width: int, least: float) -> str:

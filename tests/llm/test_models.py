@@ -74,6 +74,20 @@ def test_slots_must_agree():
     assert Benchmark.of([(1, item)]).match(item.split(), Canonicaliser().codes(item.split()), 5, 0.8, 0.99)
 
 
+def test_copies_side_by_side():
+    """Variants of one item close together, and one beside the item itself, are each told."""
+    item = "a boat carries 12 crates over the river in 3 trips while the captain counts 45 birds and pays 7 coins for tea"
+    variant = lambda a, b, c, d: item.replace("12", a).replace(" 3 ", f" {b} ").replace("45", c).replace(" 7 ", f" {d} ")
+    copies = [variant("20", "4", "50", "8"), variant("31", "6", "77", "9"), variant("14", "2", "60", "5"), variant("99", "1", "30", "11")]
+    fill = "words that say nothing of note and go on with no end in sight for as long as one cares to".split()
+    bench = Benchmark.of([(1, item)])
+    cut = lambda text: " ".join([*text.split()[:11], *"as the old keeper of the lock who was never wrong liked to tell".split(), *text.split()[11:]])
+    for texts, between, kind in ((copies[:1], 0, "reparameterised"), (copies[:2], 0, "reparameterised"), (copies[:2], 20, "reparameterised"), (copies, 5, "reparameterised"), ([copies[0], item, copies[1]], 3, "verbatim"), (list(map(cut, copies)), 2, "reparameterised")):
+        words = f" {' '.join(fill[:between])} ".join(texts).split()
+        found = bench.match(words, Canonicaliser().codes(words), 5, 0.65, 0.8)
+        assert [(i, k) for i, _, k in found] == [(1, kind)], (len(texts), between)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy now and save on all of the things that you want</div>
 <div class="cookie-notice">We use cookies for the best of all and the rest</div>
