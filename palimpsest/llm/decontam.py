@@ -77,6 +77,10 @@ class Canonicaliser:
         return at
 
     def codes(self, words: list[str]) -> np.ndarray:
+        return self.readings(words)[0]
+
+    def readings(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, and where a capitalised word opens a sentence: its code is the word, and it may be a name too."""
         if len(self.index) > CACHE_WORDS:
             self._clear()
         known = list(map(self.index.get, words))
@@ -87,7 +91,8 @@ class Canonicaliser:
         starts[1:] = ends[:-1] != 0
         numbers = np.zeros(len(words), bool)
         numbers[1:] = plain[:-1] == _NUM
-        return np.where(numbers & (after == _UNIT), after, np.where(starts, first, plain))
+        unit = numbers & (after == _UNIT)
+        return np.where(unit, after, np.where(starts, first, plain)), starts & ~unit & (plain == _NAME)
 
 
 def window_hashes(codes: np.ndarray, width: int = WINDOW) -> np.ndarray:
@@ -100,6 +105,26 @@ def window_hashes(codes: np.ndarray, width: int = WINDOW) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def named_windows(codes: np.ndarray, named: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, names) of the windows with one or more of their ``named`` words read as names, in every way."""
+    n = len(codes) - width + 1
+    if n <= 0 or not named.any():
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    at = np.nonzero(np.convolve(named, np.ones(width, np.int64), "valid"))[0]
+    h = np.zeros(len(at), np.uint64)
+    for k in range(width):
+        h = h * _MULTIPLIER + codes[at + k]
+    names = np.zeros(len(at), np.int64)
+    for k in range(width):
+        more = np.nonzero(named[at + k])[0]
+        factor = np.uint64(pow(int(_MULTIPLIER), width - 1 - k, 1 << 64))
+        h = np.concatenate([h, h[more] + (np.uint64(_NAME) - codes[at[more] + k]) * factor])
+        at, names = np.concatenate([at, at[more]]), np.concatenate([names, names[more] + 1])
+    read = names > 0
+    h = h[read]
+    return at[read], h ^ (h >> np.uint64(29)), names[read]
+
+
 @dataclass
 class Item:
     words: list[str]
@@ -107,6 +132,7 @@ class Item:
     hashes: np.ndarray
     usable: np.ndarray  # windows with a word that is not a placeholder
     n_usable: int = 0
+    named: np.ndarray = field(default_factory=lambda: np.empty(0, bool))  # words that open a sentence and may be names
 
 
 @dataclass
@@ -123,22 +149,26 @@ class Benchmark:
         bench, canon = Benchmark(), Canonicaliser()
         for item_id, text in rows:
             words = text.split()
-            codes = canon.codes(words)
+            codes, named = canon.readings(words)
             hashes = window_hashes(codes, width)
             free = np.isin(codes, np.array(list(_CODES.values()), np.uint64), invert=True).astype(np.int64)
-            usable = np.convolve(free, np.ones(width, np.int64), "valid") > 0 if len(hashes) else np.empty(0, bool)
-            item = Item(words, codes, hashes, usable, len(np.unique(hashes[usable])))
+            n_free = np.convolve(free, np.ones(width, np.int64), "valid") if len(hashes) else np.empty(0, np.int64)
+            usable = n_free > 0
+            item = Item(words, codes, hashes, usable, len(np.unique(hashes[usable])), named)
             if not item.n_usable:
                 continue
             bench.items[item_id] = item
             for pos in np.nonzero(usable)[0]:
                 bench.places[int(hashes[pos])].append((item_id, int(pos)))
+            for pos, h, names in zip(*named_windows(codes, named, width), strict=True):
+                if n_free[pos] > names:
+                    bench.places[int(h)].append((item_id, int(pos)))
         bench.places = dict(bench.places)
         bench.hashes = np.array(sorted(bench.places), np.uint64)
         bench.sieve[(bench.hashes >> np.uint64(44)).astype(np.int64)] = True
         return bench
 
-    def match(self, words: list[str], codes: np.ndarray, width: int, min_containment: float, min_consistency: float) -> list[tuple[int, float, str]]:
+    def match(self, words: list[str], codes: np.ndarray, width: int, min_containment: float, min_consistency: float, named: np.ndarray | None = None) -> list[tuple[int, float, str]]:
         """(item_id, containment, kind) of each item whose template the text holds."""
         hashes = window_hashes(codes, width)
         maybe = np.nonzero(self.sieve[(hashes >> np.uint64(44)).astype(np.int64)])[0]
@@ -146,6 +176,11 @@ class Benchmark:
         for at in maybe.tolist():
             for item_id, pos in self.places.get(int(hashes[at]), ()):
                 hits[item_id].append((at, pos))
+        if named is not None and named.any():
+            places, hashes, _ = named_windows(codes, named, width)
+            for k in np.nonzero(self.sieve[(hashes >> np.uint64(44)).astype(np.int64)])[0].tolist():
+                for item_id, pos in self.places.get(int(hashes[k]), ()):
+                    hits[item_id].append((int(places[k]), pos))
         found = []
         for item_id, places in sorted(hits.items()):
             item, best = self.items[item_id], None
@@ -193,11 +228,17 @@ def _alignments(places: list[tuple[int, int]], length: int) -> list[list[tuple[i
 def _slots(item: Item, words: list[str], codes: np.ndarray, group: list[tuple[int, int]], width: int, least: float) -> str:
     """``verbatim`` if all slots agree, ``reparameterised`` if each value maps to one value, else empty."""
     seen: dict[tuple[int, str], Counter] = defaultdict(Counter)
+    openers: dict[str, Counter] = defaultdict(Counter)
     pairs = {(at + k, pos + k) for at, pos in group for k in range(width)}
     for at, pos in pairs:
-        code = int(item.codes[pos])
+        code, value, there = int(item.codes[pos]), _EDGE.sub("", item.words[pos]).lower(), _EDGE.sub("", words[at]).lower()
         if code in (_NUM, _NAME, _UNIT):
-            seen[code, _EDGE.sub("", item.words[pos]).lower()][_EDGE.sub("", words[at]).lower()] += 1
+            seen[code, value][there] += 1
+        elif len(item.named) and item.named[pos]:
+            openers[value][there] += 1
+    for value, there in openers.items():  # a name if it is one elsewhere, or if it changes; else a word
+        if (_NAME, value) in seen or set(there) != {value}:
+            seen[_NAME, value] += there
     total = sum(sum(c.values()) for c in seen.values())
     if not total:
         return "verbatim"
@@ -223,7 +264,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mi
     """``doc_id, contaminated, item_ids, containment, kind`` for every row of ``docs(doc_id, text, ...)``.
 
     Words lose case and outer punctuation; numbers, units after a number, and capitalised words inside a
-    sentence become typed placeholders. A document is contaminated by an item if a stretch of it holds at
+    sentence become typed placeholders; one that opens a sentence is read both as a word and as a name. A document is contaminated by an item if a stretch of it holds at
     least ``min_containment`` of the item's distinct template windows of ``width`` words and the slots are
     consistent: each value of the item's slots meets one value there (all the same: ``verbatim``, else
     ``reparameterised``). The benchmark is the stated query set: it is matched in blocks of bounded size
@@ -243,6 +284,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mi
     return result.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", F.round("containment", 6).alias("containment"), "kind")
 
 
+def _found(bench: Benchmark, canon: Canonicaliser, words: list[str], width: int, min_containment: float, min_consistency: float) -> list[tuple[int, float, str]]:
+    if len(words) < width:
+        return []
+    codes, named = canon.readings(words)
+    return bench.match(words, codes, width, min_containment, min_consistency, named)
+
+
 def _matcher(rows: list[tuple[int, str]], width: int, min_containment: float, min_consistency: float):
     def run(batches):
         bench, canon = Benchmark.of(rows, width), Canonicaliser()
@@ -250,7 +298,7 @@ def _matcher(rows: list[tuple[int, str]], width: int, min_containment: float, mi
             out = []
             for text in texts:
                 words = text.decode().split()
-                found = bench.match(words, canon.codes(words), width, min_containment, min_consistency) if len(words) >= width else []
+                found = _found(bench, canon, words, width, min_containment, min_consistency)
                 kinds = {k for _, _, k in found}
                 out.append(([i for i, _, _ in found], max((s for _, s, _ in found), default=0.0), "verbatim" if "verbatim" in kinds else "reparameterised" if kinds else None))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([o[0] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.string())], names=["doc_id", "item_ids", "containment", "kind"])
@@ -268,7 +316,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_c
                 clean = []
                 for text in batch.column("text").to_pylist():
                     words = (text or "").split()
-                    clean.append(len(words) < width or not bench.match(words, canon.codes(words), width, min_containment, min_consistency))
+                    clean.append(not _found(bench, canon, words, width, min_containment, min_consistency))
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run

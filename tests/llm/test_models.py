@@ -88,6 +88,17 @@ def test_copies_side_by_side():
         assert [(i, k) for i, _, k in found] == [(1, kind)], (len(texts), between)
 
 
+def test_names_that_open_sentences(spark):
+    """A changed name opens sentences, or does so on one side only; two in one window; a name with two values is another question."""
+    item = "Tom has 5 red apples in a basket. Tom buys 7 more apples from the market. Go. Tom eats 2 apples before lunch how many are left"
+    other = item.replace("Tom", "Bob").replace("5", "9")
+    rows = [(1, other), (2, "it is told that " + other.replace("basket. Bob", "basket and Bob", 1).replace("and ", "")), (3, other.replace("Bob buys", "Ann buys").replace("Bob eats", "Kim eats")), (4, other.replace("Go.", "go."))]
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.kind for r in contamination(frame, bench).collect()}
+    assert got == {1: "reparameterised", 2: "reparameterised", 3: None, 4: "reparameterised"}
+    assert [r.doc_id for r in keep_clean(frame, bench).collect()] == [3]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy now and save on all of the things that you want</div>
 <div class="cookie-notice">We use cookies for the best of all and the rest</div>
