@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +37,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where none is set, as in tests, make one."""
+    """Use the folder the cluster names in spark.checkpoint.dir; only where none is set and all runs in one
+    process, as in tests, make one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
@@ -49,11 +52,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """Semi or anti join with distinct ids. They are counted first: only a set of bounded size is broadcast, so
+def small(df: DataFrame) -> DataFrame:
+    """A checkpoint; its rows are counted, and it is broadcast only if they are few."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_IDS else df
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str) -> DataFrame:
+    """Semi or anti join with distinct keys. They are counted first: only a set of bounded size is broadcast, so
     that the texts of ``df`` stay where they are; a larger one is shuffled with them."""
-    ids = cut_lineage(ids)
-    return df.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, key, how)
+    return df.join(small(ids), key, how)
+
+
+def with_row_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with one more column, a long that tells every row from every other and sorts like ``id_col``.
+
+    It is ``id_col`` itself where that has no null and no value twice. Otherwise rows are range-partitioned by id
+    and numbered in that order, nulls first, and written down, so that the numbers stay what they are.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    odd = docs.groupBy(F.col(id_col)).agg(F.count(F.lit(1)).alias("n")).filter(F.col(id_col).isNull() | (F.col("n") > 1))
+    if odd.isEmpty():
+        return docs.withColumn(name, F.col(id_col).cast("long")), name
+    placed = docs.withColumn(name, F.monotonically_increasing_id())
+    ranged = placed.repartitionByRange(shuffle_width(docs.sparkSession), F.col(id_col), F.xxhash64(F.col(text_col)), F.col(name))
+    ordered = ranged.sortWithinPartitions(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(name))
+    return cut_lineage(ordered.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def arrow_column(fn: Callable, kind: str) -> Callable[..., Column]:
+    """A column function from one over iterators of Arrow arrays: set up once a task; other columns stay in the JVM."""
+    return F.arrow_udf(fn, kind)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -93,10 +124,6 @@ def row_slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[p
             yield batch.slice(at, rows)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node.
 
@@ -149,10 +176,6 @@ def concat_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), offsets
 
 
-def persist_to_disk(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def in_worker(name: str, make: Callable[[], object]):
     """What ``make`` gives, made once in each Python worker process and kept for its later tasks."""
     import sys
