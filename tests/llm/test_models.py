@@ -57,10 +57,10 @@ def test_decontamination(spark, docs, no_docs):
     ]
     frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     for limit in (500_000, 1):
-        got = {r.doc_id: r for r in contamination(frame, bench, block_windows=limit).collect()}
+        got = {r.doc_id: r for r in contamination(frame, bench, block_words=limit).collect()}
         for i, _, items, kind in rows:
             assert (got[i].item_ids, got[i].kind, got[i].contaminated) == (items, kind, bool(items)), i
-        assert {r.doc_id for r in keep_clean(frame, bench, block_windows=limit).collect()} == {5, 6, 7, 9}
+        assert {r.doc_id for r in keep_clean(frame, bench, block_words=limit).collect()} == {5, 6, 7, 9}
     assert contamination(frame, bench.limit(0)).filter("contaminated").count() == 0
     assert keep_clean(docs, bench).columns == docs.columns
     assert contamination(no_docs, bench).count() == 0
@@ -70,8 +70,7 @@ def test_slots_must_agree():
     """The same template with one value of the item in two roles is another question."""
     item = "if 5 birds join 5 birds on the long wire then how many birds sit on the long wire now"
     words = item.replace("5 birds join 5", "5 birds join 8").split()
-    assert not Benchmark.of([(1, item)]).match(words, Canonicaliser().codes(words), 5, 0.8, 0.99)
-    assert Benchmark.of([(1, item)]).match(item.split(), Canonicaliser().codes(item.split()), 5, 0.8, 0.99)
+    assert [bool(f) for f in Benchmark.of([(1, item)]).match_all([words, item.split()], Canonicaliser(), 5, 0.8, 0.99)] == [False, True]
 
 
 def test_copies_side_by_side():
@@ -84,10 +83,23 @@ def test_copies_side_by_side():
     cut = lambda text: " ".join([*text.split()[:11], *"as the old keeper of the lock who was never wrong liked to tell".split(), *text.split()[11:]])
     for texts, between, kind in ((copies[:1], 0, "reparameterised"), (copies[:2], 0, "reparameterised"), (copies[:2], 20, "reparameterised"), (copies, 5, "reparameterised"), ([copies[0], item, copies[1]], 3, "verbatim"), (list(map(cut, copies)), 2, "reparameterised")):
         words = f" {' '.join(fill[:between])} ".join(texts).split()
-        found = bench.match(words, Canonicaliser().codes(words), 5, 0.65, 0.8)
+        found = bench.match_all([fill, words], Canonicaliser(), 5, 0.65, 0.8)[1]
         assert [(i, k) for i, _, k in found] == [(1, kind)], (len(texts), between)
 
 
+def test_repeated_ids_short_items_and_items_of_placeholders(spark):
+    """Items that share an id match each for itself, rows that share a doc_id stay rows, in one block and in several."""
+    fill = "some ordinary words that say nothing of note about anything at all here"
+    bench = [(1, BENCH[0][1]), (1, BENCH[1][1]), (1, BENCH[1][1]), (2, "Too short!"), (3, "7 11 13 17 19 23"), (None, "a null id names a row of the benchmark like any other does")]
+    rows = [(1, BENCH[0][1]), (1, BENCH[0][1]), (1, fill), (2, BENCH[1][1]), (3, "too SHORT"), (4, "this is too short"), (5, f"{fill} 7, 11, 13, 17, 19, 23. {fill}"), (6, f"{fill} 2 11 13 17 19 23 {fill}"), (None, BENCH[1][1])]
+    want = sorted(((i, x) for (i, _), x in zip(rows, ([1], [1], [], [1], [2], [], [3], [], [1]), strict=True)), key=str)
+    frame, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for limit in (500_000, 1):
+        assert sorted(((r.doc_id, r.item_ids) for r in contamination(frame, items, block_words=limit).collect()), key=str) == want
+        kept = sorted(((r.doc_id, r.text) for r in keep_clean(frame, items, block_words=limit).collect()), key=str)
+        assert kept == sorted((r for r, x in zip(rows, ([1], [1], [], [1], [2], [], [3], [], [1]), strict=True) if not x), key=str)
+
+
 def test_names_that_open_sentences(spark):
     """A changed name opens sentences, or does so on one side only; two in one window; a name with two values is another question."""
     item = "Tom has 5 red apples in a basket. Tom buys 7 more apples from the market. Go. Tom eats 2 apples before lunch how many are left"
