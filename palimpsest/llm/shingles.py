@@ -4,7 +4,7 @@ Texts with a Jaccard similarity of 0.8 differ in up to twelve of 64 SimHash bits
 do, and at that radius no segment of a fingerprint stays whole. So this is a prefix-filtered set join: in one
 global order of shingles, two sets of similarity s or more share one of the first n - ceil(s n) + 1 shingles of
 each. The order puts shingles that a bounded sample shows in several texts last, which only makes common lines
-rarely a prefix; any order is right. Every candidate is verified on the whole sets.
+rarely a prefix; any order is right. Every candidate is verified on the whole sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -16,23 +16,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import MAX_BROADCAST_IDS, by_ids, connected_components, cut_lineage, keyed_texts, row_slices, text_slices
-from palimpsest.llm.simhash import near_duplicates, shingle_hashes
+from palimpsest.llm.common import by_ids, connected_components, cut_lineage, keyed_texts, row_slices, small, text_slices, with_row_ids
+from palimpsest.llm.simhash import near_duplicates
 
 WIDTH = 5
 SIMILARITY = 0.8
 #: Bounds of the sample that tells common shingles, and of the set that travels to the workers.
-SAMPLE_ROWS = 3000
-COMMON_ROWS = 4
+SAMPLE_ROWS = 10_000
+COMMON_ROWS = 3
 MAX_COMMON = 300_000
 #: Texts that share a prefix shingle meet in pairs up to this many; beyond, each meets the first and the last, and
 #: what these leave apart meets in blocks.
 PAIR_LIMIT = 8
 BLOCK = 512
-
-
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, width, seed=5))
+#: Bits of the sketch that tells most unlike sets of a block apart; a power of two.
+BITS = 2048
+#: Bytes of one numpy step.
+STEP_BYTES = 1 << 20
+
+_BASE, _MORE = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _byte_codes() -> np.ndarray:
+    """A random 64-bit number for each byte; A-Z have those of a-z."""
+    codes = np.random.default_rng(5).integers(1, 1 << 64, 256, np.uint64)
+    codes[65:91] = codes[97:123]
+    return codes
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_CODES = _byte_codes()
+_SPACE = np.zeros(256, np.int8)
+_SPACE[[9, 10, 11, 12, 13, 32]] = 1
+_POWERS, _INVERSES = _powers(_BASE, STEP_BYTES + 1), _powers(_INVERSE, STEP_BYTES + 1)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MORE
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every word of an array of bytes, A-Z taken as a-z: polynomials over its bytes, mixed."""
+    edge = np.diff(np.concatenate([[1], _SPACE[flat], [1]]).astype(np.int8))
+    start, stop = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+    out, lo = np.empty(len(start), np.uint64), 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(stop, start[lo] + STEP_BYTES, side="right")))
+        first = start[lo]
+        part = flat[first : stop[hi - 1]]
+        powers, inverses = (_POWERS, _INVERSES) if len(part) <= STEP_BYTES else (_powers(_BASE, len(part)), _powers(_INVERSE, len(part)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[part] * powers[: len(part)], dtype=np.uint64)])
+        out[lo:hi] = (sums[stop[lo:hi] - first] - sums[start[lo:hi] - first]) * inverses[start[lo:hi] - first]
+        lo = hi
+    return start, _mix(out)
+
+
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes; a text of fewer words is one shingle."""
+    flat = np.frombuffer(b" ".join(texts), np.uint8)
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    start, words = word_hashes(flat)
+    first = np.searchsorted(start, np.concatenate([[0], ends[:-1]]))
+    last = np.append(first[1:], len(start))
+    n = max(0, len(words) - width + 1)
+    grams = np.zeros(n, np.uint64)
+    for k in range(width):
+        grams = grams * _MORE + words[k : k + n]
+    grams = _mix(grams)
+    out = []
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        if b - a >= width:
+            out.append(np.unique(grams[a : b - width + 1]))
+        else:
+            short = np.uint64(0)
+            for w in words[a:b].tolist():
+                short = np.uint64((int(short) * int(_MORE) + w + 1) & (1 << 64) - 1)
+            out.append(_mix(np.array([short] if b > a else [], np.uint64)))
+    return out
 
 
 def prefix(hashes: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
@@ -45,43 +112,54 @@ def prefix(hashes: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
     return np.concatenate([hashes[~last], hashes[last]])[:size]
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, body``: a text's distinct shingles as sorted 32-bit hashes."""
+def n_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if not len(a) or not len(b):
+        return 0
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """BITS bits, each set if a value falls on it: two sets differ in as many values as their bitmaps at least."""
+    present = np.zeros(BITS, np.uint8)
+    present[(values >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(present).view(np.uint64)
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """``doc_id, n, body, bits``: a text's distinct shingles and their bitmap."""
 
     def run(batches):
-        for ids, texts in text_slices(batches):
-            sets = [np.unique((shingle_set(t, width) >> np.uint64(32)).astype("<u4")) for t in texts]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "body"])
+        for ids, part in text_slices(batches, STEP_BYTES):
+            sets = shingle_sets(part, width)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "body", "bits"])
 
-    return keyed_texts(docs).mapInArrow(run, "doc_id long, n int, body binary")
+    return texts.mapInArrow(run, "doc_id long, n int, body binary, bits binary")
 
 
-def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    texts = keyed_texts(docs)
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     share = min(1.0, SAMPLE_ROWS / max(1, texts.count()))
 
     def run(batches):
-        for _, part in text_slices(batches):
-            for t in part:
-                yield pa.record_batch([pa.array(shingle_set(t, width).view(np.int64))], names=["h"])
+        for _, part in text_slices(batches, STEP_BYTES):
+            yield pa.record_batch([pa.array(np.concatenate(shingle_sets(part, width)).view(np.int64))], names=["h"])
 
-    picked = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit("shingles")), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * SAMPLE_ROWS)
+    picked = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit("shingles")), F.lit(1 << 30)) < share * (1 << 30))
     counts = picked.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON_ROWS)
     found = [r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MAX_COMMON).select("h").collect()]
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
-def _prefix_rows(docs: DataFrame, width: int, least: float) -> DataFrame:
+def _prefix_rows(texts: DataFrame, width: int, least: float) -> DataFrame:
     """``key, id``: the prefix shingles of every text."""
-    common = common_shingles(docs, width)
+    common = common_shingles(texts, width)
 
     def keys(batches):
-        for ids, texts in text_slices(batches):
-            heads = [prefix(shingle_set(t, width), least, common) for t in texts]
-            flat = np.concatenate(heads) if heads else np.empty(0, np.uint64)
-            yield pa.record_batch([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), [len(h) for h in heads]))], names=["key", "id"])
+        for ids, part in text_slices(batches, STEP_BYTES):
+            heads = [prefix(s, least, common) for s in shingle_sets(part, width)]
+            yield pa.record_batch([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), [len(h) for h in heads]))], names=["key", "id"])
 
-    return keyed_texts(docs).mapInArrow(keys, "key long, id long")
+    return texts.mapInArrow(keys, "key long, id long")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -91,30 +169,24 @@ def _groups(rows: DataFrame) -> DataFrame:
     ends and sum of hashed ids.
     """
     of = F.pmod(F.xxhash64("id"), F.lit(1 << 36))
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"), F.max("id").alias("last"), F.sum(of).alias("sum")).filter("first < last")
+    keys = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).cast("int").alias("size"), F.sum(of).alias("sum")).filter("first < last")
     return keys.groupBy("size", "first", "last", "sum").agg(F.min("key").alias("key")).drop("sum")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A checkpoint, broadcast where it has few rows."""
-    df = cut_lineage(df)
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_IDS else df
-
-
 def _verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """``u, v``: those of the pairs ``a, b`` whose whole sets are similar."""
-    sizes = cut_lineage(sets.select("doc_id", "n"))
 
     def verify(batches):
-        for batch in row_slices(batches):
+        for batch in row_slices(batches, 64):
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-                both = len(np.intersect1d(p, q, assume_unique=True))
+                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = n_shared(p, q)
                 keep.append(both > 0 and both >= least * (len(p) + len(q) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda df, end, *names: df.select(F.col("doc_id").alias(end), *[F.col(old).alias(new) for old, new in names])
+    sizes = small(sets.select("doc_id", "n"))
     sized = pairs.join(of(sizes, "a", ("n", "m")), "a").join(of(sizes, "b", ("n", "n")), "b")
     fits = sized.filter(F.least("m", "n") >= F.floor(F.lit(least) * F.greatest("m", "n"))).select("a", "b")
     met = fits.join(of(sets, "a", ("body", "x")), "a").join(of(sets, "b", ("body", "y")), "b").select("a", "b", "x", "y")
@@ -124,79 +196,81 @@ def _verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
 def _across(rows: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
     """``u, v``: all similar pairs of texts with one key and two components, of ``rows(key, id, size, component)``.
 
-    The texts of a key are dealt into blocks, and every two blocks meet in one group of bounded size.
+    The texts of a key are dealt into blocks, and every two blocks meet in one group of bounded size. There only
+    bitmaps are compared: sets whose bitmaps differ by more than similar sets can are told apart. The pairs left,
+    few of which are unlike, are verified.
     """
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component")
+    bound = (1 - least) / (1 + least)
 
     def meet(table):
         mine, ids, component, n = (table.column(c).to_numpy() for c in ("mine", "id", "component", "n"))
-        bodies = [np.frombuffer(b.as_buffer(), "<u4") for b in table.column("body")]
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.nonzero(mine == i)[0], np.nonzero(mine == j)[0]
+        sizes, there, near = n[right], bits[right], component[right]
         u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if len(left) and len(right):
-            flat = np.concatenate([bodies[k] for k in right])
-            starts = np.concatenate([[0], np.cumsum(n[right])[:-1]]).astype(np.int64)
-            for k in left:
-                fits = (component[right] != component[k]) & (np.minimum(n[right], n[k]) >= least * np.maximum(n[right], n[k]) - 1e-9)
-                if not fits.any():
-                    continue
-                at = np.minimum(np.searchsorted(bodies[k], flat), n[k] - 1)
-                both = np.add.reduceat((bodies[k][at] == flat).astype(np.int64), starts)
-                near = ids[right[fits & (both >= least * (n[right] + n[k] - both) - 1e-9)]]
-                u.append(np.minimum(near, ids[k]))
-                v.append(np.maximum(near, ids[k]))
-        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
-
-    full = cells.join(sets.withColumnRenamed("doc_id", "id"), "id")
-    return full.groupBy("key", "i", "j").applyInArrow(meet, "u long, v long").distinct()
-
-
-def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, known: DataFrame | None = None, pair_limit: int = PAIR_LIMIT, block: int = BLOCK) -> DataFrame:
+        for k in left:
+            apart = np.bitwise_count(there ^ bits[k]).sum(axis=1, dtype=np.int64)
+            found = ids[right[(near != component[k]) & (apart <= bound * (sizes + n[k]) + 1e-6)]]
+            u.append(np.minimum(found, ids[k]))
+            v.append(np.maximum(found, ids[k]))
+        return pa.table({"a": np.concatenate(u), "b": np.concatenate(v)})
+
+    full = cells.join(sets.select(F.col("doc_id").alias("id"), "n", "bits"), "id")
+    return _verified(sets, cut_lineage(full.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()), least)
+
+
+def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, known: DataFrame | None = None, pair_limit: int = PAIR_LIMIT, block: int = BLOCK, id_col: str = "doc_id") -> DataFrame:
     """``u, v``: verified links that connect all rows of ``docs(doc_id, text)`` of Jaccard similarity ``least`` or more.
 
     Texts that share a prefix shingle with few others meet in all pairs. Where more than ``pair_limit`` share one,
     each is first compared with the first and the last of them, which joins a family of copies in linear work; then
     all texts of such a shingle that these links and those of ``known(u, v)`` leave in different components are
-    compared with one another. So no link between components is lost. Texts of fewer words than ``width`` are one
-    shingle.
+    compared with one another, block by block. So no link between components is lost. Texts of fewer words than
+    ``width`` are one shingle; null texts and texts without words have none and no links. Ids must be unique. An
+    empty table gives an empty result.
     """
-    rows = _prefix_rows(docs, width, least)
+    texts = keyed_texts(docs, id_col)
+    rows = cut_lineage(_prefix_rows(texts, width, least))
     groups = cut_lineage(_groups(rows))
-    members = cut_lineage(rows.join(_small(groups.filter("size > 2")), "key"))
+    members = cut_lineage(rows.join(small(groups.filter("size > 2")), "key"))
     twos = groups.filter("size = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
     large = members.filter(F.col("size") > pair_limit)
     meets = large.select("id", F.explode(F.array("first", "last")).alias("other"))
     stars = meets.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    small = members.filter(F.col("size") <= pair_limit).select("key", "id")
-    pairs = small.join(small.select("key", F.col("id").alias("b")), "key").select(F.col("id").alias("a"), "b")
+    few = members.filter(F.col("size") <= pair_limit).select("key", "id")
+    pairs = few.join(few.select("key", F.col("id").alias("b")), "key").select(F.col("id").alias("a"), "b")
     wanted = cut_lineage(twos.unionByName(stars).unionByName(pairs).filter("a < b").distinct())
     named = wanted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = lambda ids: _sets(by_ids(keyed_texts(docs), ids, "doc_id", "left_semi"), width)
-    links = cut_lineage(_verified(sets(named), wanted, least))
+    sets = lambda ids: cut_lineage(_sets(by_ids(texts, ids, "doc_id", "left_semi"), width))
+    bodies = sets(named)
+    links = cut_lineage(_verified(bodies, wanted, least))
     ids = large.select("id").distinct()
     if ids.isEmpty():
         return links
     roots = connected_components(ids.withColumnRenamed("id", "node"), links if known is None else links.unionByName(known))
     tagged = cut_lineage(large.select("key", "id", "size").join(roots.withColumnRenamed("node", "id"), "id"))
     apart = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rest = cut_lineage(tagged.join(_small(apart), "key"))
+    rest = cut_lineage(tagged.join(small(apart), "key"))
     if rest.isEmpty():
         return links
-    return links.unionByName(_across(rest, sets(rest.select(F.col("id").alias("doc_id")).distinct()).distinct(), least, block))
+    return links.unionByName(_across(rest, bodies, least, block))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs(doc_id, text, ...)``, all columns, with the least doc_id of their group.
+    """The row of ``docs(doc_id, text, ...)``, all columns, with the least doc_id of each group.
 
-    A group hangs together by SimHash links (see near_duplicates) and by verified links of similarity
-    ``least`` or more over shingles of ``width`` words.
+    A group hangs together by SimHash links (see near_duplicates) and by verified links of similarity ``least``
+    or more over shingles of ``width`` words. Rows are told apart even where they share a doc_id or have none:
+    exactly one row of a group stays. Texts without words are one group. An empty table gives an empty result.
     """
-    base = cut_lineage(near_duplicates(docs).select("doc_id", "component_id").distinct())
+    rows, row = with_row_ids(docs)
+    base = cut_lineage(near_duplicates(rows, id_col=row).select("doc_id", "component_id"))
     known = base.filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    links = similar_pairs(docs, width, least, known)
+    links = similar_pairs(rows, width, least, known, id_col=row)
     roots = connected_components(base.select(F.col("doc_id").alias("node")), links.unionByName(known))
-    dropped = roots.filter("node <> component").select(F.col("node").alias("doc_id"))
-    return by_ids(docs, dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = roots.filter("node <> component").select(F.col("node").alias(row))
+    return by_ids(rows, dropped, row, "left_anti").select(*docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import by_ids, connected_components, cut_lineage, keyed_texts, text_slices
+from palimpsest.llm.common import by_ids, connected_components, cut_lineage, keyed_texts, small, text_slices, with_row_ids
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -57,7 +57,7 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed long) of every row."""
 
     def run(batches):
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             prints = np.array([fingerprint(shingle_hashes(t, width, seed)) for t in texts], np.uint64)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
-    return keyed_texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return keyed_texts(docs, id_col).mapInArrow(run, "doc_id long, fp long")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -144,28 +144,30 @@ def near_pairs(prints: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """``doc_id, fingerprint, component_id, n_links`` for every row of ``docs(doc_id, text, ...)``.
+def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, pair_limit: int = PAIR_LIMIT, id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row of ``docs(doc_id, text, ...)``.
 
     Fingerprints link at two or fewer differing bits; ``component_id`` is the least doc_id that links reach,
-    the row itself included; ``n_links`` counts the distinct other fingerprints linked directly by the join.
-    Null and empty texts, and texts of white space only, have fingerprint zero and link like any other.
-    Repeated rows and equal texts share a fingerprint, hence a component. Texts of any length are read
-    whole. An empty table gives an empty result. Columns other than doc_id and text are ignored.
+    the row itself included. Null and empty texts, and texts of white space only, have fingerprint zero and link
+    like any other. Repeated rows and equal texts share a fingerprint, hence a component. Texts of any length are
+    read whole. An empty table gives an empty result. Columns other than doc_id and text are ignored.
     """
-    each = cut_lineage(fingerprints(docs, width, seed))
+    each = cut_lineage(fingerprints(docs, width, seed, id_col))
     distinct = cut_lineage(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = near_pairs(distinct.select("fp"), pair_limit)
-    ends = cut_lineage(links)
-    names = distinct.select(F.col("fp").alias("u"), F.col("first_id").alias("a"))
+    ends = cut_lineage(near_pairs(distinct.select("fp"), pair_limit))
+    names = small(distinct.select(F.col("fp").alias("u"), F.col("first_id").alias("a")))
     named = ends.join(names, "u").join(names.select(F.col("u").alias("v"), F.col("a").alias("b")), "v")
-    roots = connected_components(distinct.select(F.col("first_id").alias("node")), named.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    degree = ends.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = distinct.join(roots, distinct.first_id == roots.node).join(degree, "fp", "left").select("fp", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return each.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"), "n_links")
+    # two fingerprints may have one first id where that id has several rows
+    roots = connected_components(distinct.select(F.col("first_id").alias("node")).distinct(), named.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    classes = small(distinct.join(roots, distinct.first_id.eqNullSafe(roots.node)).select("fp", "component"))
+    return each.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of ``docs(doc_id, text, ...)``, all columns, with the least doc_id of their component."""
-    dropped = near_duplicates(docs, width, seed).filter("doc_id <> component_id").select("doc_id")
-    return by_ids(docs, dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The row of ``docs(doc_id, text, ...)``, all columns, with the least doc_id of each component.
+
+    Rows are told apart even where they share a doc_id or have none: exactly one row of a component stays.
+    """
+    rows, row = with_row_ids(docs)
+    dropped = near_duplicates(rows, width, seed, id_col=row).filter("doc_id <> component_id").select(F.col("doc_id").alias(row))
+    return by_ids(rows, dropped, row, "left_anti").select(*docs.columns)

@@ -8,7 +8,7 @@ import xxhash
 
 from palimpsest.llm.common import connected_components
 from palimpsest.llm.exactdedup import exact_duplicates, keep_last_copies
-from palimpsest.llm.shingles import keep_one_of_each, prefix, shingle_set, similar_pairs
+from palimpsest.llm.shingles import keep_one_of_each, prefix, shingle_sets, similar_pairs
 from palimpsest.llm.simhash import decode, fingerprint, near_duplicates, near_pairs, nearby_codewords, shingle_hashes
 from palimpsest.llm.substrdedup import repeated_windows
 from palimpsest.llm.suffixdedup import repeated_substrings
@@ -178,7 +178,7 @@ def test_similar_pairs(spark, docs, rows, no_docs):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             texts[len(texts)] = f"{' '.join(copy)}"
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    sets = {i: set(shingle_set(t.encode(), 5).tolist()) for i, t in texts.items()}
+    sets = {i: set(shingle_sets([t.encode()], 5)[0].tolist()) for i, t in texts.items()}
     true = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     got = {(r.u, r.v) for r in similar_pairs(frame).collect()}
     assert got <= true and len(true) > 20
@@ -197,7 +197,7 @@ def test_no_similar_pair_is_lost_where_many_texts_share_a_shingle(spark):
     block, parts = made(304), [made(30) for _ in range(20)]
     texts = {k: " ".join([block, *(parts[p] for p in sorted(rng.sample(range(20), 3)))]) for k in range(80)}
     texts[40] += " " + made(500)
-    sets = {i: set(shingle_set(t.encode(), 5).tolist()) for i, t in texts.items()}
+    sets = {i: set(shingle_sets([t.encode()], 5)[0].tolist()) for i, t in texts.items()}
     true = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     got = {(r.u, r.v) for r in similar_pairs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     link = lambda pairs: components(sorted(texts), lambda a, b: (min(a, b), max(a, b)) in pairs)
@@ -211,3 +211,47 @@ def test_prefix_puts_common_shingles_last():
     assert prefix(h, 0.8, np.empty(0, np.uint64)).tolist() == [1, 2, 3]
     assert prefix(h, 0.8, np.array([1, 3, 99], np.uint64)).tolist() == [2, 4, 5]
     assert prefix(h[:1], 0.8, h).tolist() == [1] and not len(prefix(h[:0], 0.8, h))
+
+
+ODD = [(1, "same", "a"), (1, "only here", "b"), (9, "SAME", "c"), (9, "same", "d"), (9, "same", "d"), (None, "same", "e"), (None, "two words", "f"), (None, "two words", "g"), (4, None, "h"), (3, "", "i")]
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """Of equal texts one row stays, whatever other rows its id has; no text is lost with a copy of another."""
+    from palimpsest.llm.exactdedup import keep_last_copies
+    from palimpsest.llm.simhash import keep_one_of_each as keep_by_fingerprint
+
+    frame = spark.createDataFrame(ODD, "doc_id long, text string, n string")
+    kept = sorted((r.doc_id, (r.text or "").lower()) for r in keep_last_copies(frame.filter("doc_id IS NOT NULL")).collect())
+    assert kept == [(1, "only here"), (4, ""), (9, "same")]
+    kept = sorted((str(r.doc_id), (r.text or "").lower()) for r in keep_last_copies(frame).collect())
+    assert kept == [("1", "only here"), ("4", ""), ("9", "same"), ("None", "two words")]
+    for keep in (keep_by_fingerprint, keep_one_of_each):
+        kept = sorted((r.text or "").lower() for r in keep(frame).collect())
+        assert kept == ["", "only here", "same", "two words"]
+
+
+def test_large_key_sets_are_joined_by_shuffle(spark, docs, monkeypatch):
+    from palimpsest.llm import common
+    from palimpsest.llm.exactdedup import keep_last_copies
+
+    few = sorted(r.doc_id for r in keep_last_copies(docs).collect())
+    groups = sorted(map(tuple, exact_duplicates(docs).collect()))
+    monkeypatch.setattr(common, "MAX_BROADCAST_IDS", 0)
+    assert sorted(r.doc_id for r in keep_last_copies(docs).collect()) == few
+    assert sorted(map(tuple, exact_duplicates(docs).collect())) == groups
+
+
+def test_shingles_do_not_depend_on_the_slice(monkeypatch):
+    import numpy as np
+
+    from palimpsest.llm import shingles
+
+    rng = random.Random(4)
+    texts = ["", "a", "A b", " ".join(rng.choice(["x", "Yy", "zzz", "w" * 90]) for _ in range(300)), "\t one\ntwo three  four five\x0bsix ", "é ü ß"]
+    whole = shingle_sets([t.encode() for t in texts], 5)
+    assert [len(s) for s in whole[:3]] == [0, 1, 1] and len(whole[4]) == 2
+    alone = [shingle_sets([t.lower().encode()], 5)[0] for t in texts]
+    monkeypatch.setattr(shingles, "STEP_BYTES", 64)
+    small = shingle_sets([t.encode() for t in texts], 5)
+    assert all(np.array_equal(a, b) and np.array_equal(a, c) for a, b, c in zip(whole, alone, small, strict=True))
