@@ -18,8 +18,8 @@ SEQUENCE_TOKENS = 1024
 SEPARATOR_ID = 0
 DIMENSIONS = 4
 BITS = 12
-#: Encoded units, of either kind, that a worker remembers.
-CACHE_UNITS = 400_000
+#: Bounds of what a worker remembers of encoded units: how many of either kind, and how long each may be.
+CACHE_UNITS, CACHE_CHARS = 120_000, 32
 #: Texts of one vector step, in bytes: its arrays then stay in the processor's cache.
 VECTOR_BYTES = 192 << 10
 #: Bound of the sample of documents whose keys give the range splitters.
@@ -63,7 +63,7 @@ class UnitEncoder:
 
     def _unit(self, unit: str, known: dict[str, bytes], key: str) -> bytes:
         packed = array(self.code, self.fast.encode_ordinary(unit)).tobytes()
-        if len(known) < CACHE_UNITS:
+        if len(known) < CACHE_UNITS and len(key) <= CACHE_CHARS:
             known[key] = packed
         return packed
 
