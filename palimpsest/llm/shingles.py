@@ -126,15 +126,25 @@ def bitmap(values: np.ndarray) -> np.ndarray:
     return np.packbits(present).view(np.uint64)
 
 
-def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, body, bits``: a text's distinct shingles and their bitmap."""
+def _sketches(texts: DataFrame, width: int) -> DataFrame:
+    """``doc_id, n, bits``: how many distinct shingles a text has, and their bitmap."""
 
     def run(batches):
         for ids, part in text_slices(batches, STEP_BYTES):
             sets = shingle_sets(part, width)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "body", "bits"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "bits"])
 
-    return texts.mapInArrow(run, "doc_id long, n int, body binary, bits binary")
+    return texts.mapInArrow(run, "doc_id long, n int, bits binary")
+
+
+def _bodies(texts: DataFrame, width: int) -> DataFrame:
+    """``doc_id, body``: the distinct shingles of a text."""
+
+    def run(batches):
+        for ids, part in text_slices(batches, STEP_BYTES):
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(part, width)], pa.binary())], names=["doc_id", "body"])
+
+    return texts.mapInArrow(run, "doc_id long, body binary")
 
 
 def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
@@ -150,30 +160,55 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
-def _prefix_rows(texts: DataFrame, width: int, least: float) -> DataFrame:
-    """``key, id``: the prefix shingles of every text."""
+def _prefixes(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """``id, keys``: the prefix shingles of every text that has words."""
     common = common_shingles(texts, width)
 
-    def keys(batches):
+    def run(batches):
         for ids, part in text_slices(batches, STEP_BYTES):
             heads = [prefix(s, least, common) for s in shingle_sets(part, width)]
-            yield pa.record_batch([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), [len(h) for h in heads]))], names=["key", "id"])
+            offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads).view(np.int64)))
+            yield pa.record_batch([pa.array(ids, pa.int64()), keys], names=["id", "keys"]).filter(pa.array(np.diff(offsets) > 0))
 
-    return texts.mapInArrow(keys, "key long, id long")
+    return texts.mapInArrow(run, "id long, keys array<long>")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
     """``size, first, last, key``: one key for each set of texts that share one.
 
-    Copies share most of their prefix, so that many keys have the same texts; sets are told apart by their size,
-    ends and sum of hashed ids.
+    Most keys are one text's alone; they go first, by two numbers a key. Copies share most of their prefix, so that
+    many keys have the same texts; sets are told apart by their size, ends and sum of hashed ids.
     """
+    ends = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     of = F.pmod(F.xxhash64("id"), F.lit(1 << 36))
-    keys = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).cast("int").alias("size"), F.sum(of).alias("sum")).filter("first < last")
-    return keys.groupBy("size", "first", "last", "sum").agg(F.min("key").alias("key")).drop("sum")
+    sums = rows.join(small(ends), "key").groupBy("key", "first", "last").agg(F.count(F.lit(1)).cast("int").alias("size"), F.sum(of).alias("sum"))
+    return sums.groupBy("size", "first", "last", "sum").agg(F.min("key").alias("key")).drop("sum")
+
+
+def _of(rows: DataFrame, end: str, **names: str) -> DataFrame:
+    """Columns of ``rows(doc_id, ...)`` under the names that they have at one end of a pair."""
+    return rows.select(F.col("doc_id").alias(end), *[F.col(old).alias(new) for new, old in names.items()])
+
+
+def _sketched(sketches: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sizes and bitmaps do not tell them apart; no similar pair is lost."""
+    bound = (1 - least) / (1 + least)
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            n = batch.column("m").to_numpy().astype(np.int64) + batch.column("n").to_numpy()
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= bound * n + 1e-6))
+
+    sizes = small(sketches.select("doc_id", "n"))
+    sized = pairs.join(_of(sizes, "a", m="n"), "a").join(_of(sizes, "b", n="n"), "b")
+    fits = sized.filter(F.least("m", "n") >= F.floor(F.lit(least) * F.greatest("m", "n")))
+    return fits.join(_of(sketches, "a", x="bits"), "a").join(_of(sketches, "b", y="bits"), "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
     """``u, v``: those of the pairs ``a, b`` whose whole sets are similar."""
 
     def verify(batches):
@@ -185,20 +220,19 @@ def _verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
                 keep.append(both > 0 and both >= least * (len(p) + len(q) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda df, end, *names: df.select(F.col("doc_id").alias(end), *[F.col(old).alias(new) for old, new in names])
-    sizes = small(sets.select("doc_id", "n"))
-    sized = pairs.join(of(sizes, "a", ("n", "m")), "a").join(of(sizes, "b", ("n", "n")), "b")
-    fits = sized.filter(F.least("m", "n") >= F.floor(F.lit(least) * F.greatest("m", "n"))).select("a", "b")
-    met = fits.join(of(sets, "a", ("body", "x")), "a").join(of(sets, "b", ("body", "y")), "b").select("a", "b", "x", "y")
+    pairs = cut_lineage(pairs)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    bodies = cut_lineage(_bodies(by_ids(texts, named, "doc_id", "left_semi"), width))
+    met = pairs.join(_of(bodies, "a", x="body"), "a").join(_of(bodies, "b", y="body"), "b").select("a", "b", "x", "y")
     return met.mapInArrow(verify, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _across(rows: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
-    """``u, v``: all similar pairs of texts with one key and two components, of ``rows(key, id, size, component)``.
+def _across(rows: DataFrame, sketches: DataFrame, least: float, block: int) -> DataFrame:
+    """``a, b``: all pairs of texts with one key and two components, of ``rows(key, id, size, component)``, that
+    sizes and bitmaps do not tell apart; few of them are unlike.
 
-    The texts of a key are dealt into blocks, and every two blocks meet in one group of bounded size. There only
-    bitmaps are compared: sets whose bitmaps differ by more than similar sets can are told apart. The pairs left,
-    few of which are unlike, are verified.
+    The texts of a key are dealt into blocks, and every two blocks meet in one group of bounded size, which holds
+    their bitmaps only.
     """
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -219,8 +253,8 @@ def _across(rows: DataFrame, sets: DataFrame, least: float, block: int) -> DataF
             v.append(np.maximum(found, ids[k]))
         return pa.table({"a": np.concatenate(u), "b": np.concatenate(v)})
 
-    full = cells.join(sets.select(F.col("doc_id").alias("id"), "n", "bits"), "id")
-    return _verified(sets, cut_lineage(full.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()), least)
+    full = cells.join(_of(sketches, "id", n="n", bits="bits"), "id")
+    return full.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
 def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, known: DataFrame | None = None, pair_limit: int = PAIR_LIMIT, block: int = BLOCK, id_col: str = "doc_id") -> DataFrame:
@@ -234,7 +268,7 @@ def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY
     empty table gives an empty result.
     """
     texts = keyed_texts(docs, id_col)
-    rows = cut_lineage(_prefix_rows(texts, width, least))
+    rows = cut_lineage(_prefixes(texts, width, least)).select(F.explode("keys").alias("key"), "id")
     groups = cut_lineage(_groups(rows))
     members = cut_lineage(rows.join(small(groups.filter("size > 2")), "key"))
     twos = groups.filter("size = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
@@ -245,9 +279,8 @@ def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY
     pairs = few.join(few.select("key", F.col("id").alias("b")), "key").select(F.col("id").alias("a"), "b")
     wanted = cut_lineage(twos.unionByName(stars).unionByName(pairs).filter("a < b").distinct())
     named = wanted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = lambda ids: cut_lineage(_sets(by_ids(texts, ids, "doc_id", "left_semi"), width))
-    bodies = sets(named)
-    links = cut_lineage(_verified(bodies, wanted, least))
+    sketches = cut_lineage(_sketches(by_ids(texts, named, "doc_id", "left_semi"), width))
+    links = cut_lineage(_verified(texts, _sketched(sketches, wanted, least), width, least))
     ids = large.select("id").distinct()
     if ids.isEmpty():
         return links
@@ -257,7 +290,7 @@ def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY
     rest = cut_lineage(tagged.join(small(apart), "key"))
     if rest.isEmpty():
         return links
-    return links.unionByName(_across(rest, bodies, least, block))
+    return links.unionByName(cut_lineage(_verified(texts, _across(rest, sketches, least, block), width, least)))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
