@@ -25,8 +25,8 @@ SIMILARITY = 0.8
 SAMPLE_ROWS = 10_000
 COMMON_ROWS = 3
 MAX_COMMON = 300_000
-#: Texts that share a prefix shingle meet in pairs up to this many; beyond, each meets the first and the last, and
-#: what these leave apart meets in blocks.
+#: Texts that share a prefix shingle meet in pairs up to this many; beyond, each meets the first and then the last,
+#: and what these leave apart meets in blocks.
 PAIR_LIMIT = 8
 BLOCK = 512
 #: Bits of the sketch that tells most unlike sets of a block apart; a power of two.
@@ -260,12 +260,13 @@ def _across(rows: DataFrame, sketches: DataFrame, least: float, block: int) -> D
 def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, known: DataFrame | None = None, pair_limit: int = PAIR_LIMIT, block: int = BLOCK, id_col: str = "doc_id") -> DataFrame:
     """``u, v``: verified links that connect all rows of ``docs(doc_id, text)`` of Jaccard similarity ``least`` or more.
 
-    Texts that share a prefix shingle with few others meet in all pairs. Where more than ``pair_limit`` share one,
-    each is first compared with the first and the last of them, which joins a family of copies in linear work; then
-    all texts of such a shingle that these links and those of ``known(u, v)`` leave in different components are
-    compared with one another, block by block. So no link between components is lost. Texts of fewer words than
-    ``width`` are one shingle; null texts and texts without words have none and no links. Ids must be unique. An
-    empty table gives an empty result.
+    Links only have to connect: a pair that ``known(u, v)`` or earlier links already join is not looked at again.
+    Where more than ``pair_limit`` texts share a prefix shingle, each first meets the least text that any of its
+    shingles has, one pair a text, which joins a family of copies in linear work. Then texts that share a shingle
+    with few others meet in all pairs, and those of the large groups the first and the last of each. Last, texts of
+    a large group that are still in different components are compared with one another, block by block. So no link
+    between components is lost. Texts of fewer words than ``width`` are one shingle; null texts and texts without
+    words have none and no links. Ids must be unique. An empty table gives an empty result.
     """
     texts = keyed_texts(docs, id_col)
     rows = cut_lineage(_prefixes(texts, width, least)).select(F.explode("keys").alias("key"), "id")
@@ -278,19 +279,28 @@ def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY
     few = members.filter(F.col("size") <= pair_limit).select("key", "id")
     pairs = few.join(few.select("key", F.col("id").alias("b")), "key").select(F.col("id").alias("a"), "b")
     wanted = cut_lineage(twos.unionByName(stars).unionByName(pairs).filter("a < b").distinct())
-    named = wanted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    named = cut_lineage(wanted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sketches = cut_lineage(_sketches(by_ids(texts, named, "doc_id", "left_semi"), width))
-    links = cut_lineage(_verified(texts, _sketched(sketches, wanted, least), width, least))
+    nodes = named.select(F.col("doc_id").alias("node"))
+    verified = lambda found: cut_lineage(_verified(texts, found, width, least))
+    one_each = large.groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).filter("a < b").select("a", "b")
+    links = verified(_sketched(sketches, one_each, least))
+    joined = links if known is None else links.unionByName(known)
+    links = links.unionByName(verified(_sketched(sketches, _apart(wanted, small(connected_components(nodes, joined))), least)))
     ids = large.select("id").distinct()
     if ids.isEmpty():
         return links
-    roots = connected_components(ids.withColumnRenamed("id", "node"), links if known is None else links.unionByName(known))
+    roots = small(connected_components(nodes, links if known is None else links.unionByName(known)))
     tagged = cut_lineage(large.select("key", "id", "size").join(roots.withColumnRenamed("node", "id"), "id"))
     apart = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     rest = cut_lineage(tagged.join(small(apart), "key"))
-    if rest.isEmpty():
-        return links
-    return links.unionByName(cut_lineage(_verified(texts, _across(rest, sketches, least, block), width, least)))
+    return links if rest.isEmpty() else links.unionByName(verified(_across(rest, sketches, least, block)))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` whose ends are in different components of ``roots(node, component)``."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter("root_a <> root_b").select("a", "b")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
