@@ -1,25 +1,32 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page becomes a list of text blocks. The first pass decides what it can: markup that names a menu, header,
-form and the like is boilerplate; so are blocks made of links; long blocks with many stop words are text.
-The second pass gives the short and ambiguous blocks the label of their nearest decided neighbours.
+form and the like is boilerplate; so are blocks made of links; long blocks with enough stop words are text. On a
+page whose language the stop words do not know, length and links alone decide. The second pass gives all other
+blocks the label of their nearest decided neighbours: those inside an article or main element look at one another,
+those outside at all.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import row_slices
+
 MAX_LINK_DENSITY = 0.33
 SHORT_CHARS = 70
 LONG_CHARS = 140
 LOW_STOPWORDS = 0.12
 HIGH_STOPWORDS = 0.25
+#: A page whose text has a smaller share of stop words is in a language that they do not know.
+KNOWN_STOPWORDS = 0.05
 
 #: Frequent function words of English, German, French and Spanish.
 STOPWORDS = frozenset(
@@ -35,11 +42,10 @@ STOPWORDS = frozenset(
     ).split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|title|object)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
-    re.S | re.I,
-)
+#: A tag up to its end: a > inside a quoted value does not end it.
+_TAG = re.compile(r"(?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>", re.I) for t in "script style noscript template iframe svg textarea select title object".split()}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_PART = re.compile(r"[a-z]+")
 
@@ -63,6 +69,7 @@ BOILERPLATE_NAMES = frozenset(
     "sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ALWAYS_BOILERPLATE = frozenset("comment comments disqus replies reply respond ad ads advert advertisement sidebar cookie cookies newsletter".split())
 
 
@@ -72,13 +79,15 @@ class Block:
     link_chars: int
     boilerplate: bool
     in_main: bool
+    heading: bool = False
 
     def link_density(self) -> float:
         return self.link_chars / max(1, len(self.text))
 
-    def stopword_density(self) -> float:
+    def stopwords(self) -> tuple[int, int]:
+        """How many stop words, and how many words."""
         words = [w.strip(".,;:!?\"'()[]%#*&$|-") for w in self.text.lower().split()]
-        return sum(w in STOPWORDS for w in words) / max(1, len(words))
+        return sum(w in STOPWORDS for w in words), len(words)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -100,153 +109,213 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
 
 
 def _is_main(tag: str, attributes: str) -> bool:
-    if tag in MAIN_TAGS:
-        return True
-    if tag not in ("div", "section", "td") or not attributes.strip():
-        return False
-    a = _attributes(attributes)
-    names = set(_NAME_PART.findall(f"{a.get('class', '')} {a.get('id', '')}".lower()))
-    return a.get("role", "").lower() in ("main", "article") or bool(names & {"article", "content", "post", "entry", "story"})
+    return tag in MAIN_TAGS or "role" in attributes and _attributes(attributes).get("role", "").lower() in ("main", "article")
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", tag, attributes) and ("close", tag, "") in page order, in linear time.
+
+    Comments, declarations and the content of scripts and the like are passed over; what only looks like markup
+    is text. Elements passed over come as one "raw" token.
+    """
+    at, quotes, last = 0, True, page.rfind(">")
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            start = len(page)
+        if start > at:
+            yield "text", page[at:start], ""
+        if start == len(page):
+            return
+        at = start
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+        elif start > last:
+            yield "text", "<", ""
+            at = start + 1
+        elif page[start + 1] in "!?":
+            at = page.find(">", start) + 1
+        elif name := _NAME.match(page, start):
+            end = _TAG.match(page, name.end()) if quotes else None
+            if end is None:  # a quote that nothing closes: from here on quotes mean nothing
+                quotes = False
+            at = end.end() if end else page.find(">", name.end()) + 1
+            tag = name[2].lower()
+            if name[1]:
+                yield "close", tag, ""
+            elif tag in _RAW_END:
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
+                yield "raw", tag, ""
+            else:
+                yield "open", tag, page[name.end() : at - 1]
+        else:
+            yield "text", "<", ""
+            at = start + 1
+
+
+class _Open:
+    """The open elements, and where the last of each name, each scope and each block stands: every step is constant."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = [-1]
+        self.blocks: list[int] = [-1]
+        self.bad = self.main = self.links = self.headings = 0
+
+    def push(self, tag: str, bad: bool, main: bool) -> None:
+        where = len(self.stack)
+        self.stack.append((tag, bad, main))
+        self.at.setdefault(tag, []).append(where)
+        if tag in SCOPES:
+            self.scopes.append(where)
+        if tag in BLOCK_TAGS:
+            self.blocks.append(where)
+        self._count(1, tag, bad, main)
+
+    def _count(self, n: int, tag: str, bad: bool, main: bool) -> None:
+        self.bad, self.main, self.links, self.headings = self.bad + n * bad, self.main + n * main, self.links + n * (tag == "a"), self.headings + n * (tag in HEADINGS)
+
+    def last(self, tag: str) -> int:
+        found = self.at.get(tag)
+        return found[-1] if found else -1
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            tag, bad, main = self.stack.pop()
+            self.at[tag].pop()
+            for many in (self.scopes, self.blocks):
+                if many[-1] == len(self.stack):
+                    many.pop()
+            self._count(-1, tag, bad, main)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, with what the open elements around each say of it."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
-    bad = main = links = link_chars = 0
+    link_chars, now = 0, _Open()
 
     def flush() -> None:
         nonlocal parts, link_chars
         text = " ".join("".join(parts).split())
         if text:
-            found.append(Block(text, link_chars, bad > 0, main > 0))
+            found.append(Block(text, link_chars, now.bad > 0, now.main > 0, now.headings > 0))
         parts, link_chars = [], 0
 
-    def pop_to(size: int) -> None:
-        nonlocal bad, main, links
-        while len(stack) > size:
-            tag, was_bad, was_main = stack.pop()
-            bad, main, links = bad - was_bad, main - was_main, links - (tag == "a")
-
-    for m in _TOKEN.finditer(page):
-        raw, closing, tag = m[1], m[2], m[3]
-        if raw:
-            if raw.lower() in ("title", "textarea", "select", "iframe", "object"):
-                flush()
+    for kind, tag, attributes in tokens(page):
+        if kind == "text":
+            text = html.unescape(tag)
+            parts.append(text)
+            if now.links:
+                link_chars += len("".join(text.split()))
             continue
-        if tag is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                text = html.unescape(piece)
-                parts.append(text)
-                if links:
-                    link_chars += len("".join(text.split()))
+        if kind == "raw":
+            if tag in ("title", "textarea", "select", "iframe", "object"):
+                flush()
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
             continue
         if tag in BLOCK_TAGS:
             flush()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if stack[k][0] in SCOPES and tag not in SCOPES:
-                    break
+        if kind == "close":
+            where = now.last(tag)
+            if where >= 0 and (tag in SCOPES or where > now.scopes[-1]):
+                now.cut(where)
             continue
-        if tag in VOID_TAGS or m[4].endswith("/") and tag not in BLOCK_TAGS:
+        if tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS:
             continue
         ends = SELF_CLOSING.get(tag) or (("p",) if tag in BLOCK_TAGS else ())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                pop_to(k)
-                break
-            if stack[k][0] in SCOPES:
-                break
-        if tag == "a":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "a":
-                    pop_to(k)
-                    break
-                if stack[k][0] in BLOCK_TAGS:
-                    break
-        is_bad, is_main = _is_boilerplate(tag, m[4]), _is_main(tag, m[4])
-        stack.append((tag, is_bad, is_main))
-        bad, main, links = bad + is_bad, main + is_main, links + (tag == "a")
+        where = max((now.last(e) for e in ends), default=-1)
+        if where > now.scopes[-1]:
+            now.cut(where)
+        if tag == "a" and now.last("a") > now.blocks[-1]:
+            now.cut(now.last("a"))
+        now.push(tag, _is_boilerplate(tag, attributes), _is_main(tag, attributes))
     flush()
     return found
 
 
-def first_pass(block: Block, has_main: bool) -> str:
-    """``good``, ``bad``, or ``short`` if only the neighbours can tell."""
+def knows_language(blocks: list[Block]) -> bool:
+    """Whether stop words are common enough in what may be text."""
+    counts = [b.stopwords() for b in blocks if not b.boilerplate and b.link_density() <= MAX_LINK_DENSITY]
+    return sum(c[0] for c in counts) >= KNOWN_STOPWORDS * sum(c[1] for c in counts)
+
+
+def first_pass(block: Block, known: bool) -> str:
+    """``good``, ``bad``, or ``near`` if only the neighbours can tell."""
     if block.boilerplate or block.link_density() > MAX_LINK_DENSITY:
         return "bad"
-    if has_main:
-        return "bad" if not block.in_main else "short" if len(block.text) < SHORT_CHARS else "good"
     if len(block.text) < SHORT_CHARS:
-        return "short"
-    density = block.stopword_density()
-    if density >= HIGH_STOPWORDS or density >= LOW_STOPWORDS and len(block.text) >= LONG_CHARS:
+        return "near"
+    if not known:
         return "good"
-    return "short" if density >= LOW_STOPWORDS else "bad"
+    stop, words = block.stopwords()
+    density = stop / max(1, words)
+    return "good" if density >= HIGH_STOPWORDS or density >= LOW_STOPWORDS and len(block.text) >= LONG_CHARS else "near"
 
 
-def second_pass(labels: list[str]) -> list[bool]:
-    """Short blocks take the label of the nearest decided block; between two that differ, they are text only if
-    the text is nearer. With no decided block at all, they are text."""
+def second_pass(labels: list[str], headings: list[bool] | None = None) -> list[bool]:
+    """Undecided blocks take the label of the nearest decided block; between two that differ at one distance they are
+    no text, but a heading goes with what follows it. With no decided block at all, they are text."""
     n = len(labels)
     before, after = [None] * n, [None] * n
     last = None
     for k in range(n):
         before[k] = last
-        if labels[k] != "short":
+        if labels[k] != "near":
             last = k
     last = None
     for k in range(n - 1, -1, -1):
         after[k] = last
-        if labels[k] != "short":
+        if labels[k] != "near":
             last = k
     keep = []
     for k, label in enumerate(labels):
-        if label != "short":
+        if label != "near":
             keep.append(label == "good")
             continue
-        near = [j for j in (before[k], after[k]) if j is not None]
-        if not near:
+        a, b = before[k], after[k]
+        if a is None and b is None:
             keep.append(True)
-        elif len({labels[j] for j in near}) == 1:
-            keep.append(labels[near[0]] == "good")
+        elif a is None or b is None:
+            keep.append(labels[b if a is None else a] == "good")
+        elif headings and headings[k] or k - a > b - k:
+            keep.append(labels[b] == "good")
         else:
-            distance = [abs(k - j) for j in near]
-            keep.append(distance[0] != distance[1] and labels[near[distance.index(min(distance))]] == "good")
+            keep.append(labels[a] == "good" and (k - a < b - k or labels[b] == "good"))
     return keep
 
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    has_main = any(b.in_main and not b.boilerplate for b in blocks)
-    inside = [k for k, b in enumerate(blocks) if b.in_main and not b.boilerplate] if has_main else range(len(blocks))
-    labels = [first_pass(blocks[k], has_main) for k in inside]
-    return "\n".join(blocks[k].text for k, keep in zip(inside, second_pass(labels), strict=True) if keep)
+    known = knows_language(blocks)
+    labels = [first_pass(b, known) for b in blocks]
+    inside = [k for k, b in enumerate(blocks) if b.in_main and not b.boilerplate]
+    for k, keep in zip(inside, second_pass([labels[k] for k in inside], [blocks[k].heading for k in inside]), strict=True):
+        labels[k] = "good" if keep else "bad"
+    keep = second_pass(labels, [b.heading for b in blocks])
+    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``.
 
     Character references are decoded, white space inside a block becomes one space, blocks stand in page order
-    with one line feed between them; nothing else is dropped or cut. Blocks inside ``article``, ``main`` and
-    the like decide between themselves; a page without any is judged by stop words, length and links alone.
-    Null and empty pages, and pages without text, give an empty text. Pages of any length are read whole;
-    unclosed elements end where their block does. Repeated rows get equal answers, an empty table an empty
-    result, and other columns are ignored.
+    with one line feed between them; nothing else is dropped or cut. Markup that names boilerplate and link density
+    make blocks bad; stop-word density and length make them text, inside and outside an article alike; what that
+    leaves open goes with its neighbours, with ties on the side of boilerplate. Null and empty pages, and pages
+    without text, give an empty text. Pages of any length are read whole, in linear time; unclosed elements end
+    where their block does. Repeated rows get equal answers, an empty table an empty result, and other columns are
+    ignored.
     """
 
     def run(batches):
-        for batch in batches:
-            texts = [main_text(p) for p in batch.column("html").to_pylist()]
+        for batch in row_slices(batches, 64):
+            texts = [main_text(p.as_py()) for p in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from palimpsest.llm.decontam import Benchmark, Canonicaliser, contamination, keep_clean
-from palimpsest.llm.htmlextract import extract, main_text
+from palimpsest.llm.htmlextract import blocks_of, extract, main_text
 from palimpsest.llm.langid import identify, keep_identified
 from palimpsest.llm.toxicity import Restorer, language_model, score_toxicity
 from palimpsest.llm.urlfilter import Rule, Segmenter, judge_urls
@@ -132,6 +132,51 @@ def test_html(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+STORY = "The first of the paragraphs has a lot of words that are in the list, and so it is good for us to read on and on."
+
+
+def test_html_by_density():
+    from palimpsest.llm.htmlextract import first_pass, second_pass
+
+    assert main_text(f'<body><div class="content"><p>Tiny.</p></div><p>{STORY}</p></body>') == f"Tiny.\n{STORY}"
+    russian = "Сегодня утром в маленьком городе на берегу реки прошла ярмарка, и туда пришли почти все жители окрестных сёл."
+    assert main_text(f"<body><nav><a href=1>Главная</a></nav><p>{russian}</p><p>Да.</p><p>{russian}</p><div><a href=2>{russian}</a></div></body>") == f"{russian}\nДа.\n{russian}"
+    figures = "EUR 12.50 13.75 18.20 19.99 / USD 11.10 12.30 17.80 18.75 / GBP 10.05 11.45 16.60 17.25 / CHF 12.95 13.15 18.85 20.10 / JPY 1800 1950 2600 2800"
+    assert main_text(f"<body><p>{STORY}</p><p>{figures}</p><p>{STORY}</p></body>").split("\n")[1] == figures
+    assert main_text(f"<body><nav>Menu</nav><h2>News</h2><p>{STORY}</p><p>Imprint</p><footer>x</footer></body>") == f"News\n{STORY}"
+
+    def brute(labels, headings):
+        out = []
+        for k, label in enumerate(labels):
+            decided = [j for j, x in enumerate(labels) if x != "near"]
+            left, right = [j for j in decided if j < k], [j for j in decided if j > k]
+            if label != "near":
+                out.append(label == "good")
+            elif headings[k] and left and right:
+                out.append(labels[right[0]] == "good")
+            else:
+                nearest = [j for j in decided if abs(j - k) == min(abs(i - k) for i in decided)]
+                out.append(all(labels[j] == "good" for j in nearest))
+        return out
+
+    rng = random.Random(11)
+    for _ in range(400):
+        labels = [rng.choice(["good", "bad", "near", "near"]) for _ in range(rng.randint(0, 9))]
+        headings = [rng.random() < 0.2 for _ in labels]
+        assert second_pass(labels, headings) == brute(labels, headings)
+    assert first_pass(blocks_of(f"<p>{STORY}</p>")[0], True) == "good" and first_pass(blocks_of(f"<p><a>{STORY}</a></p>")[0], True) == "bad"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<b>x</i>" * 125_000, "<!" * 500_000, "<a \"" * 250_000 + ">", "<a =\"> " * 150_000, "<i><div>" + "<b>" * 150_000 + "</i>" * 150_000, "<a href='" * 110_000, "&" * 10**6, "<p>" * 300_000, "<script>" * 125_000):
+        main_text(page)
+    assert time.time() - began < 60
+    assert main_text('<p title="a > b">1 < 2 <br/>and <3 </p') == "1 < 2 and <3 </p"
+
+
 def test_toxicity(spark, no_docs):
     rng = random.Random(4)
     clean = ["river", "stone", "garden", "window", "letter", "summer", "mountain", "evening"]
