@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import math
-import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ascii_lower
+from palimpsest.llm.common import ascii_lower, cut_lineage, row_slices, small, with_row_ids
 
-#: Bounds of the models that travel to the workers: rows, by count and then by name.
-MAX_UNIGRAMS = 50_000
-MAX_FEATURES = 50_000
-LONGEST_WORD = 24
+#: What may be a word: runs of 2 to so many letters. A longer name is a sequence of words.
+LONGEST_WORD = 40
 
 
 @dataclass(frozen=True)
@@ -59,122 +57,103 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<verdict:string,name:string>")
 
 
+def best_split(name: str, cost: Callable[[int, int], float | None], total: int) -> list[str]:
+    """Unigram Viterbi: the most probable split of a name. ``cost(start, size)`` is that of a known word, None of any
+    other run, which costs by its length; of equal splits the one with the longer last word."""
+    unknown, letter = math.log(total) + math.log(10), math.log(10)
+    best = [0.0] + [math.inf] * len(name)
+    back = [0] * (len(name) + 1)
+    for end in range(1, len(name) + 1):
+        for start in range(max(0, end - LONGEST_WORD), end):
+            known = cost(start, end - start)
+            total_cost = best[start] + (known if known is not None else unknown + letter * (end - start))
+            if total_cost < best[end]:
+                best[end], back[end] = total_cost, start
+    words, end = [], len(name)
+    while end:
+        words.append(name[back[end] : end])
+        end = back[end]
+    return words[::-1]
+
+
 class Segmenter:
-    """Unigram Viterbi: the most probable split of a name into known words; unknown runs cost by length."""
+    """best_split() with all word counts at hand."""
 
     def __init__(self, counts: dict[str, int]):
         self.total = sum(counts.values()) or 1
         self.cost = {w: math.log(self.total) - math.log(n) for w, n in counts.items()}
-        self.unknown = math.log(self.total) + math.log(10)
-        self.known: dict[str, list[str]] = {}
 
     def split(self, name: str) -> list[str]:
-        found = self.known.get(name)
-        if found is None:
-            found = self._split(name)
-            if len(self.known) < 100_000:
-                self.known[name] = found
-        return found
-
-    def _split(self, name: str) -> list[str]:
-        best = [0.0] + [math.inf] * len(name)
-        back = [0] * (len(name) + 1)
-        for end in range(1, len(name) + 1):
-            for start in range(max(0, end - LONGEST_WORD), end):
-                cost = best[start] + self.cost.get(name[start:end], self.unknown + math.log(10) * (end - start))
-                if cost < best[end]:
-                    best[end], back[end] = cost, start
-        words, end = [], len(name)
-        while end:
-            words.append(name[back[end] : end])
-            end = back[end]
-        return words[::-1]
-
-
-_RUN = re.compile(r"[^\W\d_]+|\d+")
-
-
-def url_tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
-    """Features of one URL: host words by label, and path words; numbers count by how many digits they have."""
-    found = []
-    for side, text in (("h", host), ("p", path.lower())):
-        for run in _RUN.findall(text):
-            if run[0].isdigit():
-                found.append(f"{side}:#{len(run)}")
-            else:
-                found += [f"{side}:{w}" for w in segmenter.split(run)]
-    return found
+        return best_split(name, lambda start, size: self.cost.get(name[start : start + size]), self.total)
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``page_id, host, path, rule, verdict, score, words`` for every row of ``pages``.
+def _runs(text: Column) -> Column:
+    """Runs of letters and runs of digits, lower-cased."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|\p{Nd}+)"), 1)
 
-    The longest fitting rule decides. The other URLs get the verdict of a multinomial naive Bayes that the
-    URLs with a rule train: their hosts and paths are cut into words by a unigram Viterbi, whose word counts
-    are those of all hosts and paths (a name not cut by punctuation is a candidate word, and so are the parts
-    that other names share with it). ``score`` is the log odds of block. Null URLs and those without ://
-    have empty host and path, no words, and the verdict of the class priors. Ties are allow. Counts cover
-    all rows; they are summed in Spark before anything moves, and the vocabularies sent to the workers are
-    bounded. Repeated rows get equal answers; an empty table gives an empty result; other columns are ignored.
-    """
-    url = F.col(url_col)
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
-    segmenter_counts = _unigrams(base)
-
-    def tokens(batches):
-        segmenter = Segmenter(segmenter_counts)
-        for batch in batches:
-            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            words = [url_tokens(h, p, segmenter) for h, p in zip(hosts, paths, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string()))], names=[*batch.schema.names, "words"])
-
-    flat = base.select("page_id", "host", "path", F.col("fit.name").alias("rule"), F.col("fit.verdict").alias("ruled"))
-    split = flat.mapInArrow(tokens, "page_id long, host string, path string, rule string, ruled string, words array<string>")
-    weights, prior = _naive_bayes(split)
-    model = F.create_map(*[x for kv in weights.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]) if 0 < len(weights) <= 1000 else None
-    if model is not None or not weights:
-        terms = F.transform("words", lambda w: F.coalesce(F.element_at(model, w), F.lit(0.0))) if weights else F.array().cast("array<double>")
-        score = F.round(F.aggregate(terms, F.lit(prior), lambda a, x: a + x), 9)
-        scored = split.withColumn("score", score)
-    else:
-        scored = split.mapInArrow(_scorer(weights, prior), "page_id long, host string, path string, rule string, ruled string, words array<string>, score double")
-    method = F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score", "words")
 
+def piece_counts(names: DataFrame) -> DataFrame:
+    """``word, n``: each beginning and end, of two letters or more, of the distinct ``run`` of ``names``, and the run
+    itself. A piece counts once for each run that it begins or ends, so a piece that many names share outweighs them."""
+    sizes = F.sequence(F.lit(2), F.least(F.length("run"), F.lit(LONGEST_WORD)))
+    ends = F.concat(F.transform(sizes, lambda n: F.substr(F.col("run"), F.lit(1), n)), F.transform(sizes, lambda n: F.right(F.col("run"), n)))
+    return names.filter(F.length("run") >= 2).select(F.explode(ends).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def splits(names: DataFrame) -> DataFrame:
+    """``run, words`` of every distinct run of letters: what the pieces within it cost is looked up by a join."""
+    counts = cut_lineage(piece_counts(names))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    starts = names.filter(F.length("run") >= 2).select("run", F.explode(F.sequence(F.lit(0), F.length("run") - 2)).alias("start"))
+    longest = F.least(F.length("run") - F.col("start"), F.lit(LONGEST_WORD))
+    within = starts.select("run", "start", F.explode(F.sequence(F.lit(2), longest)).alias("size"))
+    known = within.withColumn("word", F.substr(F.col("run"), F.col("start") + 1, F.col("size"))).join(counts, "word")
+    found = known.groupBy("run").agg(F.collect_list(F.struct("start", "size", "n")).alias("known"))
 
-def _scorer(weights: dict[str, float], prior: float):
     def run(batches):
-        for batch in batches:
-            score = [round(prior + sum(weights.get(w, 0.0) for w in words or ()), 9) for words in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+        for batch in row_slices(batches, 256):
+            words = []
+            for name, known in zip(batch.column("run").to_pylist(), batch.column("known").to_pylist(), strict=True):
+                cost = {(k["start"], k["size"]): math.log(total) - math.log(k["n"]) for k in known or ()}
+                words.append(best_split(name, lambda start, size, cost=cost: cost.get((start, size)), total))
+            yield pa.record_batch([batch.column("run"), pa.array(words, pa.list_(pa.string()))], names=["run", "words"])
 
-    return run
+    return names.join(found, "run", "left").select("run", "known").mapInArrow(run, "run string, words array<string>")
 
 
-def _unigrams(base: DataFrame) -> dict[str, int]:
-    """Counts of letter runs of hosts and paths, and of the pieces that recur at their ends, over all rows.
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``page_id, host, path, rule, verdict, score, words`` for every row of ``pages``.
 
-    A run of letters is a candidate as it is; so is each prefix or suffix of two or more letters of a distinct
-    run. A piece counts once for each distinct run that it begins or ends, so a piece that many names share
-    outweighs the names themselves.
+    The longest fitting rule decides. The other URLs get the verdict of a multinomial naive Bayes that the
+    URLs with a rule train: their hosts and paths are cut into words by a unigram Viterbi, whose word counts
+    are those of all hosts and paths (a name not cut by punctuation is a candidate word, and so are the parts
+    that other names share with it); a run of digits counts by how many it has. Host words and path words are
+    features of their own. ``score`` is the log odds of block; ties are allow. All counts cover all rows and are
+    kept whole: they are summed before anything moves, and names, pieces and words meet them by joins, broadcast
+    only where a count shows that they are few. Null URLs and those without :// have empty host and path, no words,
+    and the verdict of the class priors, as all URLs have if no rule ever fits. URLs of any length are read whole.
+    Repeated rows, also under one page_id, get equal answers; an empty table gives an empty result; other columns
+    are ignored.
     """
-    runs = base.select(F.explode(F.regexp_extract_all(F.concat_ws(" ", "host", F.lower("path")), F.lit(r"([\p{L}]+)"), 1)).alias("run")).distinct()
-    sizes = F.sequence(F.lit(2), F.least(F.length("run"), F.lit(LONGEST_WORD)))
-    long_enough = runs.filter(F.length("run") >= 2)
-    ends = F.concat(F.transform(sizes, lambda n: F.substr(F.col("run"), F.lit(1), n)), F.transform(sizes, lambda n: F.right(F.col("run"), n)))
-    pieces = long_enough.select(F.explode(ends).alias("word"))
-    counts = pieces.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(MAX_UNIGRAMS)
-    return {r["word"]: r["n"] for r in counts.collect()}
-
-
-def _naive_bayes(split: DataFrame) -> tuple[dict[str, float], float]:
-    """Laplace-smoothed log odds (block over allow) of words, and the prior; from the rows that a rule decides."""
-    ruled = split.filter(F.col("ruled").isNotNull())
-    classes = {r["ruled"]: (r["n"], r["w"]) for r in ruled.groupBy("ruled").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("w")).collect()}
-    counts = ruled.select("ruled", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("ruled") == "block").alias("b"), F.count_if(F.col("ruled") == "allow").alias("a")).orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(MAX_FEATURES).collect()
-    n_b, w_b = classes.get("block", (0, 0))
-    n_a, w_a = classes.get("allow", (0, 0))
-    size = len(counts) + 1
-    prior = math.log(n_b + 1) - math.log(n_a + 1)
-    weights = {r["word"]: math.log((r["b"] + 1) / (w_b + size)) - math.log((r["a"] + 1) / (w_a + size)) for r in counts}
-    return weights, prior
+    rows, row = with_row_ids(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")), "page_id", "url")
+    base = rows.select(row, "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
+    tagged = lambda side, text: F.transform(_runs(F.col(text)), lambda r: F.struct(F.lit(side).alias("side"), r.alias("run")))
+    runs = base.select(row, F.col("fit.verdict").alias("ruled"), F.posexplode(F.concat(tagged("h", "host"), tagged("p", "path"))).alias("pos", "at")).select(row, "ruled", "pos", "at.side", "at.run")
+    names = cut_lineage(runs.groupBy("side", "run").agg(F.count_if(F.col("ruled") == "block").alias("b"), F.count_if(F.col("ruled") == "allow").alias("a")))
+    letters = names.filter(F.col("run").rlike(r"^\p{L}")).select("run").distinct()
+    cut = splits(letters).unionByName(names.filter(F.col("run").rlike(r"^\p{Nd}")).select("run").distinct().select("run", F.array(F.concat(F.lit("#"), F.length("run"))).alias("words")))
+    worded = cut_lineage(names.join(cut, "run"))
+    priors = base.agg(F.count_if(F.col("fit.verdict") == "block").alias("b"), F.count_if(F.col("fit.verdict") == "allow").alias("a")).first()
+    features = cut_lineage(worded.select("side", "a", "b", F.explode("words").alias("word")).groupBy("side", "word").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).filter("a + b > 0"))
+    size, n_b, n_a = features.agg(F.count(F.lit(1)) + 1, F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
+    weight = F.log((F.col("b") + 1) / F.lit(n_b + size)) - F.log((F.col("a") + 1) / F.lit(n_a + size))
+    weights = features.select("side", "word", weight.alias("weight"))
+    scores = worded.select("side", "run", F.explode("words").alias("word")).join(weights, ["side", "word"], "left").groupBy("side", "run").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"))
+    judged = small(worded.select("side", "run", "words").join(scores, ["side", "run"]))
+    per_url = runs.join(judged, ["side", "run"]).groupBy(row).agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("pos", "side", "words"))).alias("parts"))
+    prior = math.log(priors["b"] + 1) - math.log(priors["a"] + 1)
+    score = F.round(F.lit(prior) + F.coalesce("weight", F.lit(0.0)), 9)
+    words = F.flatten(F.transform("parts", lambda p: F.transform(p["words"], lambda w: F.concat(p["side"], F.lit(":"), w))))
+    judged_urls = base.join(per_url, row, "left").withColumn("score", score)
+    method = F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow"))
+    return judged_urls.select("page_id", "host", "path", F.col("fit.name").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"), "score", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
