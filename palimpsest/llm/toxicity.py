@@ -1,13 +1,15 @@
 """Toxicity: undo obfuscation as a noisy channel, then score the restored words.
 
 A character trigram model of the whole corpus is the source. A suspicious token (digits or marks among its
-letters, one letter many times over, letters spaced out) is a lattice: each character may stand for itself,
-for the letter it resembles, for a repeat of the one before, or for nothing. Viterbi decoding gives its most
-probable readings. Weights of words and word beginnings come from a bounded sample of labelled documents.
+letters, a letter twice or more) is a lattice: each character may stand for itself, for the letter it resembles,
+for a repeat of the one before, or for nothing. So is a stretch of short tokens, where a space may also stand for
+nothing: letters spaced out, or a word cut in parts. Viterbi decoding gives the most probable readings. Weights of
+words and word beginnings come from a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -19,17 +21,18 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import concat_bytes, keyed_texts, text_slices
 
-#: Bounds: labelled rows that weights are fitted on, and features kept.
+#: Bound of the sample that weights are fitted on: about so many labelled rows, picked by a hash of the id.
 TRAIN_ROWS = 20_000
-MAX_FEATURES = 20_000
 MIN_POSITIVE = 4
 MIN_PRECISION = 0.5
 #: Weight from which a single word is a sure sign.
 STRONG = 0.96
 PREFIXES = range(4, 10)
 THRESHOLD = 0.7
-READINGS = 8
-CACHE_TOKENS = 400_000
+#: Bounds of a worker's memory of tokens: how many, and how long each may be.
+CACHE_TOKENS, CACHE_CHARS = 200_000, 40
+#: Tokens of fewer characters may be parts of a word cut by spaces.
+SHORT_TOKEN = 5
 
 #: Character classes of the language model: 0 what is no letter, 1..26 a..z, 27 other letters.
 CLASSES = 28
@@ -43,9 +46,9 @@ MARKS = frozenset("!|+$@(<€£")
 _EDGE_MARKS = ".,;:?\"'[]{}*#%&^~`/\\-_=…«»¡¿“”„‘’)>"
 _EDGE_RUNS = re.compile(r"^([(<!|+$@])\1+|([(<!|+$@])\2+$|!+$|^\(|\($")
 _REPEAT = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
+_DOUBLE = re.compile(r"(.)\1")
 
-LEET_COST, SKIP_COST, DROP_COST, REPEAT_COST, DOUBLE_COST = 0.5, 0.7, 5.0, 0.1, 3.0
+LEET_COST, SKIP_COST, DROP_COST, REPEAT_COST, DOUBLE_COST, JOIN_COST = 0.5, 0.7, 5.0, 0.1, 3.0, 1.0
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
@@ -83,35 +86,49 @@ class Restorer:
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
 
-    def readings(self, token: str) -> list[str]:
+    def core(self, token: str) -> str:
         low = token.lower().strip(_EDGE_MARKS)
-        core = _EDGE_RUNS.sub("", low).strip(_EDGE_MARKS) or low
+        return _EDGE_RUNS.sub("", low).strip(_EDGE_MARKS) or low
+
+    def readings(self, token: str) -> list[str]:
+        core = self.core(token)
         if core.isalpha() and not _REPEAT.search(core):
             return [core]
         if not any(ch.isalpha() or ch in LEET for ch in core):
             return []
         return list(dict.fromkeys([core, *self.viterbi(core)]))
 
+    def single_letters(self, token: str) -> list[str]:
+        """Readings of a plain word in which a letter stands twice and may have been meant once."""
+        core = self.core(token)
+        return self.viterbi(core) if core.isalpha() and _DOUBLE.search(core) else []
+
+    @staticmethod
+    def steps(token: str, k: int, run: int) -> list[tuple[str, float]]:
+        """What the character at ``k``, the ``run``-th of its kind in a row, may stand for, and at what cost."""
+        ch = token[k]
+        if ch == " ":
+            return [(" ", 0.0), ("", JOIN_COST)]
+        again = ("", REPEAT_COST if run > 2 or token[k + 1 : k + 2] == ch else DOUBLE_COST)
+        if ch.isalpha():
+            return [(ch, 0.0), again] if run > 1 else [(ch, 0.0)]
+        found = [(letter, LEET_COST) for letter in LEET.get(ch, "")]
+        if run > 1 and ch in LEET:
+            found.append(again)
+        if ch not in LEET:
+            found.append(("", SKIP_COST))
+        elif ch in MARKS:  # dearer than a letter usually is, or dropping it would always win
+            found.append(("", DROP_COST))
+        return found
+
     def viterbi(self, token: str) -> list[str]:
-        """The most probable readings, best first: one for each pair of last letters."""
+        """The most probable readings, best first: one for each pair of last letters that a path can end in."""
         states = {(0, 0): (0.0, "")}
         run = 0
         for k, ch in enumerate(token):
             run = run + 1 if k and ch == token[k - 1] else 1
-            steps: list[tuple[str, float]] = []
-            if ch.isalpha():
-                steps.append((ch, 0.0))
-                if run > 1:
-                    steps.append(("", REPEAT_COST if run > 2 or token[k + 1 : k + 2] == ch else DOUBLE_COST))
-            else:
-                steps += [(letter, LEET_COST) for letter in LEET.get(ch, "")]
-                if run > 1 and ch in LEET:
-                    steps.append(("", REPEAT_COST if run > 2 or token[k + 1 : k + 2] == ch else DOUBLE_COST))
-                if ch not in LEET:
-                    steps.append(("", SKIP_COST))
-                elif ch in MARKS:  # dearer than a letter usually is, or dropping it would always win
-                    steps.append(("", DROP_COST))
             after: dict[tuple[int, int], tuple[float, str]] = {}
+            steps = self.steps(token, k, run)
             for (a, b), (cost, text) in states.items():
                 for letter, extra in steps:
                     if letter:
@@ -121,16 +138,61 @@ class Restorer:
                         state, total = (a, b), cost + extra
                     if state not in after or total < after[state][0]:
                         after[state] = (total, text + letter)
-            states = dict(sorted(after.items(), key=lambda s: (s[1][0], s[0]))[:64])
+            states = after
         ends = sorted((cost + self.costs[a][b][0], text) for (a, b), (cost, text) in states.items())
-        return [text for _, text in ends[:READINGS] if text]
-
-    def tokens(self, text: str) -> Counter:
-        """Tokens and how often they occur; letters spaced out also stand together as one more token each."""
-        found = Counter(text.split())
-        found.update(m[0].replace(" ", "").replace("\t", "") for m in _SPACED.finditer(text))
+        return [text for _, text in ends if text]
+
+    def tokens(self, text: str, wanted=None) -> Counter:
+        """Tokens and how often they occur, and the words that stretches of short tokens restore to.
+
+        Stretches are decoded where three or more characters stand alone in a row, and where tokens written
+        together hold a word of ``wanted`` (an automaton of words).
+        """
+        words = text.split()
+        found = Counter(words)
+        short = [w if len(w) < SHORT_TOKEN else "|" for w in words]
+        squeezed = "".join(short).lower()
+        alone = list(map(len, words)).count(1) > 2
+        if not alone and (wanted is None or next(wanted.iter(squeezed), None) is None):
+            return found
+        start = 0
+        for k in range(len(words) + 1):
+            if k < len(words) and len(words[k]) < SHORT_TOKEN:
+                continue
+            if k - start > 1:
+                found.update(self._restored([w.lower() for w in words[start:k]], wanted))
+            start = k + 1
         return found
 
+    def _restored(self, parts: list[str], wanted) -> list[str]:
+        single = "".join("1" if len(p) == 1 else "0" for p in parts)
+        if "111" not in single and not (wanted is not None and self._crosses(parts, wanted)):
+            return []
+        best = self.viterbi(" ".join(filter(None, (p.strip(_EDGE_MARKS) or p for p in parts))))
+        words = [w for w in best[0].split() if w not in parts] if best else []
+        # a lone letter before a spaced word may read as its first, so the sure signs within are what counts
+        return words if wanted is None else [w for word in words for _, w in wanted.iter(word)]
+
+    @staticmethod
+    def _crosses(parts: list[str], wanted) -> bool:
+        """Whether a wanted word stands over a boundary of the parts."""
+        ends = set(itertools.accumulate(len(p) for p in parts))
+        return any(any(last - len(word) + 1 < e <= last for e in ends) for last, word in wanted.iter("".join(parts)))
+
+
+def automaton(weights: dict[str, float]):
+    """Finds the words that are sure signs in running text; None without any."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for word, p in weights.items():
+        if p >= STRONG and len(word) >= SHORT_TOKEN and not word.endswith("*"):
+            found.add_word(word, word)
+    if not len(found):
+        return None
+    found.make_automaton()
+    return found
+
 
 def word_features(word: str) -> list[str]:
     """The word, and its beginnings (marked by a star), which inflected forms share."""
@@ -141,8 +203,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     """``text, toxic`` of at most about ``rows`` labelled documents, picked by a hash of the id; equal texts once."""
     known = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     share = min(1.0, rows / max(1, known.count()))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * rows)
-    texts = keyed_texts(docs).join(F.broadcast(picked), "doc_id")  # at most 2 * rows ids
+    picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < share * (1 << 30))
+    texts = keyed_texts(docs).join(F.broadcast(picked), "doc_id")  # about ``rows`` ids
     return texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
 
 
@@ -163,7 +225,7 @@ def fit_weights(docs: DataFrame, labels: DataFrame, restorer: Restorer, rows: in
     n = F.col("n0") + F.col("n1")
     p = F.col("n1") / n
     lower = (p + 2 / n - 2 * F.sqrt((p * (1 - p) + 1 / n) / n)) / (1 + 4 / n)  # Wilson's bound, z = 2
-    kept = counts.filter((F.col("n1") >= MIN_POSITIVE) & (lower >= MIN_PRECISION)).orderBy(F.desc("n1"), "feature").limit(MAX_FEATURES)
+    kept = counts.filter((F.col("n1") >= MIN_POSITIVE) & (lower >= MIN_PRECISION))  # bounded by the sample
     return {r["feature"]: (r["n1"] + 0.1) / (r["n0"] + r["n1"] + 1.0) for r in kept.collect()}
 
 
@@ -173,21 +235,29 @@ class Scorer:
 
     def __init__(self, restorer: Restorer, weights: dict[str, float], calibration: list[float] | None = None):
         self.restorer, self.weights, self.calibration = restorer, weights, calibration
+        self.wanted = automaton(weights)
         self.known: dict[str, tuple[str, float] | None] = {}
 
-    def _weigh(self, token: str) -> tuple[str, float] | None:
+    def _best(self, words: list[str]) -> tuple[str, float] | None:
         best = None
-        for word in self.restorer.readings(token):
+        for word in words:
             p = max((self.weights.get(f, 0.0) for f in word_features(word)), default=0.0)
             if p and (best is None or p > best[1]):
                 best = (word, p)
-        if len(self.known) < CACHE_TOKENS:
+        return best
+
+    def _weigh(self, token: str) -> tuple[str, float] | None:
+        best = self._best(self.restorer.readings(token))
+        if best is None:  # a doubled letter is common, so that only a word that is a sure sign counts
+            sure = [w for w in self.restorer.single_letters(token) if self.weights.get(w, 0.0) >= STRONG]
+            best = (sure[0], self.weights[sure[0]]) if sure else None
+        if len(self.known) < CACHE_TOKENS and len(token) <= CACHE_CHARS:
             self.known[token] = best
         return best
 
     def figures(self, text: str) -> list[float]:
         known, strong, weak, occurrences, total = self.known, set(), set(), 0, 0
-        for token, n in self.restorer.tokens(text).items():
+        for token, n in self.restorer.tokens(text, self.wanted).items():
             total += n
             hit = known[token] if token in known else self._weigh(token)
             if hit and hit[1] >= STRONG:
@@ -239,8 +309,9 @@ def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, thresho
     ``train(doc_id, text)`` with ``labels(doc_id, toxic)`` gives the weights of words and then the calibration,
     both from one bounded sample; the character model counts every text of ``docs``. Null and empty texts
     score what a text without weighted words does, near 0; equal texts score equally. ``predicted`` is 1 from
-    ``threshold`` on. Without labels of both kinds all scores are 0. An empty ``docs`` gives an empty result.
-    Other columns are ignored.
+    ``threshold`` on. Without labels of both kinds all scores are 0. A doc_id labelled twice counts as toxic if one
+    label says so; texts of any length are read whole; repeated rows get equal scores; of equally probable readings
+    the first by name counts. An empty ``docs`` gives an empty result. Other columns are ignored.
     """
     restorer = Restorer(language_model(docs))
     weights = fit_weights(train, labels, restorer, rows)

@@ -189,37 +189,40 @@ def test_toxicity(spark, no_docs):
         rows.append((k, " ".join(words)))
         labels.append((k, 1, int(toxic)))
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    probe = ["you m0r0n1c one", "so w o r t h l e s s indeed", "such a $cumb@g!", "wooorthlessss", "m.o.r.o.n.i.c man", "MORONIC###", "a river garden", "", None, "4711 0815 $$$", "the " * 30000]
+    probe = ["you m0r0n1c one", "so w o r t h l e s s indeed", "such a $cumb@g!", "wooorthlessss", "m.o.r.o.n.i.c man", "MORONIC###", "what a m o r o n i c thing", "one scu mbag here", "he is morronnic", "a river garden", "", None, "4711 0815 $$$", "the " * 30000]
     test = spark.createDataFrame(list(enumerate(probe)), "doc_id int, text string").withColumn("score", F.lit("clash"))
     corpus = test.unionByName(docs.select((F.col("doc_id") + 100).cast("int").alias("doc_id"), "text", F.lit("x").alias("score")))
     got = {r.doc_id: r for r in score_toxicity(corpus, docs, labels).collect()}
-    assert [got[k].score >= 0.7 for k in range(11)] == [True] * 6 + [False] * 5
+    assert [got[k].score >= 0.7 for k in range(14)] == [True] * 9 + [False] * 5
     assert all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in got.values())
     assert sum(got[k + 100].predicted == (k % 4 == 0) for k in range(400)) == 400
-    assert len(got) == 411 and score_toxicity(no_docs, docs, labels).count() == 0
+    assert len(got) == 414 and score_toxicity(no_docs, docs, labels).count() == 0
     assert {r.score for r in score_toxicity(test, docs, labels.limit(0)).collect()} == {0.0}
 
 
 def test_viterbi_is_the_best_path(spark):
-    """Against every path of a small lattice."""
+    """Against every path of small lattices: substitutions, repeats, marks to skip, spaces to keep or drop."""
     import itertools
 
-    from palimpsest.llm.toxicity import LEET, LEET_COST, SKIP_COST, _class_of
-
-    restorer = Restorer(language_model(spark.createDataFrame([(1, "idiot idea tidy total iota lot toil " * 20)], "doc_id long, text string")))
-    token = "1d10t"
-    options = [[(c, 0.0)] if c.isalpha() else [(x, LEET_COST) for x in LEET[c]] for c in token]
-    best = math.inf
-    for path in itertools.product(*options):
-        a = b = 0
-        cost = 0.0
-        for letter, extra in path:
-            c = _class_of(letter)
-            cost, a, b = cost + extra + restorer.costs[a][b][c], b, c
-        cost += restorer.costs[a][b][0]
-        if cost < best:
-            best, text = cost, "".join(x for x, _ in path)
-    assert restorer.viterbi(token)[0] == text == "idiot" and SKIP_COST > 0
+    from palimpsest.llm.toxicity import _class_of
+
+    restorer = Restorer(language_model(spark.createDataFrame([(1, "a stupid idiot idea tidy total iota lot toil is so loud a stupid idea " * 20)], "doc_id long, text string")))
+    for token, want in (("1d10t", "idiot"), ("id.i*ot", "idiot"), ("stuupid", "stupid"), ("iddiiiot", "idiot"), ("stu pid", "stupid"), ("a s t u p i d", None), ("so l0ud", None), ("tt00ll", None), ("$0!", None)):
+        runs = [len(list(itertools.takewhile(lambda c, ch=ch: c == ch, token[k::-1]))) for k, ch in enumerate(token)]
+        best = math.inf
+        for path in itertools.product(*(Restorer.steps(token, k, runs[k]) for k in range(len(token)))):
+            a = b = 0
+            cost = 0.0
+            for letter, extra in path:
+                cost += extra
+                if letter:
+                    c = _class_of(letter)
+                    cost, a, b = cost + restorer.costs[a][b][c], b, c
+            cost += restorer.costs[a][b][0]
+            text = "".join(x for x, _ in path)
+            if text and cost < best - 1e-9:
+                best, found = cost, text
+        assert restorer.viterbi(token)[0] == found and want in (None, found), (token, found, restorer.viterbi(token)[:3])
 
 
 def test_urls(spark):
@@ -244,6 +247,39 @@ def test_urls(spark):
     assert judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_url_verdicts_against_plain_counts(spark):
+    """Every step in plain Python: pieces, splits, counts by class and side, log odds; with repeated ids and long URLs."""
+    import re
+    from collections import Counter
+
+    from palimpsest.llm.urlfilter import LONGEST_WORD, RULES, best_split
+
+    rng = random.Random(2)
+    parts = ["news", "shop", "cheap", "pills", "blog", "cats", "a" * 50, "café"]
+    urls = [f"http://{rng.choice(parts)}{rng.choice(parts)}.{rng.choice(['example.com', 'example.net', 'x.org', 'site.io'])}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.randint(0, 999)}/{rng.choice(parts)}{rng.choice(parts)}" for _ in range(120)]
+    urls += ["http://long.site.io/" + "ab" * 300 + "/" + "x/" * 2000, None, "none", urls[0], urls[0]]
+    pages = spark.createDataFrame([(k if k < 122 else 0, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = judge_urls(pages).collect()
+    runs_of = lambda r: [("h", x) for x in re.findall(r"[^\W\d_]+|\d+", r.host.lower())] + [("p", x) for x in re.findall(r"[^\W\d_]+|\d+", r.path.lower())]
+    names = {x for r in got for _, x in runs_of(r) if x.isalpha()}
+    pieces = Counter(p for x in names for n in range(2, min(len(x), LONGEST_WORD) + 1) for p in (x[:n], x[-n:]))
+    total = sum(pieces.values())
+    cut = {x: best_split(x, lambda a, n, x=x: math.log(total) - math.log(pieces[x[a : a + n]]) if x[a : a + n] in pieces else None, total) for x in names}
+    words = lambda r: [f"{s}:{w}" for s, x in runs_of(r) for w in (cut[x] if x in cut else [f"#{len(x)}"])]
+    count = {"block": Counter(), "allow": Counter()}
+    for r in got:
+        if r.rule:
+            count[r.verdict].update(words(r))
+    seen = set(count["block"]) | set(count["allow"])
+    n_rows = {v: sum(r.rule is not None and r.verdict == v for r in got) for v in count}
+    odds = lambda w: math.log((count["block"][w] + 1) / (count["block"].total() + len(seen) + 1)) - math.log((count["allow"][w] + 1) / (count["allow"].total() + len(seen) + 1)) if w in seen else 0.0
+    for r in got:
+        score = math.log(n_rows["block"] + 1) - math.log(n_rows["allow"] + 1) + sum(map(odds, words(r)))
+        assert r.words == words(r) and abs(r.score - score) < 1e-6
+        assert r.rule or r.verdict == ("block" if r.score > 0 else "allow")
+    assert len(got) == len(urls) and RULES and {r.verdict for r in got if not r.rule} == {"allow", "block"}
+
+
 def test_segmentation_is_the_best_split():
     counts = {"cheap": 50, "pills": 40, "pill": 30, "s": 5, "heap": 10, "c": 2}
     s = Segmenter(counts)
