@@ -29,8 +29,10 @@ MAX_COMMON = 300_000
 #: and what these leave apart meets in blocks.
 PAIR_LIMIT = 8
 BLOCK = 512
-#: Bits of the sketch that tells most unlike sets of a block apart; a power of two.
+#: Bits of the sketch that tells most unlike sets apart; a power of two. Sets of up to SMALL_SET shingles travel
+#: whole beside it.
 BITS = 2048
+SMALL_SET = 256
 #: Bytes of one numpy step.
 STEP_BYTES = 1 << 20
 
@@ -119,30 +121,49 @@ def n_shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def bitmap(values: np.ndarray) -> np.ndarray:
-    """BITS bits, each set if a value falls on it: two sets differ in as many values as their bitmaps at least."""
-    present = np.zeros(BITS, np.uint8)
-    present[(values >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = 1
-    return np.packbits(present).view(np.uint64)
+def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` bits, each set if a value falls on it: two sets differ in as many values as their bitmaps at least."""
+    present = np.zeros(bits, np.uint8)
+    present[(values >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(present)
 
 
 def _sketches(texts: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, bits``: how many distinct shingles a text has, and their bitmap."""
+    """``doc_id, n, bits, body``: how many distinct shingles a text has, their bitmap, and themselves if they are few."""
 
     def run(batches):
         for ids, part in text_slices(batches, STEP_BYTES):
             sets = shingle_sets(part, width)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "bits"])
+            few = [s.tobytes() if len(s) <= SMALL_SET else None for s in sets]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s, BITS).tobytes() for s in sets], pa.binary()), pa.array(few, pa.binary())], names=["doc_id", "n", "bits", "body"])
 
-    return texts.mapInArrow(run, "doc_id long, n int, bits binary")
+    return texts.mapInArrow(run, "doc_id long, n int, bits binary, body binary")
 
 
-def _bodies(texts: DataFrame, width: int) -> DataFrame:
-    """``doc_id, body``: the distinct shingles of a text."""
+def fine_sketch(values: np.ndarray) -> bytes:
+    """How many values, and a bitmap of eight to sixteen bits a value."""
+    return np.uint64(len(values)).tobytes() + bitmap(values, 1 << max(6, (8 * len(values)).bit_length())).tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes, bound: float) -> bool:
+    """Whether two fine sketches allow a symmetric difference of at most ``bound`` times both sizes."""
+    n = int(np.frombuffer(x, np.uint64, 1)[0]) + int(np.frombuffer(y, np.uint64, 1)[0])
+    p, q = sorted((np.unpackbits(np.frombuffer(b, np.uint8, offset=8)) for b in (x, y)), key=len)
+    q = q.reshape(len(p), -1).max(axis=1)  # a coarser bitmap is the finer one folded
+    return int((p != q).sum()) <= bound * n + 1e-6
+
+
+def is_similar(p: np.ndarray, q: np.ndarray, least: float) -> bool:
+    both = n_shared(p, q)
+    return both > 0 and both >= least * (len(p) + len(q) - both) - 1e-9
+
+
+def _bodies(texts: DataFrame, width: int, make) -> DataFrame:
+    """``doc_id, body``: what ``make`` gives of the distinct shingles of a text."""
 
     def run(batches):
         for ids, part in text_slices(batches, STEP_BYTES):
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(part, width)], pa.binary())], names=["doc_id", "body"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([make(s) for s in shingle_sets(part, width)], pa.binary())], names=["doc_id", "body"])
 
     return texts.mapInArrow(run, "doc_id long, body binary")
 
@@ -208,31 +229,36 @@ def _sketched(sketches: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return fits.join(_of(sketches, "a", x="bits"), "a").join(_of(sketches, "b", y="bits"), "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """``u, v``: those of the pairs ``a, b`` whose whole sets are similar."""
+def _met(texts: DataFrame, pairs: DataFrame, width: int, make, test) -> DataFrame:
+    """Those of the pairs ``a, b`` that pass ``test`` on what ``make`` gives of both sets."""
 
-    def verify(batches):
+    def run(batches):
         for batch in row_slices(batches, 64):
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = n_shared(p, q)
-                keep.append(both > 0 and both >= least * (len(p) + len(q) - both) - 1e-9)
+            keep = [test(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = cut_lineage(pairs)
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    bodies = cut_lineage(_bodies(by_ids(texts, named, "doc_id", "left_semi"), width))
+    bodies = cut_lineage(_bodies(by_ids(texts, named, "doc_id", "left_semi"), width, make))
     met = pairs.join(_of(bodies, "a", x="body"), "a").join(_of(bodies, "b", y="body"), "b").select("a", "b", "x", "y")
-    return met.mapInArrow(verify, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """``u, v``: those of the pairs ``a, b`` whose whole sets are similar; fine sketches travel before whole sets."""
+    bound = (1 - least) / (1 + least)
+    close = _met(texts, pairs, width, fine_sketch, lambda x, y: may_be_similar(x, y, bound))
+    found = _met(texts, close, width, np.ndarray.tobytes, lambda x, y: is_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least))
+    return found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _across(rows: DataFrame, sketches: DataFrame, least: float, block: int) -> DataFrame:
-    """``a, b``: all pairs of texts with one key and two components, of ``rows(key, id, size, component)``, that
-    sizes and bitmaps do not tell apart; few of them are unlike.
+    """``a, b, sure`` that connect the similar texts with one key and two components, of ``rows(key, id, size,
+    component)``.
 
-    The texts of a key are dealt into blocks, and every two blocks meet in one group of bounded size, which holds
-    their bitmaps only.
+    The texts of a key are dealt into blocks, and every two blocks meet in one group of bounded size. Pairs that
+    sizes and bitmaps do not tell apart are verified there if both sets are small, and only those that join two
+    components are returned; others are returned as not sure.
     """
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -240,21 +266,29 @@ def _across(rows: DataFrame, sketches: DataFrame, least: float, block: int) -> D
     bound = (1 - least) / (1 + least)
 
     def meet(table):
-        mine, ids, component, n = (table.column(c).to_numpy() for c in ("mine", "id", "component", "n"))
+        mine, ids, roots, n = (table.column(c).to_numpy() for c in ("mine", "id", "component", "n"))
+        roots = roots.copy()
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+        bodies = [None if b is None else np.frombuffer(b, np.uint64) for b in table.column("body").to_pylist()]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.nonzero(mine == i)[0], np.nonzero(mine == j)[0]
-        sizes, there, near = n[right], bits[right], component[right]
-        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        sizes, there = n[right], bits[right]
+        found: list[tuple[int, int, bool]] = []
         for k in left:
             apart = np.bitwise_count(there ^ bits[k]).sum(axis=1, dtype=np.int64)
-            found = ids[right[(near != component[k]) & (apart <= bound * (sizes + n[k]) + 1e-6)]]
-            u.append(np.minimum(found, ids[k]))
-            v.append(np.maximum(found, ids[k]))
-        return pa.table({"a": np.concatenate(u), "b": np.concatenate(v)})
+            for other in right[(roots[right] != roots[k]) & (apart <= bound * (sizes + n[k]) + 1e-6)]:
+                if roots[other] == roots[k]:
+                    continue
+                sure = bodies[k] is not None and bodies[other] is not None
+                if sure and not is_similar(bodies[k], bodies[other], least):
+                    continue
+                found.append((min(ids[k], ids[other]), max(ids[k], ids[other]), sure))
+                if sure:
+                    roots[roots == roots[other]] = roots[k]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64()), "sure": pa.array([f[2] for f in found], pa.bool_())})
 
-    full = cells.join(_of(sketches, "id", n="n", bits="bits"), "id")
-    return full.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    full = cells.join(_of(sketches, "id", n="n", bits="bits", body="body"), "id")
+    return full.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long, sure boolean").distinct()
 
 
 def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, known: DataFrame | None = None, pair_limit: int = PAIR_LIMIT, block: int = BLOCK, id_col: str = "doc_id") -> DataFrame:
@@ -294,7 +328,11 @@ def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY
     tagged = cut_lineage(large.select("key", "id", "size").join(roots.withColumnRenamed("node", "id"), "id"))
     apart = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     rest = cut_lineage(tagged.join(small(apart), "key"))
-    return links if rest.isEmpty() else links.unionByName(verified(_across(rest, sketches, least, block)))
+    if rest.isEmpty():
+        return links
+    more = cut_lineage(_across(rest, sketches, least, block))
+    sure = more.filter("sure").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return links.unionByName(sure).unionByName(verified(more.filter("NOT sure").select("a", "b")))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
