@@ -1,7 +1,8 @@
 """From ranked records to a budgeted evidence set.
 
-Rows carry ``query_id`` and ``rank``. Set-wise steps are windows; the steps that depend on what was kept
-before are folds over one query's head, which is bounded by the depth that the channels were cut to.
+Rows carry ``query_id`` and ``rank``. Set-wise steps are minima and bounded windows over any number of rows;
+MMR and near-duplicates, which depend on all that was kept before, work on one query's head, which is bounded by
+the depth that the channels were cut to.
 """
 
 from __future__ import annotations
@@ -10,6 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.checkpoints import cut_lineage
+from palimpsest.operators.ranks import spread_rank
+
+
 def _per_query():
     return Window.partitionBy("query_id")
 
@@ -17,48 +22,52 @@ TRUST_ORDER = ("verified", "asserted", "untrusted", "quarantined")
 
 
 def distinct_texts(ranked: DataFrame) -> DataFrame:
-    """Of equal texts of a query, the best ranked."""
-    first = F.row_number().over(Window.partitionBy("query_id", "text").orderBy("rank"))
-    return ranked.withColumn("nth", first).filter("nth = 1").drop("nth")
+    """Of equal texts of a query, the best ranked; copies are one row before anything moves."""
+    rest = [c for c in ranked.columns if c not in ("query_id", "text", "rank")]
+    best = ranked.groupBy("query_id", "text").agg(F.min(F.struct("rank", *rest)).alias("row"))
+    return best.select(*[F.col(c) if c in ("query_id", "text") else F.col(f"row.{c}").alias(c) for c in ranked.columns])
 
 
 def untrusted_ceiling(ranked: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` untrusted rows, the best ranked."""
-    untrusted = (F.col("trust_tier") == "untrusted").cast("int")
-    so_far = F.sum(untrusted).over(_per_query().orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("so_far", so_far).filter((F.col("trust_tier") != "untrusted") | (F.col("so_far") <= most)).drop("so_far")
+    """At most ``most`` untrusted rows, the best ranked; each task cuts to so many before anything moves."""
+    untrusted = F.coalesce(F.col("trust_tier") == "untrusted", F.lit(False))
+    nth = F.row_number().over(_per_query().orderBy("rank"))
+    first = ranked.filter(untrusted).withColumn("so_far", nth).filter(F.col("so_far") <= most).drop("so_far")
+    return ranked.filter(~untrusted).unionByName(first)
 
 
 def kind_quota(ranked: DataFrame, kind: str, reserved: int) -> DataFrame:
     """The first ``reserved`` rows of a kind go first; nothing is dropped. Gives ``position``."""
-    nth = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("rank"))
-    late = ~((F.col("kind") == kind) & (F.col("nth") <= reserved))
-    return ranked.withColumn("nth", nth).withColumn("late", late).withColumn("position", F.row_number().over(_per_query().orderBy("late", "rank"))).drop("nth", "late")
+    nth = F.row_number().over(_per_query().orderBy("rank"))
+    early = ranked.filter(F.col("kind") == kind).select("query_id", "rank").withColumn("nth", nth).filter(F.col("nth") <= reserved).select("query_id", "rank", F.lit(False).alias("late"))
+    marked = ranked.join(early, ["query_id", "rank"], "left").withColumn("late", F.coalesce("late", F.lit(True)))
+    return spread_rank(marked, "query_id", [F.col("late"), F.col("rank")], "position").drop("late")
 
 
 def within_budget(ranked: DataFrame, k: int = 6, max_tokens: int = 2048) -> DataFrame:
     """Greedy: at most ``k`` rows; a row that does not fit is skipped, the first is always taken.
 
     Gives the kept rows' ``query_id, id, tokens, position`` with the query's ``total_tokens``,
-    ``dropped_for_tokens`` and ``k_bound``.
+    ``dropped_for_tokens`` and ``k_bound``. One pass a position: the next row is a minimum over those behind the last
+    one that still fit, so that no query's rows are gathered, however many they are.
     """
-    head = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", F.col("tokens").cast("long").alias("tokens")))).alias("rows"))
-    row = head.schema["rows"].dataType.simpleString()
-    start = F.expr(f"named_struct('kept', cast(array() as {row}), 'used', 0L, 'dropped', 0, 'bound', false)")
-
-    def step(acc, x):
-        full = F.size(acc["kept"]) >= k
-        fits = (F.size(acc["kept"]) == 0) | (acc["used"] + x["tokens"] <= max_tokens)
-        named = lambda kept, used, dropped, bound: F.struct(kept.alias("kept"), used.alias("used"), dropped.alias("dropped"), bound.alias("bound"))
-        return (
-            F.when(full, named(acc["kept"], acc["used"], acc["dropped"], F.lit(True)))
-            .when(fits, named(F.array_append(acc["kept"], x), acc["used"] + x["tokens"], acc["dropped"], acc["bound"]))
-            .otherwise(named(acc["kept"], acc["used"], acc["dropped"] + 1, acc["bound"]))
-        )
-
-    folded = head.select("query_id", F.aggregate("rows", start, step).alias("acc"))
-    kept = folded.select("query_id", F.posexplode("acc.kept").alias("at", "row"), F.col("acc.used").alias("total_tokens"), F.col("acc.dropped").alias("dropped_for_tokens"), F.col("acc.bound").alias("k_bound"))
-    return kept.select("query_id", F.col("row.id").alias("id"), F.col("row.tokens").alias("tokens"), (F.col("at") + 1).alias("position"), "total_tokens", "dropped_for_tokens", "k_bound")
+    rows = ranked.select("query_id", F.struct("rank", "id").alias("place"), F.col("tokens").cast("long").alias("tokens"))
+    least = F.min(F.struct("place", "tokens")).alias("row")
+    taken = rows.groupBy("query_id").agg(least).select("query_id", F.col("row.place").alias("place"), F.col("row.tokens").alias("tokens"), F.lit(1).alias("position"), F.col("row.tokens").alias("used"))
+    kept = state = cut_lineage(taken)
+    for position in range(2, k + 1):
+        last = state.select("query_id", F.col("place").alias("last"), "used")
+        fits = rows.join(last, "query_id").filter((F.col("place") > F.col("last")) & (F.col("used") + F.col("tokens") <= max_tokens))
+        found = fits.groupBy("query_id", "used").agg(least)
+        state = cut_lineage(found.select("query_id", F.col("row.place").alias("place"), F.col("row.tokens").alias("tokens"), F.lit(position).alias("position"), (F.col("used") + F.col("row.tokens")).alias("used")))
+        if state.isEmpty():
+            break
+        kept = kept.unionByName(state)
+    ends = kept.groupBy("query_id").agg(F.max("used").alias("total_tokens"), F.max("position").alias("kept"), F.max("place").alias("last"))
+    full = F.col("kept") == k
+    seen = F.count_if(~full | (F.col("place") <= F.col("last")))
+    totals = rows.join(ends, "query_id").groupBy("query_id", "total_tokens", "kept").agg((seen - F.col("kept")).cast("int").alias("dropped_for_tokens"), (F.count_if(full & (F.col("place") > F.col("last"))) > 0).alias("k_bound"))
+    return kept.join(totals.drop("kept"), "query_id").select("query_id", F.col("place.id").alias("id"), "tokens", "position", "total_tokens", "dropped_for_tokens", "k_bound")
 
 
 def mmr(ranked: DataFrame, k: int = 6, trade: float = 0.7, max_tokens: int = 2048) -> DataFrame:
@@ -120,10 +129,10 @@ def drop_near_kept(ranked: DataFrame, bound: float = 0.93) -> DataFrame:
 
 def bookend(kept: DataFrame, column: str = "position") -> DataFrame:
     """Best first and last, worst in the middle: 1, 3, 5, ..., 6, 4, 2. Gives ``slot``."""
-    n = F.count(F.lit(1)).over(_per_query())
-    r = F.col(column)
+    sizes = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    r, n = F.col(column), F.col("_n")
     slot = F.when(r % 2 == 1, (r + 1) / 2).otherwise(n + 1 - r / 2)
-    return kept.withColumn("slot", slot.cast("int"))
+    return kept.join(sizes, "query_id").withColumn("slot", slot.cast("int")).drop("_n")
 
 
 def timeline(kept: DataFrame, day: str = "day") -> DataFrame:

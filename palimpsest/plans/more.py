@@ -136,13 +136,13 @@ def reach(spark, sf):
 
 
 @register("D4_clean_subqueries", """
-WITH r AS (SELECT conv_id AS query_id, turn AS pos, left(text, 3) AS text, first_value(left(text, 3)) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations),
+WITH r AS (SELECT conv_id AS query_id, turn AS pos, text AS text, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations),
 t AS (SELECT query_id, pos, trim(text) AS text FROM r WHERE trim(text) <> '' AND lower(trim(text)) <> lower(trim(question))), o AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY query_id, lower(text) ORDER BY pos) = 1)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos, text FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 4""")
 def subqueries(spark, sf):
     from pyspark.sql import Window
 
-    raw = table(spark, sf, "conversations").selectExpr("conv_id AS query_id", "turn AS pos", "left(text, 3) AS text")
+    raw = table(spark, sf, "conversations").selectExpr("conv_id AS query_id", "turn AS pos", "text")
     return pools.clean_subqueries(raw.withColumn("question", F.first("text").over(Window.partitionBy("query_id").orderBy("pos"))))
 
 
@@ -153,9 +153,9 @@ def probes(spark, sf):
     return pools.probe_union(table(spark, sf, "events").selectExpr("user_id AS query_id", "event_id % 40 AS id", "event_id % 3 AS step", "event_id AS pos"), 10)
 
 
-@register("D6_distinct_facts", "SELECT conv_id AS query_id, turn AS pos, left(text, 4) AS text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, lower(trim(left(text, 4))) ORDER BY turn) = 1")
+@register("D6_distinct_facts", "SELECT conv_id AS query_id, turn AS pos, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, lower(trim(text)) ORDER BY turn) = 1")
 def facts(spark, sf):
-    return pools.distinct_facts(table(spark, sf, "conversations").selectExpr("conv_id AS query_id", "turn AS pos", "left(text, 4) AS text"))
+    return pools.distinct_facts(table(spark, sf, "conversations").selectExpr("conv_id AS query_id", "turn AS pos", "text"))
 
 
 @register("K9_reordered", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import approx_tokens, best_line
 from palimpsest.operators import channels, compose, predicates
+from palimpsest.operators.ranks import spread_rank
 from palimpsest.plans.common import ADMISSIBLE_SQL, NOW, RECORDS_SQL, records, register, table
 
 _TERMS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}'']+'), lambda w: w <> '')"
@@ -88,7 +89,7 @@ SELECT query_id, id, score, rank FROM k WHERE rank <= 20""")
 def hybrid(spark, sf):
     q, e = _vector_queries(spark, sf), _vectors(spark, sf)
     first = channels.dense(q, e, 50).select("query_id", "id", "rank")
-    ids = q.select("query_id").crossJoin(F.broadcast(e.select("id").filter("id >= 0")))  # the stated queries against all ids
+    ids = e.select("id").filter("id >= 0").crossJoin(q.select("query_id"))  # all ids against the stated queries
     order = Window.partitionBy("query_id").orderBy((F.col("id") * 7919 + F.col("query_id")) % 1009, "id")
     second = ids.withColumn("rank", F.row_number().over(order)).filter("rank <= 50")
     return channels.rrf(first.unionByName(second), 1.0, 20)
@@ -104,16 +105,15 @@ def rerank(spark, sf):
 
 
 def _ranked(spark, sf):
-    """Documents as one query's head a source: a bounded head, as the channels cut it."""
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    docs = table(spark, sf, "documents").selectExpr("source AS query_id", "doc_id AS id", "source", "doc_id", "lang", "text", "CASE WHEN doc_id % 3 = 0 THEN 'untrusted' ELSE 'asserted' END AS trust_tier", "CASE WHEN doc_id % 4 = 0 THEN 'profile' ELSE 'episodic' END AS kind")
-    return docs.withColumn("rank", rank).filter("rank <= 40").drop("source", "doc_id").withColumn("tokens", approx_tokens(F.col("text")))
+    """All documents of a source as one query's ranked rows."""
+    docs = table(spark, sf, "documents").selectExpr("source AS query_id", "doc_id AS id", "lang", "text", "CASE WHEN doc_id % 3 = 0 THEN 'untrusted' ELSE 'asserted' END AS trust_tier", "CASE WHEN doc_id % 4 = 0 THEN 'profile' ELSE 'episodic' END AS kind")
+    return spread_rank(docs.withColumn("tokens", approx_tokens(F.col("text"))), "query_id", [F.col("id")])
 
 
 _RANKED = """
 k AS (SELECT source AS query_id, doc_id AS id, lang, text, CASE WHEN doc_id % 3 = 0 THEN 'untrusted' ELSE 'asserted' END AS trust_tier,
   CASE WHEN doc_id % 4 = 0 THEN 'profile' ELSE 'episodic' END AS kind, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank,
-  greatest(length(text) // 4, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS tokens FROM documents QUALIFY rank <= 40)
+  greatest(length(text) // 4, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS tokens FROM documents)
 """
 
 

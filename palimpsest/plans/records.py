@@ -91,10 +91,10 @@ def keyset_page(spark, sf):
     return table(spark, sf, "documents").filter("doc_id > 100").select("doc_id", "lang").orderBy("doc_id").limit(50)
 
 
-@register("S14_cache_conflicts", "SELECT sha256(url) AS key, count(DISTINCT html) AS n_values FROM pages GROUP BY 1 HAVING count(DISTINCT html) > 1")
+@register("S14_cache_conflicts", "SELECT sha256(event_type) AS key, count(DISTINCT user_id) AS n_values FROM events GROUP BY 1 HAVING count(DISTINCT user_id) > 1")
 def cache_conflicts(spark, sf):
-    keyed = table(spark, sf, "pages").select(F.sha2("url", 256).alias("key"), "html")
-    return keyed.groupBy("key").agg(F.countDistinct("html").alias("n_values")).filter("n_values > 1")
+    keyed = table(spark, sf, "events").select(F.sha2("event_type", 256).alias("key"), "user_id")
+    return keyed.groupBy("key").agg(F.countDistinct("user_id").alias("n_values")).filter("n_values > 1")
 
 
 @register("S17_caption_folding", "SELECT event_id, CASE WHEN trim(event_type) <> '' THEN props || ' [shared an image: ' || event_type || ']' ELSE props END AS turn_text FROM events")

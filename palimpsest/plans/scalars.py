@@ -184,10 +184,10 @@ def packed_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(text.pack_lines(F.col("text"))).alias("chunk", "lines"))
 
 
-@register("C8_stamps", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (DATE '2024-01-01' + (doc_id % 300)::INT)::VARCHAR END AS stamped, left(text, 50) AS body FROM documents")
+@register("C8_stamps", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (DATE '2024-01-01' + (doc_id % 300)::INT)::VARCHAR END AS stamped, text AS body FROM documents")
 def stamps(spark, sf):
     stamp = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("["), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 300).cast("int")).cast("string"), F.lit("] "))).otherwise(F.lit(""))
-    written = F.concat(stamp, F.left("text", F.lit(50)))
+    written = F.concat(stamp, F.col("text"))
     return table(spark, sf, "documents").select("doc_id", text.stamped_date(written).cast("string").alias("stamped"), text.strip_stamp(written).alias("body"))
 
 

@@ -90,8 +90,8 @@ def accumulator(spark, sf):
     return segment.accumulator_fires(rows, "user_id", "event_id", "amount", 150).select("user_id", "event_id", "passed", "fires")
 
 
-@register("A15_first_wins", "SELECT role, left(text, 20) AS head, min((conv_id * 1000 + turn)) AS first_at FROM conversations GROUP BY ALL")
+@register("A15_first_wins", "SELECT role, text, min((conv_id * 1000 + turn)) AS first_at FROM conversations GROUP BY ALL")
 def first_wins(spark, sf):
     """Distinct facts by their key; the earliest (window, position) wins."""
-    rows = table(spark, sf, "conversations").select("role", F.left("text", F.lit(20)).alias("head"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
-    return rows.groupBy("role", "head").agg(F.min("at").alias("first_at"))
+    rows = table(spark, sf, "conversations").select("role", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
+    return rows.groupBy("role", "text").agg(F.min("at").alias("first_at"))

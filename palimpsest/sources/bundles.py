@@ -13,7 +13,11 @@ ORDER = {"records": ["id"], "links": ["src", "dst", "relation"], "incidence": ["
 
 
 def namespace_tables(tables: dict[str, DataFrame], tenant: str, namespace: str) -> dict[str, DataFrame]:
-    """The rows of one namespace: records in scope, and of the rest what names one of them."""
+    """The rows of one namespace: records, quarantine and trajectories in scope, of the rest what names one of them.
+
+    A table with tenant and namespace is cut by them, one with either by that; states go with their trajectory. Only
+    the access edges, which belong to no namespace, are exported whole.
+    """
     records = tables["records"].filter((F.col("tenant") == tenant) & (F.col("namespace") == namespace))
     ids = records.select("id")
     found = {"records": records}
@@ -21,8 +25,23 @@ def namespace_tables(tables: dict[str, DataFrame], tenant: str, namespace: str)
     for name, table in tables.items():
         if name in by:
             found[name] = table.join(ids.withColumnRenamed("id", by[name]), by[name], "left_semi").select(*table.columns)
-        elif name != "records":
+        elif name in ("acl_ua", "acl_ar"):
             found[name] = table
+        elif name != "records":
+            scope = {"tenant": tenant, "namespace": namespace}
+            owned = [c for c in scope if c in table.columns]
+            if not owned and name == "quarantine" and "record" in table.columns:  # the staged record is JSON
+                of = lambda c: F.coalesce(F.get_json_object("record", f"$.scope.{c}"), F.get_json_object("record", f"$.{c}"))
+                found[name] = table.filter((of("tenant") == tenant) & (of("namespace") == namespace))
+            elif owned:
+                for c in owned:
+                    table = table.filter(F.col(c) == scope[c])
+                found[name] = table
+            elif name == "states" and "trajectories" in tables:
+                mine = namespace_tables({"records": tables["records"], "trajectories": tables["trajectories"]}, tenant, namespace)["trajectories"]
+                found[name] = table.join(mine.select(F.col("id").alias("trajectory")).distinct(), "trajectory", "left_semi").select(*table.columns)
+            else:
+                raise ValueError(f"table {name} does not say whose its rows are")
     return found
 
 
