@@ -9,7 +9,7 @@ from palimpsest.operators.checkpoints import cut_lineage
 
 
 def spread_rank(rows: DataFrame, key: str, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
-    """``rows`` with the row number of each within its ``key``, by ``order``, from 1.
+    """``rows`` with the row number of each within its ``key``, by ``order`` (ascending expressions), from 1.
 
     Rows are range-partitioned by key and order and sorted within partitions; what a row number needs from other
     partitions is how many rows of its key they hold, one number a key and partition. The order must be total. An

@@ -14,7 +14,7 @@ def test_spread_rank_numbers_every_group(spark):
     rng = random.Random(3)
     rows = [("hot" if rng.random() < 0.6 else rng.choice(["a", "b", None]), rng.randint(0, 50), k) for k in range(400)]
     frame = spark.createDataFrame(rows, "g string, v int, id int").repartition(5)
-    got = {r.id: r.rank for r in spread_rank(frame, "g", [F.desc("v"), F.col("id")], partitions=6).collect()}
+    got = {r.id: r.rank for r in spread_rank(frame, "g", [-F.col("v"), F.col("id")], partitions=6).collect()}
     for g in ("hot", "a", "b", None):
         order = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
         assert [got[r[2]] for r in order] == list(range(1, len(order) + 1))
