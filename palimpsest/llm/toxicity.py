@@ -47,6 +47,7 @@ _EDGE_MARKS = ".,;:?\"'[]{}*#%&^~`/\\-_=…«»¡¿“”„‘’)>"
 _EDGE_RUNS = re.compile(r"^([(<!|+$@])\1+|([(<!|+$@])\2+$|!+$|^\(|\($")
 _REPEAT = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
+_RUN = re.compile(r"(.)\1+")
 
 LEET_COST, SKIP_COST, DROP_COST, REPEAT_COST, DOUBLE_COST, JOIN_COST = 0.5, 0.7, 5.0, 0.1, 3.0, 1.0
 
@@ -229,6 +230,11 @@ def fit_weights(docs: DataFrame, labels: DataFrame, restorer: Restorer, rows: in
     return {r["feature"]: (r["n1"] + 0.1) / (r["n0"] + r["n1"] + 1.0) for r in kept.collect()}
 
 
+def _once(word: str) -> str:
+    """Every letter once where it stands several times in a row: the same for all readings of a plain word."""
+    return _RUN.sub(r"\1", word)
+
+
 class Scorer:
     """What a text's weighted words say: how many are sure signs, and how many, how often and how densely the
     weaker ones stand. ``calibration`` weighs these five figures and a constant into a probability."""
@@ -236,6 +242,7 @@ class Scorer:
     def __init__(self, restorer: Restorer, weights: dict[str, float], calibration: list[float] | None = None):
         self.restorer, self.weights, self.calibration = restorer, weights, calibration
         self.wanted = automaton(weights)
+        self.collapsed = {_once(w) for w, p in weights.items() if p >= STRONG and not w.endswith("*")}
         self.known: dict[str, tuple[str, float] | None] = {}
 
     def _best(self, words: list[str]) -> tuple[str, float] | None:
@@ -248,7 +255,8 @@ class Scorer:
 
     def _weigh(self, token: str) -> tuple[str, float] | None:
         best = self._best(self.restorer.readings(token))
-        if best is None:  # a doubled letter is common, so that only a word that is a sure sign counts
+        # a doubled letter is common, so that only a word that is a sure sign counts; most words are not near one
+        if best is None and _once(self.restorer.core(token)) in self.collapsed:
             sure = [w for w in self.restorer.single_letters(token) if self.weights.get(w, 0.0) >= STRONG]
             best = (sure[0], self.weights[sure[0]]) if sure else None
         if len(self.known) < CACHE_TOKENS and len(token) <= CACHE_CHARS:
