@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import by_ids, connected_components, cut_lineage, keyed_texts, row_slices, small, text_slices, with_row_ids
+from palimpsest.llm.common import by_ids, connected_components, cut_lineage, in_worker, keyed_texts, row_slices, small, text_slices, with_row_ids
 from palimpsest.llm.simhash import near_duplicates
 
 WIDTH = 5
@@ -34,7 +34,7 @@ BLOCK = 512
 BITS = 2048
 SMALL_SET = 256
 #: Bytes of one numpy step.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 _BASE, _MORE = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -56,7 +56,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 _CODES = _byte_codes()
 _SPACE = np.zeros(256, np.int8)
 _SPACE[[9, 10, 11, 12, 13, 32]] = 1
-_POWERS, _INVERSES = _powers(_BASE, STEP_BYTES + 1), _powers(_INVERSE, STEP_BYTES + 1)
+
+
+def _step_powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers for one step, made by each worker: as constants they would travel with every function."""
+    return in_worker(f"powers {STEP_BYTES}", lambda: (_powers(_BASE, STEP_BYTES), _powers(_INVERSE, STEP_BYTES)))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -69,11 +73,12 @@ def word_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[1], _SPACE[flat], [1]]).astype(np.int8))
     start, stop = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
     out, lo = np.empty(len(start), np.uint64), 0
+    step = _step_powers()
     while lo < len(start):
         hi = max(lo + 1, int(np.searchsorted(stop, start[lo] + STEP_BYTES, side="right")))
         first = start[lo]
         part = flat[first : stop[hi - 1]]
-        powers, inverses = (_POWERS, _INVERSES) if len(part) <= STEP_BYTES else (_powers(_BASE, len(part)), _powers(_INVERSE, len(part)))
+        powers, inverses = step if len(part) <= STEP_BYTES else (_powers(_BASE, len(part)), _powers(_INVERSE, len(part)))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[part] * powers[: len(part)], dtype=np.uint64)])
         out[lo:hi] = (sums[stop[lo:hi] - first] - sums[start[lo:hi] - first]) * inverses[start[lo:hi] - first]
         lo = hi
