@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import by_ids, connected_components, cut_lineage, in_worker, keyed_texts, row_slices, small, text_slices, with_row_ids
+from palimpsest.llm.common import arrow_rows, by_ids, connected_components, cut_lineage, in_worker, keyed_texts, row_slices, small, text_slices, with_row_ids
 from palimpsest.llm.simhash import near_duplicates
 
 WIDTH = 5
@@ -33,8 +33,9 @@ BLOCK = 512
 #: whole beside it.
 BITS = 2048
 SMALL_SET = 256
-#: Bytes of one numpy step.
+#: Bytes of one numpy step, and rows that travel to Python at once: a row may hold two whole sets.
 STEP_BYTES = 1 << 18
+BATCH_ROWS = 256
 
 _BASE, _MORE = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -354,9 +355,10 @@ def keep_one_of_each(docs: DataFrame, width: int = WIDTH, least: float = SIMILAR
     exactly one row of a group stays. Texts without words are one group. An empty table gives an empty result.
     """
     rows, row = with_row_ids(docs)
-    base = cut_lineage(near_duplicates(rows, id_col=row).select("doc_id", "component_id"))
-    known = base.filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    links = similar_pairs(rows, width, least, known, id_col=row)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        base = cut_lineage(near_duplicates(rows, id_col=row).select("doc_id", "component_id"))
+        known = base.filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+        links = cut_lineage(similar_pairs(rows, width, least, known, id_col=row))
     roots = connected_components(base.select(F.col("doc_id").alias("node")), links.unionByName(known))
     dropped = roots.filter("node <> component").select(F.col("node").alias(row))
     return by_ids(rows, dropped, row, "left_anti").select(*docs.columns)
