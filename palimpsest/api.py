@@ -12,9 +12,11 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import approx_tokens, preview
+from palimpsest.functions.ids import tenant_namespace, uuid5
+from palimpsest.functions.replies import evidence_label, verdict_tier
+from palimpsest.functions.text import approx_tokens, phrases, preview
 from palimpsest.functions.trust import assess_trust
-from palimpsest.operators import channels, compose, ledger, lineage, pools, predicates, trajectories
+from palimpsest.operators import channels, compose, ledger, lineage, pools, predicates, segment, trajectories
 
 MAX_STUBS = 200
 
@@ -48,27 +50,35 @@ class Memory:
             rows = rows.filter(f)
         return rows
 
-    def recall(self, queries: DataFrame, scope: Scope, as_of: int | None = None, filters: tuple[Column, ...] = (), subqueries: DataFrame | None = None, rerank: Callable[[DataFrame], Column] | None = None, abstain_below: float | None = None, untrusted: int | None = None) -> DataFrame:
+    def recall(self, queries: DataFrame, scope: Scope, as_of: int | None = None, filters: tuple[Column, ...] = (), subqueries: DataFrame | None = None, rerank: Callable[[DataFrame], Column] | None = None, abstain_below: float | None = None, untrusted: int | None = None, quota: tuple[str, int] | None = None, dated: bool = False, chronological: bool = False) -> DataFrame:
         """Evidence for any number of ``queries(query_id, text)`` in one plan: ``query_id, id, slot, type, value``.
 
         Scope and admissibility come before ranking. Sub-queries (query_id, text) add lists of their own to the
-        same fusion. The head of each query is composed within the budget and bookended.
+        same fusion. The head of each query is composed within the budget; ``quota`` (kind, n) puts a kind's first n
+        rows ahead. Slots are bookended, or ``chronological``; ``dated`` labels each text with its day, a mark if it is
+        untrusted, and what its relative phrases mean.
         """
         s = self.settings
         live = self.live(scope, as_of, filters)
         lists = channels.lexical(queries, live.select("id", "text"), s["depth"]).select("query_id", "id", "rank")
         if subqueries is not None:
-            named = subqueries.withColumn("sub", F.monotonically_increasing_id())
-            hits = channels.lexical(named.select(F.col("sub").alias("query_id"), "text"), live.select("id", "text"), s["depth"])
-            lists = lists.unionByName(hits.withColumnRenamed("query_id", "sub").join(named.select("sub", "query_id"), "sub").select("query_id", "id", "rank"))
+            named = subqueries.select(F.struct("query_id", "text").alias("query_id"), "text").distinct()
+            hits = channels.lexical(named, live.select("id", "text"), s["depth"])
+            lists = lists.unionByName(hits.select(F.col("query_id.query_id").alias("query_id"), "id", "rank"))
         head = channels.rrf(lists, s["rrf_k"], s["depth"]).join(live.select("id", "text", "trust_tier", "kind"), "id")
         if rerank is not None:
             head = channels.rerank(head.join(queries.select("query_id", F.col("text").alias("question")), "query_id"), rerank(head), abstain_below)
         head = compose.distinct_texts(head)
         if untrusted is not None:
             head = compose.untrusted_ceiling(head, untrusted)
+        if quota is not None:
+            head = compose.kind_quota(head, *quota).drop("rank").withColumnRenamed("position", "rank")
         kept = compose.within_budget(head.withColumn("tokens", approx_tokens(F.col("text"))), s["k"], s["tokens"])
-        return compose.bookend(kept).join(live.select("id", "text"), "id").select("query_id", "id", "slot", F.lit("text").alias("type"), F.col("text").alias("value"))
+        shown = kept.join(live.select("id", "text", "kind", "trust_tier", "t_valid"), "id")
+        placed = compose.chronological(shown, rank="position").withColumnRenamed("place", "slot") if chronological else compose.bookend(shown)
+        day = F.to_date(F.timestamp_seconds("t_valid"))
+        value = evidence_label(F.col("text"), F.col("kind"), F.col("trust_tier"), day) if dated else F.col("text")
+        return placed.select("query_id", "id", "slot", F.lit("text").alias("type"), value.alias("value"))
 
     def search(self, scope: Scope, limit: int = 20) -> DataFrame:
         """Stubs, newest ingested first."""
@@ -94,13 +104,44 @@ class Memory:
     def review_quarantine(self, tenant: str) -> DataFrame:
         return self.records.filter((F.col("tenant") == tenant) & (F.col("trust_tier") == "quarantined")).orderBy("id")
 
-    def remember(self, incoming: DataFrame, source_tier: str = "asserted") -> Memory:
-        """Add records once each; their text decides whether they are trusted, and an event logs each."""
-        fresh = ledger.new_only(incoming, self.records)
-        judged = fresh.withColumn("trust_tier", assess_trust(F.col("text"), F.lit(source_tier))["tier"]).select(*self.records.columns)
-        return replace(self, records=self.records.unionByName(judged), events=self._logged(judged.select("id"), "add"))
+    def remember(self, incoming: DataFrame, source_tier: str = "asserted", judge: Callable[[Column], Column] | None = None) -> Memory:
+        """Add records once each; their text decides whether they are trusted, and an event logs each.
 
-    observe = remember
+        ``judge`` gives a model's reply about a text; an injection, or a reply that cannot be read, quarantines.
+        """
+        fresh = ledger.new_only(incoming, self.records)
+        tier = assess_trust(F.col("text"), F.lit(source_tier))["tier"]
+        judged = fresh.withColumn("trust_tier", tier if judge is None else verdict_tier(judge(F.col("text")), tier)).select(*self.records.columns)
+        incidence = self.incidence
+        if incidence is not None:
+            batch = judged.select(F.explode(phrases("text")).alias("phrase"), F.col("id").alias("record_id"), F.lit(1.0).alias("weight"))
+            incidence = ledger.replace_incidence(incidence, batch)
+        return replace(self, records=self.records.unionByName(judged), incidence=incidence, events=self._logged(judged.select("id"), "add"))
+
+    def observe(self, turns: DataFrame, scope: Scope, source_tier: str = "asserted", judge: Callable[[Column], Column] | None = None, gap_seconds: int = segment.GAP_SECONDS, token_cap: int = segment.TOKEN_CAP) -> Memory:
+        """Cut ``turns(unit, turn, role, text, at)`` into episodes, remember each as one record and index its phrases.
+
+        An episode's id follows from its tenant, namespace, unit and first turn, so that writing twice changes nothing.
+        """
+        cut = segment.episodes(turns, "unit", "turn", at="at", gap_seconds=gap_seconds, token_cap=token_cap)
+        line = F.struct("turn", F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n")
+        made = cut.groupBy("unit", "episode").agg(text.alias("text"), F.min("turn").alias("first"), F.min(F.unix_timestamp("at")).alias("t_valid"))
+        doc = F.concat_ws("#", "unit", "first")
+        values = {
+            "id": uuid5(tenant_namespace(scope.tenant, "palimpsest"), F.concat_ws("/", F.lit(scope.namespace), doc)),
+            "tenant": F.lit(scope.tenant),
+            "namespace": F.lit(scope.namespace),
+            "agent": F.lit(scope.agent),
+            "session": F.col("unit").cast("string"),
+            "kind": F.lit("episodic"),
+            "text": F.col("text"),
+            "t_valid": F.col("t_valid"),
+            "t_ingested": F.lit(self.now),
+            "prov_source": doc,
+        }
+        incoming = made.select(*[values.get(c, F.lit(None)).cast(t).alias(c) for c, t in self.records.dtypes])
+        return self.remember(incoming, source_tier, judge)
 
     def forget(self, scope: Scope, ids: DataFrame, hard: bool = False, confirm: bool = False) -> Memory:
         """Softly: end the records now. Hard, only if confirmed: erase them and all that derives from them."""

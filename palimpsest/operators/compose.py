@@ -149,3 +149,8 @@ def weakest_tier(rows: DataFrame, key: str = "query_id") -> DataFrame:
     severity = F.coalesce(*[F.when(F.col("trust_tier") == t, F.lit(k)) for k, t in enumerate(TRUST_ORDER)], F.lit(TRUST_ORDER.index("untrusted")))
     worst = F.element_at(F.array(*map(F.lit, TRUST_ORDER)), F.max(severity) + 1)
     return rows.groupBy(key).agg(worst.alias("trust_tier"))
+
+
+def chronological(kept: DataFrame, at: str = "t_valid", rank: str = "rank") -> DataFrame:
+    """Oldest first, equals as they were ranked; gives ``place``."""
+    return kept.withColumn("place", F.row_number().over(_per_query().orderBy(at, rank)))

@@ -65,3 +65,9 @@ def valid_trajectories(states: DataFrame) -> DataFrame:
 def may_access(user_agent: DataFrame, agent_namespace: DataFrame) -> DataFrame:
     """``user_id, namespace`` pairs that some agent of the user may read."""
     return user_agent.join(agent_namespace, "agent_id").select("user_id", "namespace").distinct()
+
+
+def outcome_counts(outcomes: DataFrame, key: list[str]) -> DataFrame:
+    """How often each outcome of a write was reached: added, updated, deleted, left, quarantined, duplicates."""
+    of = lambda op: F.count_if(F.col("op") == op).alias(op)
+    return outcomes.groupBy(*key).agg(*[of(op) for op in (*OPS, "duplicate", "quarantine", "rejected")])

@@ -87,3 +87,9 @@ def drift(ledger: DataFrame, index: DataFrame, columns: list[str]) -> DataFrame:
     )
     found = left.join(right, left.id == right.i_id, "full_outer").select(F.coalesce("id", "i_id").alias("id"), state.alias("state"))
     return found.filter(F.col("state").isNotNull())
+
+
+def incidence_of(incidence: DataFrame, records: DataFrame, tenant: str) -> DataFrame:
+    """``phrase, record_id, weight`` of one tenant's records."""
+    mine = records.filter(F.col("tenant") == tenant).select(F.col("id").alias("record_id"))
+    return incidence.join(mine, "record_id", "left_semi").select("phrase", "record_id", "weight")

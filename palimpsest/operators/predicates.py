@@ -72,3 +72,8 @@ def missing_provenance(records: DataFrame) -> DataFrame:
 def index_payload(records: DataFrame) -> DataFrame:
     """What an index keeps of a record: epoch seconds, 0 for a fact never retracted."""
     return records.select("id", "tenant", "namespace", "kind", F.col("t_valid").cast("long").alias("t_valid"), F.coalesce(F.col("t_invalid").cast("long"), F.lit(0)).alias("t_invalid"), "trust_tier")
+
+
+def index_scan(index: DataFrame, namespace: str) -> DataFrame:
+    """The payload of one namespace in an index table; the filter reaches the scan."""
+    return index.filter(F.col("namespace") == namespace)

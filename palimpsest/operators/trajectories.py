@@ -47,3 +47,36 @@ def span(states: DataFrame, trajectory: str, first: int, last: int, most: int =
     if last < first or last - first + 1 > most:
         raise ValueError(f"not a span of at most {most} states: {first}..{last}")
     return states.filter((F.col("trajectory") == trajectory) & F.col("state_index").between(first, last)).orderBy("state_index")
+
+
+def anchored(headers: DataFrame, anchors: DataFrame, states: DataFrame) -> DataFrame:
+    """States of the trajectories whose anchor record is there: ``headers(trajectory, record_id, ...)``,
+    ``anchors(record_id, ...)``, ``states(trajectory, state_index, ...)``; their order is the state's index."""
+    return headers.join(anchors, "record_id").join(states, "trajectory")
+
+
+def exported(headers: DataFrame, states: DataFrame) -> DataFrame:
+    """``id, json``: each trajectory as an indented ASCII document; a trajectory without states has an empty list.
+
+    ``headers(id, goal, outcome, start_url)``, ``states(trajectory, state_index, step, url, action, thought, page)``.
+    """
+    part = F.struct("state_index", "step", "url", "action", "thought", "page")
+    grouped = states.groupBy(F.col("trajectory").alias("id")).agg(F.array_sort(F.collect_list(part)).alias("states"))
+    rows = headers.select("id", "goal", "outcome", "start_url").join(grouped, "id", "left")
+
+    def run(frames):
+        import json
+
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                told = [] if r.states is None else list(r.states)
+                pages = [{"state_index": int(s["state_index"]), "step": int(s["step"]), "url": s["url"], "action": s["action"], "thoughts": s["thought"], "text": s["page"], "screenshot": f"screenshots/{int(s['state_index']):04}.png"} for s in told]
+                actions = [s["action"] for s in told if s["action"] and s["action"].strip()]
+                whole = {"id": r.id, "goal": r.goal, "outcome": r.outcome, "start_url": r.start_url, "actions": actions, "states": pages}
+                out.append((r.id, json.dumps(whole, indent=2) + "\n"))
+            yield pd.DataFrame(out, columns=["id", "json"])
+
+    return rows.mapInPandas(run, f"id {dict(headers.dtypes)['id']}, json string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import evaluation, lineage, more, ranking, records, scalars, segments  # noqa: F401  they register
+from palimpsest.plans import arms, evaluation, lineage, more, ranking, records, scalars, segments, turns  # noqa: F401  they register
 from palimpsest.plans.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -21,6 +21,14 @@ class Reranker(Protocol):
     def score(self, query: str, documents: list[str]) -> list[float]: ...
 
 
+class Llm(Protocol):
+    def complete(self, prompt: str, schema: dict | None = None) -> str: ...
+
+
+class Nli(Protocol):
+    def entails(self, premise: str, hypotheses: list[str]) -> list[float]: ...
+
+
 class Permanent(Exception):
     """A failure that no retry mends."""
 
@@ -81,3 +89,44 @@ def embed_column(rows: DataFrame, embedder: Embedder, column: str = "text", batc
                 yield part
 
     return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("vector", ArrayType(FloatType()))]))
+
+
+class ScriptedLlm:
+    """A deterministic stand-in: the reply of the first key that the prompt holds, else ``default``."""
+
+    def __init__(self, replies: dict[str, str], default: str = "{}"):
+        self.replies, self.default = replies, default
+
+    def complete(self, prompt: str, schema: dict | None = None) -> str:
+        return next((reply for key, reply in self.replies.items() if key in prompt), self.default)
+
+
+class OverlapNli:
+    """A deterministic stand-in: share of a hypothesis' words that the premise has."""
+
+    def entails(self, premise: str, hypotheses: list[str]) -> list[float]:
+        have = set(premise.lower().split())
+        return [len(have & set(h.lower().split())) / max(1, len(set(h.lower().split()))) for h in hypotheses]
+
+
+def complete_column(rows: DataFrame, llm: Llm, column: str, out: str = "reply", at_once: int = 4) -> DataFrame:
+    """Adds the model's reply to each prompt; ``at_once`` calls of a partition run together, replies keep their order.
+
+    A call that fails for good gives null, so that the row can be refused rather than the job lost.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    def ask(prompt: str | None) -> str | None:
+        try:
+            return with_retry(lambda: llm.complete(prompt or ""))
+        except Permanent:
+            return None
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for frame in frames:
+                yield frame.assign(**{out: pd.Series(list(pool.map(ask, frame[column])), index=frame.index, dtype=object)})
+
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(out, StringType())]))
