@@ -1,7 +1,7 @@
 """Questions and answers between chunks of documents and buckets of keys.
 
-Documents are dealt into chunks of a few MB by a hash of doc_id, once; several rounds then work on the same
-shuffled chunks (one exchange that the plan reuses). In a round each chunk asks about its distinct keys, in
+Documents are dealt into chunks of a few MB by a hash of doc_id and text, once, so that rows that share an id, null
+ids among them, spread; several rounds then work on the same shuffled chunks (one exchange that the plan reuses). In a round each chunk asks about its distinct keys, in
 one binary row for each bucket of the key range; each bucket gathers what all chunks ask about its keys
 and answers every chunk in one binary row. A key that occurs in a third of all documents is thus asked at
 most once by each chunk, and no document's text moves again. A question is an array of fixed-width records
@@ -27,12 +27,18 @@ _ASKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("body", pa.b
 Replies = dict[int, bytes]
 
 
+#: Where ids are compared, null stands before every other.
+NULL_ID = -(1 << 62)
+
+
 class Chunk:
-    """The rows of one chunk in the order (doc_id, text), which any attempt rebuilds."""
+    """The rows of one chunk in the order (doc_id, text), nulls first, which any attempt rebuilds."""
 
     def __init__(self, table: pa.Table):
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True))
-        self.ids = np.array([r[0] for r in rows], np.int64)
+        rows = zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True)
+        rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        self.shown = pa.array([r[0] for r in rows], pa.int64())
+        self.ids = np.array([NULL_ID if r[0] is None else r[0] for r in rows], np.int64)
         self.texts = [r[1] for r in rows]
 
 
@@ -42,25 +48,30 @@ def _asked(chunk: int, bodies: dict[int, bytes]) -> pa.Table:
 
 
 class Exchange:
-    def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES):
-        texts = keyed_texts(docs)
+    """``texts``, if given, has doc_id, text and columns that travel with them; ``reader`` makes of a chunk's rows what
+    the questions work on."""
+
+    def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, reader: Callable[[pa.Table], object] = Chunk, texts: DataFrame | None = None):
+        texts = keyed_texts(docs) if texts is None else texts
+        self.reader = reader
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n_chunks = max(1, -(-size // chunk_bytes))
         self.n_partitions = max(shuffle_width(docs.sparkSession), -(-self.n_chunks // 3))
         self.n_buckets = self.n_partitions
-        dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(self.n_chunks)))
+        dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n_chunks)))
         self.chunks = dealt.repartition(self.n_partitions, "chunk")
 
     def ask(self, question: Callable[[Chunk, Replies], dict[int, bytes]], replies: DataFrame | None = None) -> DataFrame:
+        reader = self.reader
         if replies is None:
 
             def first(key, table):
-                return _asked(key[0].as_py(), question(Chunk(table), {}))
+                return _asked(key[0].as_py(), question(reader(table), {}))
 
             return self.chunks.groupBy("chunk").applyInArrow(first, ASKED)
 
         def later(key, table, got):
-            return _asked(key[0].as_py(), question(Chunk(table), _replies(got)))
+            return _asked(key[0].as_py(), question(reader(table), _replies(got)))
 
         return self.chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(later, ASKED)
 
@@ -79,8 +90,10 @@ class Exchange:
         return asked.withColumn("place", place).groupBy("place").applyInArrow(gather, ASKED)
 
     def finish(self, replies: DataFrame, conclude: Callable[[Chunk, Replies], pa.Table], schema: str) -> DataFrame:
+        reader = self.reader
+
         def last(key, table, got):
-            return conclude(Chunk(table), _replies(got))
+            return conclude(reader(table), _replies(got))
 
         return self.chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(last, schema)
 

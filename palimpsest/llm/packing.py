@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import concat_bytes, in_worker, keyed_texts, shuffle_width, text_slices
+from palimpsest.llm.exchange import NULL_ID
 
 SEQUENCE_TOKENS = 1024
 SEPARATOR_ID = 0
@@ -191,7 +192,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, pattern: str | None
     each range is tokenised once and cut along the curve into sequences of ``capacity`` tokens; what remains
     at the end of a range becomes sequences of a power of two tokens. A document is its ids and then id 0; a
     null or empty text is that id alone. No id is lost, none is padded. ``sequence_id`` has the range in its
-    upper bits. Repeated rows are documents of their own. A long text spans as many sequences as it needs.
+    upper bits. Repeated rows are documents of their own, and so are rows with a null doc_id, which stand
+    first among equal keys. A long text spans as many sequences as it needs.
     An empty table gives an empty result. The tokenizer file is read where the rows are, from
     ``tokenizer_path`` or, by default, the public byte-level BPE of 50,257 ids.
     """
@@ -207,7 +209,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, pattern: str | None
     texts = keyed_texts(docs)
     width = partitions or shuffle_width(docs.sparkSession)
     share = min(1.0, SPLITTER_ROWS / max(1, texts.count()))
-    picked = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit("packing")), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * SPLITTER_ROWS)
+    picked = texts.filter("doc_id IS NOT NULL").filter(F.pmod(F.xxhash64("doc_id", F.lit("packing")), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * SPLITTER_ROWS)
     drawn = sorted((r[0], r[1]) for r in picked.mapInArrow(sample, "key long, doc_id long").collect())
     cuts = [drawn[k * len(drawn) // width] for k in range(1, width)] if drawn else []
     cut_keys, cut_ids = (np.array([c[j] for c in cuts], np.int64) for j in (0, 1))
@@ -217,7 +219,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, pattern: str | None
             part = np.searchsorted(cut_keys, key, side="left")
             high = np.searchsorted(cut_keys, key, side="right")
             for k in np.nonzero(high > part)[0]:  # among equal keys the ids decide
-                part[k] += np.searchsorted(cut_ids[part[k] : high[k]], ids[k], side="right")
+                part[k] += np.searchsorted(cut_ids[part[k] : high[k]], NULL_ID if ids[k] is None else ids[k], side="right")
             yield pa.record_batch([pa.array(part, pa.int32()), pa.array(key), pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["part", "key", "doc_id", "text"])
 
     def cut(batches):

@@ -74,6 +74,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.centroids import cluster
+
+    return cluster(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,10 +93,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_curve_packing,
         op9_simhash_near_dedup,
         op10_url_filter,
+        op11_centroid_clustering,
     )
 }
 
+
+
+def _centroid_sql(k: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds one after the other: each a nearest centroid by exact distance and a floor of each mean."""
+    floor = "(((s - ((s % n) + n) % n)) // n)::BIGINT"
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS p FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, p AS q FROM v ORDER BY sha256('1:' || vec_id) LIMIT {k})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, p, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT vec_id, p, c, list_sum(list_transform(list_zip(p, q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r}) GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m.q, c{r}.q) AS q FROM c{r} LEFT JOIN (
+  SELECT c, list({floor} ORDER BY i) AS q FROM (SELECT c, i, sum(p[i])::HUGEINT AS s, count(*) AS n FROM a{r}, range(1, 65) AS t(i) GROUP BY c, i) GROUP BY c) m ON m.c = c{r}.c)""")
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, a.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(q, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} USING (c)"""
+    )
+
+
 ORACLE: dict[str, str] = {
+    "op11_centroid_clustering": _centroid_sql(),
     "op2_exact_dedup": """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256

@@ -129,7 +129,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW_WORDS, chunk_bytes: in
     or another; windows are judged on the input. ``spans`` are the maximal removed runs (start, stop) in words.
     Words are runs of bytes other than space and 0x09-0x0D. Null and empty texts have no words, texts of fewer
     than ``width`` words no window; both keep all. Repeated rows are occurrences of their own, so all of them
-    lose their windows. Every window of every text is hashed to 64 bits and counted over the whole corpus;
+    lose their windows; so are rows with a null doc_id. Every window of every text is hashed to 64 bits and counted over the whole corpus;
     two of n different windows collide with a chance of about n^2 / 2^65. An empty table gives an empty
     result. Columns other than doc_id and text are ignored.
     """
@@ -150,7 +150,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW_WORDS, chunk_bytes: in
                 last = b
             kept = b" ".join(kept + words[last:])
             out.append((len(words), int(mask.sum()), [{"start": a, "stop": b} for a, b in spans], hashlib.sha256(kept).hexdigest(), kept))
-        columns = [pa.array(chunk.ids), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), _SPANS, pa.string())))]
+        columns = [chunk.shown, *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), _SPANS, pa.string())))]
         names = ["doc_id", "n_words", "n_removed", "spans", "kept_sha256"]
         if with_text:
             columns.append(pa.array([o[4] for o in out], pa.binary()).cast(pa.string()))

@@ -417,7 +417,7 @@ def repeated_substrings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, chu
     Texts are UTF-8 bytes. A byte is removed if a string of ``span`` bytes over it also starts in a document
     with a smaller doc_id; strings overlap, are judged on the input, and never cross documents. ``spans`` are
     the maximal removed runs (start, stop) in bytes. Null and empty texts, and texts shorter than ``span``,
-    keep all. Rows with one doc_id do not remove each other. Suffixes, contexts and windows are compared by
+    keep all. Rows with one doc_id do not remove each other; a null doc_id counts as one that is less than all others. Suffixes, contexts and windows are compared by
     four leading bytes and a 64-bit hash of the rest. An empty table gives an empty result. Columns other
     than doc_id and text are ignored. ``kept`` is binary, as a cut may fall inside a character.
     """
@@ -440,7 +440,7 @@ def repeated_substrings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, chu
             out.append((len(text), int(mask.sum()), len(spans), [{"start": a, "stop": b} for a, b in spans], hashlib.sha256(kept).hexdigest(), kept))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string(), pa.binary())
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"][: 6 + with_text]
-        return pa.table([pa.array(chunk.ids), *(pa.array([o[k] for o in out], types[k]) for k in range(len(names) - 1))], names=names)
+        return pa.table([chunk.shown, *(pa.array([o[k] for o in out], types[k]) for k in range(len(names) - 1))], names=names)
 
     heard = ex.answer(ex.ask(rounds.sieve), rounds.answer_sieve)
     heard = ex.answer(ex.ask(rounds.contexts, heard), rounds.answer_contexts)
