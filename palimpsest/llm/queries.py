@@ -80,6 +80,18 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.phrases import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.licences import scan_licences
+
+    return scan_licences(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simhash_near_dedup,
         op10_url_filter,
         op11_centroid_clustering,
+        op12_phrase_mining,
+        op13_license_scan,
     )
 }
 
@@ -122,6 +136,20 @@ SELECT vec_id, a.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.
 
 ORACLE: dict[str, str] = {
     "op11_centroid_clustering": _centroid_sql(),
+    "op12_phrase_mining": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM d),
+g AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS s(size))),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 10),
+k AS (SELECT lang, size, phrase, a, k, array_to_string(ws[:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+s AS (SELECT k.lang, k.phrase, a, l.f AS l, r.f AS r, k, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM k JOIN f l ON l.lang = k.lang AND l.phrase = lp JOIN f r ON r.lang = k.lang AND r.phrase = rp),
+b AS (SELECT lang, phrase, arg_min(struct_pack(a, l, r, score), (score, k)) AS b FROM s GROUP BY lang, phrase),
+o AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, a, array_to_string(ws[i:i + 1], ' ') AS phrase FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE size = 3)) GROUP BY lang, phrase),
+t AS (SELECT b.lang, b.phrase, b.b.a AS a, b.b.l AS l, b.b.r AS r, b.b.score AS score FROM b LEFT JOIN o USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * b.b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t) JOIN n USING (lang) WHERE rank <= 2000
+""",
     "op2_exact_dedup": """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
