@@ -7,36 +7,95 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import approx_tokens
 from palimpsest.functions.vectors import cosine
+from palimpsest.operators.checkpoints import cut_lineage
+from palimpsest.operators.ranks import spread_scan
 
 GAP_SECONDS, TOKEN_CAP = 3600, 512
+#: Turns of a unit that may be folded in one row.
+FOLD_TURNS = 1000
 
 
-def episodes(turns: DataFrame, unit: str, order: str, text: str = "text", at: str | None = None, gap_seconds: int = GAP_SECONDS, token_cap: int = TOKEN_CAP) -> DataFrame:
+def episodes(
+    turns: DataFrame, unit: str, order: str, text: str = "text", at: str | None = None, gap_seconds: int = GAP_SECONDS, token_cap: int = TOKEN_CAP,
+    topic: str | None = None, fold_turns: int = FOLD_TURNS,
+) -> DataFrame:
     """``turns`` with ``episode`` (from 0 within the unit) and ``ended_by``.
 
-    A new unit always opens an episode, then a gap of more than ``gap_seconds``, then a turn that would take
-    the open episode over ``token_cap``; a turn over the cap stands alone. The gaps are set-wise; the cap
-    depends on where the episode began, so runs between gaps are folded, each in its own row.
+    A new unit always opens an episode, then a gap of more than ``gap_seconds``, then a turn whose ``topic`` flag is
+    set, then a turn that would take the open episode over ``token_cap``; a turn over the cap stands alone. ``order``
+    must be unique within a unit; a null time makes no gap, a null flag no topic, a null text no tokens. The last turn of
+    an episode says why it ended. Units of up to ``fold_turns`` turns are folded in a row of their own; longer ones, which
+    no task need hold, are cut by running totals and pointers (spread_starts). Both give the same episodes.
     """
-    per_unit = Window.partitionBy(unit).orderBy(order)
-    gap = F.lit(0) if at is None else F.coalesce((F.unix_timestamp(at) - F.unix_timestamp(F.lag(at).over(per_unit)) > gap_seconds).cast("int"), F.lit(0))
-    marked = turns.withColumn("tokens", approx_tokens(F.col(text))).withColumn("gap", gap).withColumn("run", F.sum("gap").over(per_unit))
-    rows = marked.groupBy(unit, "run").agg(F.array_sort(F.collect_list(F.struct(order, "tokens"))).alias("rows"))
-    start = F.expr("named_struct('used', 0L, 'part', 0, 'parts', cast(array() as array<int>))")
+    flag = F.lit(False) if topic is None else F.coalesce(F.col(topic), F.lit(False))
+    when = F.lit(None).cast("long") if at is None else F.unix_timestamp(at)
+    own = turns.select(unit, order, F.coalesce(approx_tokens(F.col(text)), F.lit(0)).cast("long").alias("tokens"), when.alias("at"), flag.alias("topic"))
+    sizes = turns.groupBy(unit).agg(F.count(F.lit(1)).alias("n"))
+    long_units = cut_lineage(sizes.filter(F.col("n") > fold_turns).select(unit))
+    if long_units.isEmpty():
+        cut = _folded(own, unit, order, gap_seconds, token_cap)
+    else:
+        few = _folded(own.join(long_units, unit, "left_anti"), unit, order, gap_seconds, token_cap)
+        cut = few.unionByName(spread_starts(own.join(long_units, unit, "left_semi"), unit, order, gap_seconds, token_cap))
+    return turns.join(cut, [unit, order])
+
+
+def _folded(own: DataFrame, unit: str, order: str, gap_seconds: int, token_cap: int) -> DataFrame:
+    """``unit, order, episode, ended_by`` by one pass over the turns of a unit, held in its row."""
+    rows = own.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(F.col(order), "tokens", "at", "topic"))).alias("rows"))
+    start = F.expr("named_struct('used', 0L, 'at', cast(null as bigint), 'part', -1, 'cuts', cast(array() as array<struct<part:int,why:string>>))")
 
     def step(acc, x):
-        over = (acc["used"] > 0) & (acc["used"] + x["tokens"] > token_cap)
-        part = acc["part"] + over.cast("int")
-        used = F.when(over, x["tokens"]).otherwise(acc["used"] + x["tokens"])
-        return F.struct(used.alias("used"), part.alias("part"), F.array_append(acc["parts"], part).alias("parts"))
-
-    parts = rows.select(unit, "run", F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step, lambda a: a["parts"]).alias("parts"))).alias("z"))
-    flat = parts.select(unit, "run", F.col(f"z.rows.{order}").alias(order), F.col("z.parts").alias("part"))
-    numbered = flat.withColumn("episode", F.dense_rank().over(Window.partitionBy(unit).orderBy("run", "part")) - 1)
-    following = F.lead(F.struct("run", "part", "episode")).over(per_unit)
-    after = numbered.withColumn("after", following)
-    ended = F.when(F.col("after").isNull(), "end_of_unit").when(F.col("after.run") != F.col("run"), "time_gap").when(F.col("after.episode") != F.col("episode"), "token_cap")
-    return turns.join(after.select(unit, order, "episode", ended.alias("ended_by")), [unit, order])
+        why = F.when(acc["part"] < 0, "first").when(x["at"] - acc["at"] > gap_seconds, "time_gap").when(x["topic"], "topic_shift").when(acc["used"] + x["tokens"] > token_cap, "token_cap")
+        part = acc["part"] + why.isNotNull().cast("int")
+        used = F.when(why.isNotNull(), x["tokens"]).otherwise(acc["used"] + x["tokens"])
+        return F.struct(used.alias("used"), x["at"].alias("at"), part.alias("part"), F.array_append(acc["cuts"], F.struct(part.alias("part"), why.alias("why"))).alias("cuts"))
+
+    cuts = F.aggregate("rows", start, step, lambda acc: acc["cuts"])
+    placed = rows.select(unit, F.posexplode(F.arrays_zip(F.col("rows"), cuts.alias("cuts"), F.slice(cuts, 2, F.greatest(F.size("rows"), F.lit(1))).alias("after"))).alias("k", "z"), F.size("rows").alias("n"))
+    ended = F.when(F.col("k") + 1 == F.col("n"), "end_of_unit").otherwise(F.col("z.after.why"))
+    return placed.select(unit, F.col(f"z.rows.{order}").alias(order), F.col("z.cuts.part").cast("long").alias("episode"), ended.alias("ended_by"))
+
+
+def spread_starts(own: DataFrame, unit: str, order: str, gap_seconds: int, token_cap: int) -> DataFrame:
+    """``unit, order, episode, ended_by`` of units of any length, spread over tasks.
+
+    Running totals of tokens tell for each turn which later turn would pass the cap, were an episode to begin with it: the
+    turn whose stretch of the total holds the sum, found by an equi-join on stretches of ``token_cap`` tokens. Episodes
+    begin at gaps and topics and wherever those pointers lead from there, which doubling them finds in as many rounds
+    as the logarithm of the episodes between two gaps.
+    """
+    counted = spread_scan(own, unit, [order], {"idx": F.lit(1), "total": F.col("tokens")}, {"before": F.col("at")})
+    why = F.when(F.col("idx") == 1, "first").when(F.col("at") - F.col("before") > gap_seconds, "time_gap").when(F.col("topic"), "topic_shift")
+    marked = spread_scan(counted.withColumn("why", why), unit, ["idx"], {"run": F.col("why").isNotNull().cast("long")})
+    turns = cut_lineage(marked.select(unit, order, "idx", "tokens", "total", "why", "run"))
+
+    cell = lambda c: F.floor(c / token_cap)
+    low = F.col("total") - F.col("tokens")
+    held = turns.filter("tokens > 0").select(unit, "run", "idx", "total", F.explode(F.sequence(cell(low), cell(F.col("total") - 1))).alias("cell"))
+    cells = held.groupBy(unit, "cell").agg(F.array_sort(F.collect_list(F.struct("total", "idx", "run"))).alias("ends"))  # at most token_cap + 1
+    past = turns.withColumn("limit", low + token_cap).withColumn("cell", cell(F.col("limit"))).join(cells, [unit, "cell"])
+    over = past.withColumn("over", F.get(F.filter("ends", lambda x: x["total"] > F.col("limit")), F.lit(0)))
+    following = F.when(F.col("over.idx") == F.col("idx"), F.col("idx") + 1).when(F.col("over.run") == F.col("run"), F.col("over.idx"))
+    jumps = cut_lineage(over.select(unit, "idx", following.alias("to")).filter("to IS NOT NULL"))
+
+    starts = reached(cut_lineage(turns.filter("why IS NOT NULL").select(unit, "idx")), jumps, unit)
+    opened = turns.join(starts.withColumn("opens", F.lit(1)), [unit, "idx"], "left")
+    numbered = spread_scan(opened.select(unit, order, "idx", "why", "opens"), unit, ["idx"], {"episode": F.coalesce("opens", F.lit(0)).cast("long")})
+    ends = opened.filter("opens = 1").select(unit, (F.col("idx") - 1).alias("idx"), F.coalesce("why", F.lit("token_cap")).alias("ended"))
+    last = turns.groupBy(unit).agg(F.max("idx").alias("idx")).withColumn("ended", F.lit("end_of_unit"))
+    met = numbered.join(ends.unionByName(last), [unit, "idx"], "left")
+    return met.select(unit, order, (F.col("episode") - 1).alias("episode"), F.col("ended").alias("ended_by"))
+
+
+def reached(starts: DataFrame, jumps: DataFrame, unit: str) -> DataFrame:
+    """``unit, idx`` of all places to which ``jumps(unit, idx, to)``, one a place and forwards, lead from the starts."""
+    while not jumps.isEmpty():
+        led = starts.join(jumps, [unit, "idx"]).select(unit, F.col("to").alias("idx"))
+        starts = cut_lineage(starts.unionByName(led).distinct())
+        further = jumps.select(unit, F.col("idx").alias("to"), F.col("to").alias("beyond"))
+        jumps = cut_lineage(jumps.join(further, [unit, "to"]).select(unit, "idx", F.col("beyond").alias("to")))
+    return starts
 
 
 def windows(turns: DataFrame, unit: str, position: str, size: int = 25, stride: int = 20) -> DataFrame:

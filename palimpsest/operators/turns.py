@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import approx_tokens, words
+from palimpsest.operators.checkpoints import cut_lineage
+from palimpsest.operators.ranks import spread_scan
+from palimpsest.operators.segment import FOLD_TURNS, adjacent_similarity, boundary_candidates, depths, reached
 
 #: Short replies that acknowledge, and bounds of key utterances.
 ACKNOWLEDGEMENTS = (
@@ -18,27 +21,66 @@ ELISION = "…"
 PROMPT_TOKENS = 256
 
 
-def key_utterances(turns: DataFrame, unit: str, order: str, text: str = "text") -> DataFrame:
+def key_utterances(turns: DataFrame, unit: str, order: str, text: str = "text", fold_turns: int = FOLD_TURNS) -> DataFrame:
     """``turns`` with ``key``: long enough, no acknowledgement, and no restatement of the key utterance before.
 
-    What is restated depends on what was kept, so a unit's turns are folded in order, as one row of the unit.
+    ``order`` must be unique within a unit; a null text is no key. What is restated depends on what was kept: units of up
+    to ``fold_turns`` turns are folded in order, in a row of their own; of longer ones each utterance points to the next
+    that does not restate it, and the pointers are followed from the first (segment.reached). Both give the same keys.
     """
-    spoken = words(F.col(text))
+    spoken = words(F.coalesce(F.col(text), F.lit("")))
     joined = F.array_join(spoken, " ")
     ack = joined.isin(*ACKNOWLEDGEMENTS) | F.exists(F.array(*map(F.lit, ACKNOWLEDGEMENTS)), lambda c: joined.startswith(F.concat(c, F.lit(" "))))
     able = (F.size(spoken) >= KEY_WORDS) & ~((F.size(spoken) <= ACK_WORDS) & ack)
-    content = F.array_distinct(F.filter(spoken, lambda w: F.char_length(w) >= CONTENT_CHARS))
-    rows = turns.select(unit, F.struct(F.col(order), able.alias("able"), content.alias("content")).alias("r")).groupBy(unit).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    content = F.array_sort(F.array_distinct(F.filter(spoken, lambda w: F.char_length(w) >= CONTENT_CHARS)))
+    own = turns.select(unit, order, able.alias("able"), content.alias("content"))
+    long_units = cut_lineage(turns.groupBy(unit).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > fold_turns).select(unit))
+    if long_units.isEmpty():
+        found = _folded_keys(own, unit, order)
+    else:
+        few = _folded_keys(own.join(long_units, unit, "left_anti"), unit, order)
+        found = few.unionByName(_spread_keys(own.join(long_units, unit, "left_semi"), unit, order))
+    return turns.join(found, [unit, order])
+
+
+def _restates(content: Column, before: Column) -> Column:
+    shared = F.size(F.array_intersect(content, before)) / F.size(content)
+    return F.coalesce(before.isNotNull() & (F.size(content) > 0) & (shared >= RESTATED), F.lit(False))
+
+
+def _folded_keys(own: DataFrame, unit: str, order: str) -> DataFrame:
+    rows = own.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(order, "able", "content"))).alias("rows"))
     start = F.expr("named_struct('before', cast(null as array<string>), 'keys', cast(array() as array<boolean>))")
 
     def step(acc: Column, x: Column) -> Column:
-        shared = F.size(F.array_intersect(x["content"], acc["before"])) / F.size(x["content"])
-        restates = F.coalesce(acc["before"].isNotNull() & (F.size(x["content"]) > 0) & (shared >= RESTATED), F.lit(False))
-        key = x["able"] & ~restates
+        key = x["able"] & ~_restates(x["content"], acc["before"])
         return F.struct(F.when(key, x["content"]).otherwise(acc["before"]).alias("before"), F.array_append(acc["keys"], key).alias("keys"))
 
     found = rows.select(unit, F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step, lambda a: a["keys"]).alias("keys"))).alias("z"))
-    return turns.join(found.select(unit, F.col(f"z.rows.{order}").alias(order), F.col("z.keys").alias("key")), [unit, order])
+    return found.select(unit, F.col(f"z.rows.{order}").alias(order), F.col("z.keys").alias("key"))
+
+
+def _spread_keys(own: DataFrame, unit: str, order: str) -> DataFrame:
+    """Stretches of able turns of the same content count as one when the next key is looked for, so that a round of
+    looking goes on past a stretch; there are as many rounds as different restatements follow one another."""
+    numbered = spread_scan(own.filter("able").select(unit, order, "content"), unit, [order], {"idx": F.lit(1)}, {"before": F.col("content")})
+    new = F.coalesce((F.col("content") != F.col("before")).cast("long"), F.lit(1))
+    able = cut_lineage(spread_scan(numbered.withColumn("new", new), unit, ["idx"], {"stretch": F.col("new")}).select(unit, order, "idx", "stretch", "content"))
+    heads = able.groupBy(unit, "stretch").agg(F.min("idx").alias("head"), F.first("content").alias("other"))
+    alike = able.groupBy(unit, "stretch").agg(F.max("idx").alias("last"))
+    # within its own stretch a turn with content is restated by the next one; one without is not
+    here = able.join(alike, [unit, "stretch"])
+    plain = (F.size("content") == 0) & (F.col("idx") < F.col("last"))
+    jumps = here.filter(plain).select(unit, "idx", (F.col("idx") + 1).alias("to"))
+    open_ = cut_lineage(here.filter(~plain).select(unit, "idx", "content", (F.col("stretch") + 1).alias("stretch")))
+    while not open_.isEmpty():
+        met = open_.join(heads, [unit, "stretch"])
+        again = _restates(F.col("other"), F.col("content"))
+        jumps = cut_lineage(jumps.unionByName(met.filter(~again).select(unit, "idx", F.col("head").alias("to"))))
+        open_ = cut_lineage(met.filter(again).select(unit, "idx", "content", (F.col("stretch") + 1).alias("stretch")))
+    keys = reached(cut_lineage(able.filter("idx = 1").select(unit, "idx")), cut_lineage(jumps), unit)
+    key = able.join(keys.withColumn("key", F.lit(True)), [unit, "idx"], "left_semi").select(unit, order, F.lit(True).alias("key"))
+    return own.select(unit, order).join(key, [unit, order], "left").select(unit, order, F.coalesce("key", F.lit(False)).alias("key"))
 
 
 def spaced_boundaries(candidates: DataFrame, unit: str, gap: str, depth: str, n_key: str, least: int = MIN_KEY) -> DataFrame:
@@ -54,6 +96,23 @@ def spaced_boundaries(candidates: DataFrame, unit: str, gap: str, depth: str, n_
     return rows.select(unit, F.explode(F.aggregate("rows", start, take)).alias(gap))
 
 
+def topic_starts(turns: DataFrame, unit: str, order: str, text: str = "text", vector: str = "vector", width: int = 2, least: int = MIN_KEY, fold_turns: int = FOLD_TURNS) -> DataFrame:
+    """``unit, order`` of the turns that open a topic, of ``turns`` that have a ``vector``.
+
+    Only key utterances count. A topic opens behind a gap between two of them that is deeper than its neighbours and deep
+    among the gaps of its unit, with ``least`` key utterances to the next such gap and to both ends. Units of fewer than
+    2 ``width`` + 2 key utterances, and those whose depths are all alike, have none.
+    """
+    keyed = key_utterances(turns, unit, order, text, fold_turns).filter("key")
+    placed = spread_scan(keyed.select(unit, order, F.col(vector).alias("vector")), unit, [order], {"nth": F.lit(1)})
+    n = placed.groupBy(unit).agg(F.max("nth").alias("n_key")).filter(F.col("n_key") >= 2 * width + 2)
+    gaps = adjacent_similarity(placed, unit, "nth").join(n, unit).withColumn("gap", F.col("nth") - 1)
+    deep = depths(gaps.select(unit, "gap", "n_key", "similarity"), unit, "gap", width)
+    varied = deep.filter("depth IS NOT NULL").groupBy(unit).agg((F.max("depth") > F.min("depth")).alias("varied")).filter("varied").select(unit)
+    cut = spaced_boundaries(boundary_candidates(deep.join(varied, unit), unit, "gap"), unit, "gap", "depth", "n_key", least)
+    return cut.select(unit, (F.col("gap") + 2).alias("nth")).join(placed, [unit, "nth"]).select(unit, order)
+
+
 def turn_spans(text: str, speakers: list[str]) -> list[tuple[int, int]]:
     """(start, end) in characters of each turn; a line opens one if it begins with a speaker and a colon."""
     spans: list[tuple[int, int]] = []

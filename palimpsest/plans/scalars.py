@@ -31,14 +31,6 @@ def token_f1(spark, sf):
     return rows.select("conv_id", "turn", F.round(text.token_f1(F.col("text"), F.col("gold")), 6).alias("f1"))
 
 
-@register("C9_is_found", """
-SELECT item_id, bool_or(length(b.text) > 30 AND contains(regexp_replace(d.text, '^\\[\\d{4}-\\d{2}-\\d{2}\\] ?', ''), left(b.text, 80))) AS found FROM benchmark b, documents d GROUP BY item_id""")
-def is_found(spark, sf):
-    gold = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("gold"))
-    pairs = table(spark, sf, "documents").select("text").crossJoin(F.broadcast(gold))  # the stated questions against all rows
-    return pairs.groupBy("item_id").agg(F.some(text.is_found(F.col("gold"), F.array("text"))).alias("found"))
-
-
 @register("C10_norms", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
 def norms(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))

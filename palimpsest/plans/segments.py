@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import segment
+from palimpsest.operators import segment, turns
 from palimpsest.plans.common import register, table
 
 _TOKENS = "greatest(length(text) // 4, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))"
@@ -13,22 +13,68 @@ _TOKENS = "greatest(length(text) // 4, len(list_filter(regexp_split_to_array(tex
 @register("W1_episodes_by_cap", f"""
 WITH RECURSIVE t AS (SELECT conv_id, turn, {_TOKENS} AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
 f AS (SELECT conv_id, turn, k, tokens AS used, 0 AS episode FROM t WHERE k = 1 UNION ALL
-  SELECT t.conv_id, t.turn, t.k, CASE WHEN used > 0 AND used + tokens > 128 THEN tokens ELSE used + tokens END, episode + CASE WHEN used > 0 AND used + tokens > 128 THEN 1 ELSE 0 END
+  SELECT t.conv_id, t.turn, t.k, CASE WHEN used + tokens > 128 THEN tokens ELSE used + tokens END, episode + CASE WHEN used + tokens > 128 THEN 1 ELSE 0 END
   FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)
 SELECT conv_id, turn, episode, CASE WHEN lead(episode) OVER w IS NULL THEN 'end_of_unit' WHEN lead(episode) OVER w <> episode THEN 'token_cap' END AS ended_by FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def by_cap(spark, sf):
     return segment.episodes(table(spark, sf, "conversations"), "conv_id", "turn", token_cap=128).select("conv_id", "turn", "episode", "ended_by")
 
 
+_FOLDED = """, f AS (SELECT unit, pos, k, tokens AS used, 0::BIGINT AS episode, 'first' AS why FROM t WHERE k = 1 UNION ALL
+  SELECT unit, pos, k, CASE WHEN reason IS NULL THEN used + tokens ELSE tokens END, episode + (reason IS NOT NULL)::INT, reason FROM (
+    SELECT t.unit, t.pos, t.k, t.tokens, f.used, f.episode, CASE WHEN t.gap THEN 'time_gap' WHEN t.topic THEN 'topic_shift' WHEN f.used + t.tokens > {cap} THEN 'token_cap' END AS reason
+    FROM f JOIN t ON t.unit = f.unit AND t.k = f.k + 1))
+SELECT unit, pos, episode, CASE WHEN lead(k) OVER w IS NULL THEN 'end_of_unit' WHEN lead(episode) OVER w <> episode THEN lead(why) OVER w END AS ended_by FROM f WINDOW w AS (PARTITION BY unit ORDER BY k)"""
+
+
 @register("W1_episodes_by_gap", """
-WITH g AS (SELECT user_id, event_id, ts, coalesce((floor(epoch(ts))::BIGINT - floor(epoch(lag(ts) OVER w))::BIGINT > 3600)::INT, 0) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, event_id, (sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS episode FROM g""")
+WITH RECURSIVE t AS (SELECT user_id % 7 AS unit, event_id AS pos, length(event_type) * 9 AS tokens, false AS topic, row_number() OVER w AS k,
+  coalesce(floor(epoch(ts))::BIGINT - floor(epoch(lag(ts) OVER w))::BIGINT > 3600, false) AS gap FROM events WINDOW w AS (PARTITION BY user_id % 7 ORDER BY event_id))""" + _FOLDED.format(cap=512))
 def by_gap(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.coalesce((F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w)) > 3600).cast("int"), F.lit(0))
-    return table(spark, sf, "events").withColumn("gap", gap).select("user_id", "event_id", F.sum("gap").over(w).alias("episode"))
+    """Users' events in seven streams, spread over tasks: gaps of an hour, and a cap on what an episode holds."""
+    rows = table(spark, sf, "events").selectExpr("user_id % 7 AS unit", "event_id AS pos", "ts", "repeat('wo ', length(event_type) * 9) AS text")
+    return segment.episodes(rows, "unit", "pos", at="ts", fold_turns=0).select("unit", "pos", "episode", "ended_by")
+
+
+_LETTERS = "aeiounrst"
+
+
+def _stream(spark, sf):
+    """All conversations in four long streams of turns, with counts of letters as their vectors."""
+    count = [f"cast(length(text) - length(replace(text, '{c}', '')) as double)" for c in _LETTERS]
+    return table(spark, sf, "conversations").selectExpr("conv_id % 4 AS unit", "conv_id * 100 + turn AS pos", "text", f"array({', '.join(count)}) AS vector")
+
+
+_ACKS = ", ".join(f"'{a}'" for a in turns.ACKNOWLEDGEMENTS)
+_TOPICS = f"""
+WITH RECURSIVE s AS (SELECT conv_id % 4 AS unit, conv_id * 100 + turn AS pos, text, {_TOKENS} AS tokens, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}'']+'), lambda w: w <> '') AS ws FROM conversations),
+a AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY pos) AS k, list_distinct(list_filter(ws, lambda w: length(w) >= 3)) AS content FROM s
+  WHERE len(ws) >= 4 AND NOT (len(ws) <= 8 AND (array_to_string(ws, ' ') IN ({_ACKS}) OR len(list_filter([{_ACKS}], lambda c: starts_with(array_to_string(ws, ' '), c || ' '))) > 0))),
+kf AS (SELECT unit, k, pos, content AS held, true AS key FROM a WHERE k = 1 UNION ALL
+  SELECT unit, k, pos, CASE WHEN again THEN held ELSE content END, NOT again FROM (SELECT a.unit, a.k, a.pos, a.content, kf.held, len(a.content) > 0 AND len(list_intersect(a.content, kf.held)) / len(a.content) >= 0.8 AS again FROM kf JOIN a ON a.unit = kf.unit AND a.k = kf.k + 1)),
+u AS (SELECT kf.unit, kf.pos, row_number() OVER (PARTITION BY kf.unit ORDER BY kf.pos) - 1 AS nth, [{', '.join(f"(length(text) - length(replace(text, '{c}', '')))::DOUBLE" for c in _LETTERS)}] AS v FROM kf JOIN s USING (unit, pos) WHERE key),
+n AS (SELECT unit, count(*) AS n_key FROM u GROUP BY unit HAVING count(*) >= 6),
+g AS (SELECT unit, nth AS gap, round(coalesce(list_cosine_similarity(v, lead(v) OVER (PARTITION BY unit ORDER BY nth)), 0), 9) AS sim, n_key FROM u JOIN n USING (unit) QUALIFY lead(nth) OVER (PARTITION BY unit ORDER BY nth) IS NOT NULL),
+e AS (SELECT unit, gap, n_key, CASE WHEN count(sim) OVER l = 2 AND count(sim) OVER r = 2 THEN round(avg(sim) OVER l + avg(sim) OVER r - 2 * sim, 6) END AS depth FROM g
+  WINDOW l AS (PARTITION BY unit ORDER BY gap ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY unit ORDER BY gap ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)),
+c AS (SELECT unit, gap FROM (SELECT unit, gap, n_key FROM e WHERE depth IS NOT NULL WINDOW w AS (PARTITION BY unit ORDER BY gap), v AS (PARTITION BY unit) QUALIFY depth > coalesce(lag(depth) OVER w, -1e9) AND depth > coalesce(lead(depth) OVER w, -1e9)
+  AND round(depth, 6) >= round(avg(depth) OVER v - 0.5 * stddev_pop(depth) OVER v, 6) AND max(depth) OVER v > min(depth) OVER v) WHERE gap >= 1 AND n_key - gap >= 3),
+o AS (SELECT u.unit, u.pos FROM c JOIN u ON u.unit = c.unit AND u.nth = c.gap + 1)
+"""
+
+
+@register("W6_spread_keys", _TOPICS.replace("s AS (SELECT conv_id", "s AS MATERIALIZED (SELECT conv_id", 1) + "SELECT s.unit, s.pos, coalesce(key, false) AS key FROM s LEFT JOIN kf ON kf.unit = s.unit AND kf.pos = s.pos")
+def spread_keys(spark, sf):
+    return turns.key_utterances(_stream(spark, sf), "unit", "pos", fold_turns=0).select("unit", "pos", "key")
+
+
+@register("W1_episodes_by_topic", _TOPICS + ", t AS (SELECT s.unit, s.pos, tokens, false AS gap, o.pos IS NOT NULL AS topic, row_number() OVER (PARTITION BY s.unit ORDER BY s.pos) AS k FROM s LEFT JOIN o ON o.unit = s.unit AND o.pos = s.pos)" + _FOLDED.format(cap=128))
+def by_topic(spark, sf):
+    """Key utterances, depths between them and boundaries give topics; topics and the cap give episodes."""
+    rows = _stream(spark, sf)
+    topics = turns.topic_starts(rows, "unit", "pos", fold_turns=0).withColumn("topic", F.lit(True))
+    flagged = rows.drop("vector").join(topics, ["unit", "pos"], "left")
+    return segment.episodes(flagged, "unit", "pos", token_cap=128, topic="topic", fold_turns=0).select("unit", "pos", "episode", "ended_by")
 
 
 @register("W2_windows", """

@@ -101,6 +101,20 @@ class ScriptedLlm:
         return next((reply for key, reply in self.replies.items() if key in prompt), self.default)
 
 
+class ReadingLlm:
+    """A deterministic stand-in that reflects on the JSON behind a prompt's first line: sufficient if a memory holds the
+    question, in conflict if the first two begin alike and differ; it would search next for how the first one ends."""
+
+    def complete(self, prompt: str, schema: dict | None = None) -> str:
+        import json
+
+        asked = json.loads(prompt.split("\n", 1)[1])
+        memories, question = asked["memories"], asked.get("question")
+        alike = len(memories) > 1 and memories[0][:20] == memories[1][:20] and memories[0] != memories[1]
+        enough = question is not None and any(question in m for m in memories)
+        return json.dumps({"sufficient": enough, "conflict": alike, "next_query": memories[0][-80:] if memories else None})
+
+
 class OverlapNli:
     """A deterministic stand-in: share of a hypothesis' words that the premise has."""
 
