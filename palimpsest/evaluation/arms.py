@@ -46,10 +46,11 @@ def width_points(rows: DataFrame, cell: list[str]) -> DataFrame:
 def width_verdict(points: DataFrame, base: Column) -> DataFrame:
     """``points`` with ``verdict``: ``degraded``, ``base``, ``better`` or ``keep``, against the cell that ``base`` marks.
 
-    Better is a cell that gains RECALL_MARGIN at under LATENCY_FACTOR times the median latency.
+    Better is a cell that gains RECALL_MARGIN at under LATENCY_FACTOR times the median latency; without a base all
+    others are kept.
     """
-    first = F.broadcast(points.filter(base).orderBy("p50_ms").limit(1).select(F.col("recall").alias("base_recall"), F.col("p50_ms").alias("base_ms")))  # one row
-    met = points.crossJoin(first)
+    first = F.broadcast(points.filter(base).agg(F.min_by(F.struct(F.col("recall").alias("base_recall"), F.col("p50_ms").alias("base_ms")), "p50_ms").alias("b")))  # one row, null without a base
+    met = points.crossJoin(first).select("*", "b.*").drop("b")
     gains = (F.round(F.col("recall") - F.col("base_recall"), 9) >= RECALL_MARGIN) & (F.col("p50_ms") < F.col("base_ms") * LATENCY_FACTOR)
     verdict = F.when(F.col("select_degraded") > MAX_DEGRADED, "degraded").when(base, "base").when(gains, "better").otherwise("keep")
     return met.withColumn("verdict", verdict).drop("base_recall", "base_ms")
@@ -71,9 +72,10 @@ def step_points(traces: DataFrame, cell: list[str]) -> DataFrame:
 def rescored(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``rows`` with ``judged`` and ``pending``: a verdict counts only for the very answer that was judged.
 
-    ``rows(question_id, answer, ...)``, ``verdicts(question_id, answer, correct)``, one for each pair.
+    ``rows(question_id, answer, ...)``, ``verdicts(question_id, answer, correct)``; of several for a pair all must hold.
     """
-    met = rows.join(verdicts.select("question_id", "answer", "correct"), ["question_id", "answer"], "left")
+    told = verdicts.groupBy("question_id", "answer").agg(F.every("correct").alias("correct"))
+    met = rows.join(told, ["question_id", "answer"], "left")
     return met.withColumn("judged", F.col("correct").cast("double")).withColumn("pending", F.col("correct").isNull()).drop("correct")
 
 

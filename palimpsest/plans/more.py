@@ -120,15 +120,6 @@ def best(spark, sf):
     return audit.best_artifact(table(spark, sf, "orders"), "o_custkey", order).select("o_custkey", "o_orderkey")
 
 
-@register("E27_grader_replies", """
-WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '```json {"label": "CORRECT"} ```' WHEN 1 THEN '{"label": "wrong"}' WHEN 2 THEN '{"score": 1.0}' WHEN 3 THEN '{"score": 0.5}' WHEN 4 THEN 'Yes, it is' ELSE 'no json' END AS reply FROM events)
-SELECT event_id, CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS by_label, CASE event_id % 6 WHEN 2 THEN 1 WHEN 0 THEN 0 WHEN 1 THEN 0 END AS by_score, contains(lower(reply), 'yes')::INT AS by_yes FROM r""")
-def replies(spark, sf):
-    reply = """CASE event_id % 6 WHEN 0 THEN '```json {"label": "CORRECT"} ```' WHEN 1 THEN '{"label": "wrong"}' WHEN 2 THEN '{"score": 1.0}' WHEN 3 THEN '{"score": 0.5}' WHEN 4 THEN 'Yes, it is' ELSE 'no json' END AS reply"""
-    rows = table(spark, sf, "events").selectExpr("event_id", reply)
-    return rows.select("event_id", *[audit.graded(F.col("reply"), k).alias(f"by_{k}") for k in ("label", "score", "yes")])
-
-
 @register("E23_reach", "WITH s AS (SELECT DISTINCT l_partkey AS unit FROM lineitem WHERE l_quantity > 25) SELECT l_orderkey AS question_id, count(*) AS n_gold, count(unit) AS n_stored, count(*) = count(unit) AS reached FROM lineitem LEFT JOIN s ON l_partkey = unit GROUP BY 1")
 def reach(spark, sf):
     items = table(spark, sf, "lineitem")

@@ -181,18 +181,3 @@ def stamps(spark, sf):
     stamp = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("["), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 300).cast("int")).cast("string"), F.lit("] "))).otherwise(F.lit(""))
     written = F.concat(stamp, F.col("text"))
     return table(spark, sf, "documents").select("doc_id", text.stamped_date(written).cast("string").alias("stamped"), text.strip_stamp(written).alias("body"))
-
-
-@register("C5_abstentions", "SELECT event_id, event_id % 4 < 2 AS declined FROM events")
-def abstentions(spark, sf):
-    said = F.expr("CASE event_id % 4 WHEN 0 THEN 'I don''t know, sorry' WHEN 1 THEN 'No information!' WHEN 2 THEN 'It was the 7th' ELSE 'I know' END")
-    return table(spark, sf, "events").select("event_id", text.is_abstention(said).alias("declined"))
-
-
-@register("K7_question_depth", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 18 WHEN 1 THEN 12 WHEN 2 THEN 18 ELSE 6 END AS k, CASE event_id % 4 WHEN 0 THEN 8192 WHEN 1 THEN 9000 WHEN 2 THEN 9000 ELSE 2048 END AS tokens FROM events")
-def question_depth(spark, sf):
-    from palimpsest.evaluation.audit import depth_for
-
-    asked = F.expr("CASE event_id % 4 WHEN 0 THEN 'How many books did I read?' WHEN 1 THEN 'What are Nate''s hobbies?' WHEN 2 THEN 'What are some totals in total?' ELSE 'Who is Ann?' END")
-    depth = depth_for(asked, 6, 2048, {"aggregation": (18, 8192), "enumeration": (12, 9000)})
-    return table(spark, sf, "events").select("event_id", depth["k"].alias("k"), depth["tokens"].alias("tokens"))

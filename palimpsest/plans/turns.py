@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import replies
-from palimpsest.operators import compose, ledger, lineage, predicates, segment, trajectories, turns
+from palimpsest.operators import compose, lineage, predicates, segment, trajectories, turns
 from palimpsest.plans.common import RECORDS_SQL, T0, records, register, table
-from palimpsest.plans.scalars import _NORM
 
 
 @register("P7_shown_heads", "SELECT doc_id, left(text, 8000) AS rerank, left(text, 400) AS selector, left(text, 2000) AS evidence, left(text, 1200) AS ask FROM documents")
@@ -69,53 +68,6 @@ def chronological(spark, sf):
     return compose.chronological(kept).select("query_id", "id", "place")
 
 
-_SAID = "CASE event_id % 5 WHEN 0 THEN 'I don''t know' WHEN 1 THEN 'The red car' WHEN 2 THEN 'a Red car!' WHEN 3 THEN 'red bike' ELSE 'blue' END"
-
-
-@register("C6_score_one", f"""
-WITH r AS (SELECT event_id, event_id % 3 = 0 AS adversarial, event_id % 5 = 0 AS declined, {_NORM.format(_SAID)} AS p, ['red', 'car'] AS g FROM events),
-s AS (SELECT event_id, adversarial, declined, len(list_filter(g, lambda w: list_contains(p, w))) * 2.0 / (len(p) + 2) AS f1, (p = g)::INT::DOUBLE AS same FROM r)
-SELECT event_id, round(CASE WHEN adversarial THEN declined::INT WHEN declined THEN 0 ELSE f1 END, 6) AS score, CASE WHEN adversarial THEN declined::INT::DOUBLE WHEN declined THEN 0 ELSE same END AS exact FROM s""")
-def score_one(spark, sf):
-    got = replies.score_one(F.expr(_SAID), F.lit("the red car"), F.col("event_id") % 3 == 0)
-    return table(spark, sf, "events").select("event_id", got.alias("s")).select("event_id", F.round("s.score", 6).alias("score"), F.col("s.exact").alias("exact"))
-
-
-_REPLY = """CASE event_id % 6 WHEN 0 THEN '{"answer": " Rome ", "evidence_absent": false, "mismatch": "none"}' WHEN 1 THEN '{"answer": "Rome", "evidence_absent": true, "mismatch": "detail unstated"}'
-WHEN 2 THEN '{"answer": "I don''t know", "evidence_absent": false, "mismatch": "none"}' WHEN 3 THEN '{"answer": "Rome", "evidence_absent": false, "mismatch": "other person"}' WHEN 4 THEN '{"answer": " ", "evidence_absent": false, "mismatch": "none"}' ELSE 'no json' END"""
-
-
-@register("C26_accepted", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN ' Rome ' WHEN 3 THEN 'Rome' END AS by_commit, CASE event_id % 6 WHEN 0 THEN 'Rome' WHEN 1 THEN 'Rome' END AS typed FROM events")
-def accepted(spark, sf):
-    return table(spark, sf, "events").select("event_id", replies.accepted_commit(F.expr(_REPLY)).alias("by_commit"), replies.accepted_typed(F.expr(_REPLY)).alias("typed"))
-
-
-@register("U7_adjudicated", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'asserted' ELSE 'quarantined' END AS tier FROM events")
-def adjudicated(spark, sf):
-    reply = F.expr("""CASE event_id % 3 WHEN 0 THEN '{"injection": false}' WHEN 1 THEN '{"injection": true}' ELSE 'sorry' END""")
-    return table(spark, sf, "events").select("event_id", replies.verdict_tier(reply, F.lit("asserted")).alias("tier"))
-
-
-@register("U8_valid_candidates", """
-SELECT event_id, 1 AS n, 'event ' || event_id AS text, 'a|user ' || user_id AS entities FROM events WHERE event_id % 4 <> 3""")
-def candidates(spark, sf):
-    reply = F.when(
-        F.col("event_id") % 4 != 3,
-        F.concat(F.lit('{"facts": [{"text": "  event '), F.col("event_id").cast("string"), F.lit(' ", "entities": ["user '), F.col("user_id").cast("string"), F.lit('", " a ", "", "a"]}, {"text": " ", "entities": []}]}')),
-    ).otherwise("not json")
-    rows = table(spark, sf, "events").select("event_id", replies.valid_candidates(reply).alias("c"))
-    return rows.select("event_id", F.size("c").alias("n"), F.explode("c").alias("f")).select("event_id", "n", "f.text", F.array_join("f.entities", "|").alias("entities"))
-
-
-@register("U5_outcome_counts", """
-SELECT user_id, count(*) FILTER (event_id % 5 = 0) AS "add", count(*) FILTER (event_id % 5 = 1) AS "update", count(*) FILTER (event_id % 5 = 2) AS "delete", count(*) FILTER (event_id % 5 = 3) AS noop,
-  count(*) FILTER (event_id % 5 = 4) AS duplicate, 0 AS quarantine, 0 AS rejected FROM events GROUP BY user_id""")
-def outcomes(spark, sf):
-    ops = F.array(*map(F.lit, ("add", "update", "delete", "noop", "duplicate")))
-    rows = table(spark, sf, "events").select("user_id", F.element_at(ops, (F.col("event_id") % 5 + 1).cast("int")).alias("op"))
-    return ledger.outcome_counts(rows, ["user_id"])
-
-
 @register("U10_event_records", f"SELECT doc_id, (make_timestamp(({T0} + doc_id % 20000 * 86400) * 1000000)::DATE - 1)::VARCHAR AS day, 'Ann met Bob [' || strftime(make_timestamp(({T0} + doc_id % 20000 * 86400) * 1000000)::DATE - 1, '%Y-%m-%d') || ' — \"yesterday\", said ' || strftime(make_timestamp(({T0} + doc_id % 20000 * 86400) * 1000000), '%Y-%m-%d') || ']' || chr(10) || 'also: B' AS text FROM documents")
 def event_records(spark, sf):
     said = F.to_date(F.timestamp_seconds(F.lit(T0) + F.col("doc_id") % 20000 * 86400))
@@ -123,17 +75,6 @@ def event_records(spark, sf):
     return table(spark, sf, "documents").select("doc_id", record.alias("r")).select("doc_id", F.col("r.t_valid").cast("string").alias("day"), "r.text")
 
 
-@register("C27_dialogue", """
-SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'negates the question' WHEN event_id % 3 = 1 THEN 'names Jon, whom the question does not' END AS why, CASE WHEN event_id % 3 = 2 THEN NULL ELSE 'Nat''s brother came' END AS swapped FROM events""")
-def dialogue(spark, sf):
-    memory = F.lit("[2024] Jon: hi\n[2024] Nat: hello: you")
-    statement = F.when(F.col("event_id") % 3 == 2, F.lit("A brother came")).otherwise(F.lit("Jon's brother came"))
-    asked = F.lit("Did Jonathan's brother come?")
-    speakers = replies.dialogue_speakers(F.array(memory, F.lit("no turn")))
-    denied = F.when(F.col("event_id") % 3 == 0, F.concat(statement, F.lit(", he didn't"))).otherwise(statement)
-    return table(spark, sf, "events").select("event_id", replies.disputes(denied, asked, speakers).alias("why"), replies.speaker_swap(statement, speakers).alias("swapped"))
-
-
 _BARE = "list_filter(list_transform(regexp_split_to_array({0}, '[^\\p{{L}}\\p{{N}}'']+'), lambda w: regexp_replace(regexp_replace(w, '^''+|''+$', '', 'g'), '''s$', '')), lambda w: w <> '')"
 
 
