@@ -49,6 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+#: Edges of the component search that make a partition worth its files.
+EDGES_OF_A_TASK = 50_000
+
 #: Ids that a broadcast may hold; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -144,15 +147,17 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     large-star and small-star steps, which need a logarithmic number of rounds whatever the diameter, and
     checkpoints the edges after each round. A star's centre may have any number of leaves: the minimum of
     a neighbourhood is a pre-aggregated group, and it meets the edges again in an equi-join, which adaptive
-    execution splits where one centre is hot. Returns ``node, component``.
+    execution splits where one centre is hot. Few edges stay in few partitions, so that a round over them does not
+    leave a file for every pair of tasks. Returns ``node, component``.
     """
     links = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = cut_lineage(links)
     state = _edge_state(links)
+    width = max(1, min(shuffle_width(nodes.sparkSession), state[0] // EDGES_OF_A_TASK + 1))  # edges never become more
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        links = cut_lineage(_small_star(_large_star(links)))
+        links = cut_lineage(_small_star(_large_star(links.coalesce(width), width), width).coalesce(width))
         before, state = state, _edge_state(links)
         if before == state:
             break
@@ -167,19 +172,19 @@ def _edge_state(links: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, width: int) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of its neighbourhood."""
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    return both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
+    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(width)
+    lowest = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")).coalesce(width)
+    return both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").coalesce(width).distinct().coalesce(width)
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, width: int) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = down.groupBy("u").agg(F.min("v").alias("low"))
+    lowest = down.groupBy("u").agg(F.min("v").alias("low")).coalesce(width)
     moved = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return moved.filter("u <> v").unionByName(lowest.select("u", F.col("low").alias("v"))).distinct()
+    return moved.filter("u <> v").unionByName(lowest.select("u", F.col("low").alias("v"))).coalesce(width).distinct()
 
 
 def concat_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
