@@ -17,6 +17,9 @@ from palimpsest.functions.replies import evidence_label, verdict_tier
 from palimpsest.functions.text import approx_tokens, phrases, preview
 from palimpsest.functions.trust import assess_trust
 from palimpsest.operators import channels, compose, ledger, lineage, pools, predicates, segment, trajectories
+from palimpsest.operators.checkpoints import cut_lineage
+from palimpsest.operators.investigate import Investigation, investigate
+from palimpsest.operators.ranks import spread_rank
 
 MAX_STUBS = 200
 
@@ -72,8 +75,8 @@ class Memory:
         if untrusted is not None:
             head = compose.untrusted_ceiling(head, untrusted)
         if quota is not None:
-            head = compose.kind_quota(head, *quota).drop("rank").withColumnRenamed("position", "rank")
-        kept = compose.within_budget(head.withColumn("tokens", approx_tokens(F.col("text"))), s["k"], s["tokens"])
+            head = compose.head_quota(head, *quota).drop("rank").withColumnRenamed("position", "rank")
+        kept = compose.head_budget(head.withColumn("tokens", approx_tokens(F.col("text"))), s["k"], s["tokens"])
         shown = kept.join(live.select("id", "text", "kind", "trust_tier", "t_valid"), "id")
         placed = compose.chronological(shown, rank="position").withColumnRenamed("place", "slot") if chronological else compose.bookend(shown)
         day = F.to_date(F.timestamp_seconds("t_valid"))
@@ -112,6 +115,7 @@ class Memory:
         fresh = ledger.new_only(incoming, self.records)
         tier = assess_trust(F.col("text"), F.lit(source_tier))["tier"]
         judged = fresh.withColumn("trust_tier", tier if judge is None else verdict_tier(judge(F.col("text")), tier)).select(*self.records.columns)
+        judged = cut_lineage(judged)  # the judge is asked once, and all tables hear the same
         incidence = self.incidence
         if incidence is not None:
             batch = judged.select(F.explode(phrases("text")).alias("phrase"), F.col("id").alias("record_id"), F.lit(1.0).alias("weight"))
@@ -168,14 +172,21 @@ class Memory:
         return replace(self, records=left["records"], links=left["links"], incidence=left.get("incidence"), events=self._logged(gone, "hard_delete"))
 
     def _logged(self, ids: DataFrame, kind: str) -> DataFrame:
-        start = self.events.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("start"))
-        rows = ids.withColumn("nth", F.monotonically_increasing_id() + 1).crossJoin(F.broadcast(start))  # one row
-        return self.events.unionByName(rows.select((F.col("start") + F.col("nth")).cast("long").alias("seq"), F.lit(self.now).cast("long").alias("at"), F.lit(kind).alias("kind"), F.col("id").alias("record_id")), allowMissingColumns=True)
+        """The events and one more for each id, numbered in the order of ids and written down."""
+        start = self.events.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        rows = spread_rank(ids.withColumn("_all", F.lit(0)), "_all", [F.col("id")], "nth")
+        fresh = cut_lineage(rows.select((F.lit(start) + F.col("nth")).cast("long").alias("seq"), F.lit(self.now).cast("long").alias("at"), F.lit(kind).alias("kind"), F.col("id").alias("record_id")))
+        return self.events.unionByName(fresh, allowMissingColumns=True)
 
     def trajectories(self, needle: str | None = None) -> DataFrame:
         """The list of trajectories, or the lines that hold the needle."""
         return trajectories.listing(self.headers) if needle is None else trajectories.grep(self.states, needle)
 
+    def investigate_all(self, questions: DataFrame, scope: Scope, model: Callable[[DataFrame, str, str], DataFrame], max_steps: int = 3, step_k: int = 6) -> Investigation:
+        """``questions(query_id, text)`` in supersteps: each step is one plan for all that are open (see investigate())."""
+        live = self.live(scope).select("id", "text")
+        return investigate(questions, live, lambda queries: channels.lexical(queries, live, step_k), model, max_steps, step_k)
+
     def investigate(self, question: str, scope: Scope, reflect: Callable[[str, list], tuple[bool, bool, str | None]], max_steps: int = 2) -> tuple[DataFrame, str]:
         """Probe, let ``reflect(question, ids)`` say (sufficient, conflict, next query), and go on until a rule stops.
 

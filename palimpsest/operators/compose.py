@@ -70,6 +70,54 @@ def within_budget(ranked: DataFrame, k: int = 6, max_tokens: int = 2048) -> Data
     return kept.join(totals.drop("kept"), "query_id").select("query_id", F.col("place.id").alias("id"), "tokens", "position", "total_tokens", "dropped_for_tokens", "k_bound")
 
 
+def head_quota(head: DataFrame, kind: str, reserved: int) -> DataFrame:
+    """kind_quota() of heads that a channel has cut to a bounded depth: one window a query, nothing is written down."""
+    nth = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("rank"))
+    late = ~((F.col("kind") == kind) & (F.col("_nth") <= reserved))
+    return head.withColumn("_nth", nth).withColumn("_late", F.coalesce(late, F.lit(True))).withColumn("position", F.row_number().over(_per_query().orderBy("_late", "rank"))).drop("_nth", "_late")
+
+
+def head_budget(head: DataFrame, k: int = 6, max_tokens: int = 2048) -> DataFrame:
+    """within_budget() of heads of a bounded depth: a fold over the rows of a query, which one row holds."""
+    rows = head.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", F.col("tokens").cast("long").alias("tokens")))).alias("rows"))
+    kind = dict(head.dtypes)["id"]
+    start = F.expr(f"named_struct('used', 0L, 'kept', cast(array() as array<struct<id:{kind},tokens:bigint>>), 'dropped', 0, 'bound', false)")
+
+    def step(acc, x):
+        full = F.size(acc["kept"]) >= k
+        fits = ~full & ((F.size(acc["kept"]) == 0) | (acc["used"] + x["tokens"] <= max_tokens))
+        taken = F.array_append(acc["kept"], F.struct(x["id"].alias("id"), x["tokens"].alias("tokens")))
+        return F.struct(
+            F.when(fits, acc["used"] + x["tokens"]).otherwise(acc["used"]).alias("used"), F.when(fits, taken).otherwise(acc["kept"]).alias("kept"),
+            (acc["dropped"] + (~full & ~fits).cast("int")).alias("dropped"), (acc["bound"] | full).alias("bound"),
+        )
+
+    done = rows.select("query_id", F.aggregate("rows", start, step).alias("d"))
+    return done.select("query_id", "d", F.posexplode("d.kept").alias("at", "row")).select(
+        "query_id", "row.id", "row.tokens", (F.col("at") + 1).alias("position"), F.col("d.used").alias("total_tokens"), F.col("d.dropped").alias("dropped_for_tokens"), F.col("d.bound").alias("k_bound")
+    )
+
+
+def composed(head: DataFrame, k: int = 6, max_tokens: int = 2048, untrusted: int | None = None, quota: tuple[str, int] | None = None, by_time: bool = False) -> DataFrame:
+    """``query_id, id, slot, tokens, total_tokens, dropped_for_tokens, k_bound, trust`` of ranked heads.
+
+    ``head(query_id, id, rank, text, tokens, kind, trust_tier, t_valid)`` is what the channels have cut. Of equal texts the
+    best ranked stays, then no more than ``untrusted`` rows that are not trusted, then ``quota`` (kind, number) go first; the
+    budget takes rows in that order, and what it takes stands by time or best first and last. ``trust`` is the set's weakest.
+    One lazy plan: nothing is written down and no job runs.
+    """
+    rows = distinct_texts(head.select("query_id", "rank", "text", "id", "tokens", "kind", "trust_tier", "t_valid"))
+    if untrusted is not None:
+        rows = untrusted_ceiling(rows, untrusted)
+    if quota is not None:
+        rows = head_quota(rows, *quota).drop("rank").withColumnRenamed("position", "rank")
+    kept = head_budget(rows, k, max_tokens)
+    shown = kept.join(rows.select("query_id", "id", "trust_tier", "t_valid"), ["query_id", "id"])
+    placed = chronological(shown, rank="position").withColumnRenamed("place", "slot") if by_time else bookend(shown)
+    trust = weakest_tier(shown).select("query_id", F.col("trust_tier").alias("trust"))
+    return placed.join(trust, "query_id").select("query_id", "id", F.col("slot").cast("int").alias("slot"), "tokens", "total_tokens", "dropped_for_tokens", "k_bound", "trust")
+
+
 def mmr(ranked: DataFrame, k: int = 6, trade: float = 0.7, max_tokens: int = 2048) -> DataFrame:
     """Maximal marginal relevance over ``query_id, id, rank, tokens, vector``; relevance is by rank.
 

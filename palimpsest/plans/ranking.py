@@ -80,21 +80,6 @@ def dense_scoped(spark, sf):
     return channels.dense(q, e, 5, scope=["label"]).withColumn("score", F.round("score", 6))
 
 
-@register("R6_hybrid_rrf", "WITH " + _DENSE + """,
-alt AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY (id * 7919 + query_id) % 1009, id) AS rank FROM den),
-u AS (SELECT query_id, id, rank FROM dr WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM alt WHERE rank <= 50),
-s AS (SELECT query_id, id, round(sum(1.0 / (1 + rank)), 9) AS score FROM u GROUP BY query_id, id),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
-SELECT query_id, id, score, rank FROM k WHERE rank <= 20""")
-def hybrid(spark, sf):
-    q, e = _vector_queries(spark, sf), _vectors(spark, sf)
-    first = channels.dense(q, e, 50).select("query_id", "id", "rank")
-    ids = e.select("id").filter("id >= 0").crossJoin(q.select("query_id"))  # all ids against the stated queries
-    order = Window.partitionBy("query_id").orderBy((F.col("id") * 7919 + F.col("query_id")) % 1009, "id")
-    second = ids.withColumn("rank", F.row_number().over(order)).filter("rank <= 50")
-    return channels.rrf(first.unionByName(second), 1.0, 20)
-
-
 @register("R7_rerank_abstain", "WITH " + _DENSE + """,
 h AS (SELECT query_id, id, round(((id * 31 + query_id * 17) % 101) / 100.0, 9) AS score FROM dr WHERE rank <= 6),
 b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM h)
@@ -105,9 +90,10 @@ def rerank(spark, sf):
 
 
 def _ranked(spark, sf):
-    """All documents of a source as one query's ranked rows."""
+    """All documents of a source as one query's ranked rows; only ids are numbered, so no text is written down."""
     docs = table(spark, sf, "documents").selectExpr("source AS query_id", "doc_id AS id", "lang", "text", "CASE WHEN doc_id % 3 = 0 THEN 'untrusted' ELSE 'asserted' END AS trust_tier", "CASE WHEN doc_id % 4 = 0 THEN 'profile' ELSE 'episodic' END AS kind")
-    return spread_rank(docs.withColumn("tokens", approx_tokens(F.col("text"))), "query_id", [F.col("id")])
+    ranks = spread_rank(docs.select("query_id", "id"), "query_id", [F.col("id")])
+    return docs.join(ranks, ["query_id", "id"]).withColumn("tokens", approx_tokens(F.col("text")))
 
 
 _RANKED = """

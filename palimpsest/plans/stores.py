@@ -49,17 +49,17 @@ def minted_lineage(spark, sf):
 def _stores(spark, sf):
     orders, items = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     ledger = orders.filter("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS id", "o_orderstatus <> 'P' AS live", "o_totalprice AS price", "o_orderpriority AS kind")
-    index = orders.filter("o_custkey % 4 <> 0").selectExpr("o_orderkey AS id", "CASE WHEN o_shippriority = 0 AND o_custkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price", "o_orderpriority AS kind")
-    links = items.selectExpr("l_orderkey AS src", "l_partkey AS dst", "l_shipmode AS relation")
+    index = orders.filter("o_custkey % 4 <> 0").selectExpr("o_orderkey AS id", "CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price", "o_orderpriority AS kind")
+    links = items.selectExpr("l_orderkey AS src", "l_partkey AS dst", "l_returnflag AS relation")
     incidence = items.selectExpr("l_suppkey AS phrase", "l_orderkey AS record_id", "l_quantity AS weight")
     return ledger, index, links, incidence, ["price", "kind"]
 
 
-_LEDGER = "led AS (SELECT o_orderkey AS id, o_orderstatus <> 'P' AS live, o_totalprice AS price, o_orderpriority AS kind FROM orders WHERE o_orderkey % 3 <> 0), idx AS (SELECT o_orderkey AS id, CASE WHEN o_shippriority = 0 AND o_custkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price, o_orderpriority AS kind FROM orders WHERE o_custkey % 4 <> 0)"
+_LEDGER = "led AS (SELECT o_orderkey AS id, o_orderstatus <> 'P' AS live, o_totalprice AS price, o_orderpriority AS kind FROM orders WHERE o_orderkey % 3 <> 0), idx AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price, o_orderpriority AS kind FROM orders WHERE o_custkey % 4 <> 0)"
 
 
 @register("U13_report", f"""WITH {_LEDGER}, d AS (SELECT CASE WHEN led.id IS NULL THEN 'orphan' WHEN idx.id IS NULL AND live THEN 'missing' WHEN idx.id IS NOT NULL AND NOT live THEN 'stale' WHEN idx.id IS NOT NULL AND (led.price IS DISTINCT FROM idx.price OR led.kind IS DISTINCT FROM idx.kind) THEN 'drifted' END AS kind FROM led FULL JOIN idx ON led.id = idx.id),
-k AS (SELECT DISTINCT l_orderkey, l_partkey, l_shipmode FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM led) OR l_partkey NOT IN (SELECT id FROM led))
+k AS (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM led) OR l_partkey NOT IN (SELECT id FROM led))
 SELECT kind, count(*) AS n FROM d WHERE kind IS NOT NULL GROUP BY kind UNION ALL SELECT 'dangling_link', count(*) FROM k HAVING count(*) > 0 UNION ALL SELECT 'orphan_incidence', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM led) HAVING count(*) > 0""")
 def drift_report(spark, sf):
     return repairs.report(*_stores(spark, sf))

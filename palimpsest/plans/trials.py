@@ -8,10 +8,11 @@ from palimpsest.evaluation.ablation import ARMS, ablation, arm_quality
 from palimpsest.evaluation.attacks import attack_success, planted_scores
 from palimpsest.evaluation.metrics import retrieval_quality
 from palimpsest.evaluation.resampling import paired_bootstrap
+from palimpsest.functions.text import approx_tokens
 from palimpsest.functions.trust import assess_trust
-from palimpsest.operators import channels, inverted
+from palimpsest.operators import channels, compose, inverted
 from palimpsest.operators.containment import contained
-from palimpsest.plans.common import register, table
+from palimpsest.plans.common import RECORDS_SQL, records, register, table
 from palimpsest.plans.ranking import _BM25_CTE, _LIVE, _live, _questions, _vector_queries, _vectors
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -41,11 +42,12 @@ def _ranked(spark, sf):
     return ablation(lists, ARMS, rescored=heads.select("query_id", "id", F.round(1 / (1 + apart), 9).alias("rescore")))
 
 
-_ARMS_SQL = _LIVE + _BM25_CTE + f""",
+_FUSED_SQL = f""",
 dv AS (SELECT id, [{_COUNTS}] AS v FROM r), qv AS (SELECT item_id AS query_id, [{_COUNTS}] AS v FROM benchmark),
-den AS (SELECT query_id, id, round(coalesce(list_cosine_similarity(qv.v, dv.v), 0), 9) AS score FROM dv, qv),
+den AS (SELECT query_id, id, CASE WHEN isnan(c) THEN 0 ELSE round(c, 9) END AS score FROM (SELECT query_id, id, list_cosine_similarity(qv.v, dv.v) AS c FROM dv, qv)),
 dr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM den),
-l AS (SELECT 'dense' AS channel, query_id, id, rank FROM dr WHERE rank <= 50 UNION ALL SELECT 'lexical', query_id, id, rank FROM lr WHERE rank <= 50),
+l AS (SELECT 'dense' AS channel, query_id, id, rank FROM dr WHERE rank <= 50 UNION ALL SELECT 'lexical', query_id, id, rank FROM lr WHERE rank <= 50)"""
+_ARMS_SQL = _LIVE + _BM25_CTE + _FUSED_SQL + """,
 a AS (SELECT * FROM (VALUES ('dense_only', 'dense', 60.0, false), ('bm25_only', 'lexical', 60.0, false), ('hybrid_k60', 'dense', 60.0, false), ('hybrid_k60', 'lexical', 60.0, false), ('hybrid_k1', 'dense', 1.0, false), ('hybrid_k1', 'lexical', 1.0, false),
   ('hybrid_rerank', 'dense', 60.0, true), ('hybrid_rerank', 'lexical', 60.0, true), ('graph_k1', 'dense', 1.0, false), ('graph_k1', 'lexical', 1.0, false), ('graph_rerank', 'dense', 60.0, true), ('graph_rerank', 'lexical', 60.0, true)) AS t(arm, channel, k, again)),
 u AS (SELECT arm, again, query_id, id, round(sum(1.0::DOUBLE / (k::DOUBLE + rank)), 9) AS score FROM l JOIN a USING (channel) GROUP BY ALL),
@@ -64,6 +66,33 @@ def arms(spark, sf):
     return told.select("arm", "questions", *[F.round(c, 6).alias(c) for c in ("recall", "any_hit", "mrr")])
 
 
+@register("R6_hybrid_rrf", _LIVE + _BM25_CTE + _FUSED_SQL + """
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(sum(1.0::DOUBLE / (1 + rank)), 9) AS score FROM l GROUP BY ALL)) WHERE rank <= 20""")
+def hybrid(spark, sf):
+    """BM25 and cosine of each benchmark item, fused."""
+    return channels.rrf(_lists(spark, sf).drop("channel"), 1.0, 20)
+
+
+@register("R12_composed", "WITH RECURSIVE " + (_LIVE + _BM25_CTE + _FUSED_SQL)[len("WITH "):] + f""",
+x AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(sum(1.0::DOUBLE / (1 + rank)), 9) AS score FROM l GROUP BY ALL) QUALIFY rank <= 50),
+m AS (SELECT query_id, x.id, rank, z.text, z.kind, z.trust_tier, z.t_valid, greatest(length(z.text) // 4, len(list_filter(regexp_split_to_array(z.text, '\\s+'), lambda w: w <> ''))) AS tokens FROM x JOIN ({RECORDS_SQL}) z USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, z.text ORDER BY rank) = 1),
+c AS (SELECT *, sum((trust_tier = 'untrusted')::INT) OVER (PARTITION BY query_id ORDER BY rank) AS nu FROM m), e AS (SELECT * FROM c WHERE trust_tier <> 'untrusted' OR nu <= 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT (kind = 'profile' AND nk <= 1), rank) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY rank) AS nk FROM e)),
+f AS (SELECT query_id, 0::BIGINT AS pos, 0::BIGINT AS used, 0 AS kept, NULL::BIGINT AS id, 0 AS lost, false AS bound FROM (SELECT DISTINCT query_id FROM k)
+  UNION ALL SELECT k.query_id, k.pos, CASE WHEN f.kept < 6 AND (f.kept = 0 OR f.used + k.tokens <= 1024) THEN f.used + k.tokens ELSE f.used END, CASE WHEN f.kept < 6 AND (f.kept = 0 OR f.used + k.tokens <= 1024) THEN f.kept + 1 ELSE f.kept END,
+    CASE WHEN f.kept < 6 AND (f.kept = 0 OR f.used + k.tokens <= 1024) THEN k.id END, f.lost + (f.kept < 6 AND f.kept > 0 AND f.used + k.tokens > 1024)::INT, f.bound OR f.kept >= 6 FROM f JOIN k ON k.query_id = f.query_id AND k.pos = f.pos + 1),
+g AS (SELECT f.query_id, f.id, f.kept AS position, k.tokens, k.trust_tier FROM f JOIN k ON k.query_id = f.query_id AND k.pos = f.pos WHERE f.id IS NOT NULL),
+o AS (SELECT query_id, max(used) AS total_tokens, max(lost) AS lost, bool_or(bound) AS bound FROM f GROUP BY query_id)
+SELECT g.query_id, g.id, (CASE WHEN position % 2 = 1 THEN (position + 1) / 2 ELSE count(*) OVER w + 1 - position / 2 END)::INT AS slot, tokens, total_tokens, lost AS dropped_for_tokens, bound AS k_bound,
+  CASE WHEN bool_or(trust_tier = 'untrusted') OVER w THEN 'untrusted' WHEN bool_or(trust_tier = 'asserted') OVER w THEN 'asserted' ELSE 'verified' END AS trust FROM g JOIN o USING (query_id) WINDOW w AS (PARTITION BY g.query_id)""")
+def whole_set(spark, sf):
+    """The main read as a whole: two channels fused, equal texts once, ceiling, quota, budget, order and trust."""
+    head = channels.rrf(_lists(spark, sf).drop("channel"), 1.0, 50)
+    known = records(spark, sf, "id", "text", "kind", "trust_tier", "t_valid")
+    rows = head.join(known, "id").withColumn("tokens", approx_tokens(F.col("text")))
+    return compose.composed(rows, 6, 1024, untrusted=2, quota=("profile", 1))
+
+
 @register("E1_bootstrap")
 def bootstrap(spark, sf):
     """The fused arm against the dense one by reciprocal rank of each item: drawn, so held to the closed form in the tests."""

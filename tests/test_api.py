@@ -130,3 +130,17 @@ def test_relative_phrases(spark):
     rows = spark.createDataFrame([("see you tomorrow", anchor), (None, anchor), ("today", None)], "t string, d date")
     assert [[p.phrase for p in r.x] for r in rows.select(relative_phrases("t", "d").alias("x")).collect()] == [["tomorrow"], [], []]
     assert spark.createDataFrame([("three weeks",), ("July 2023",), ("x",)], "t string").select(parsed_time("t").alias("p")).select(F.col("p.kind"), F.col("p.days")).collect() == [("duration", 21), ("range", None), (None, None)]
+
+
+def test_investigate_all(spark):
+    from palimpsest.sources.connectors import ReadingLlm, complete_column
+
+    rows = [(k, "t", "n", "a", None, "semantic", text, 0, None, None, 0, "asserted", "s:1") for k, text in enumerate(["the red boat sank", "the blue boat left the bay", "a bay of whales"])]
+    schema = "id int, tenant string, namespace string, agent string, session string, kind string, text string, t_valid long, t_invalid long, t_expired long, t_ingested long, trust_tier string, prov_source string"
+    links = spark.createDataFrame([], "src int, dst int, relation string")
+    events = spark.createDataFrame([], "seq long, at long, kind string, record_id int")
+    memory = Memory(spark.createDataFrame(rows, schema), links, events, now=10)
+    questions = spark.createDataFrame([(1, "red boat sank"), (2, "boat"), (3, "zebra")], "query_id int, text string")
+    found = memory.investigate_all(questions, Scope("t"), lambda r, p, out: complete_column(r, ReadingLlm(), p, out))
+    assert {r.query_id: r.stopped_because for r in found.trace.collect()} == {1: "sufficient", 2: "sufficient", 3: "no new query"}
+    assert {r.id for r in found.pool.filter("query_id = 2").collect()} == {0, 1}

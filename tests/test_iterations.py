@@ -12,7 +12,7 @@ from palimpsest.evaluation.ablation import Arm, ablation
 from palimpsest.evaluation.attacks import attack_success
 from palimpsest.evaluation.resampling import paired_bootstrap
 from palimpsest.evaluation.sweep import recall_sweep
-from palimpsest.operators import channels, inverted, segment, turns
+from palimpsest.operators import channels, compose, inverted, segment, turns
 from palimpsest.operators.applying import apply_in_order
 from palimpsest.operators.containment import contained, folded, seed_of, window_hashes
 from palimpsest.operators.investigate import HEDGE, STATEMENT, answerability_gate, digested, insufficiency_gate, investigate, premise_checked
@@ -326,3 +326,25 @@ def test_ablation(spark):
                 order.sort(key=lambda i: (i % 2, -(i % 7) if i % 2 == 0 else 0, i))
             assert got[arm.name, q] == order[:8], (arm.name, q)
     assert not any(a == "absent" for a, _ in got)
+
+
+def test_folds_of_heads_agree_with_passes(spark):
+    rng = random.Random(9)
+    rows = [(q, rng.randrange(10**6), r, rng.choice([0, 5, 60, 300, 900, 2000]), rng.choice(["profile", "event", None])) for q in range(30) for r in range(1, rng.randint(2, 40))]
+    head = spark.createDataFrame(rows, "query_id int, id int, rank int, tokens int, kind string")
+    columns = ["query_id", "id", "tokens", "position", "total_tokens", "dropped_for_tokens", "k_bound"]
+    plain = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    for k, most in ((6, 1000), (1, 10), (50, 10**9)):
+        assert plain(compose.head_budget(head, k, most)) == plain(compose.within_budget(head, k, most))
+    places = lambda df: {(r.query_id, r["rank"]): r.position for r in df.collect()}
+    assert places(compose.head_quota(head, "profile", 2)) == places(compose.kind_quota(head, "profile", 2))
+    assert compose.head_budget(head.limit(0)).count() == 0
+
+
+def test_composed(spark):
+    rows = [(1, 10, 1, "a", 100, "event", "untrusted", 5), (1, 11, 2, "a", 100, "event", "asserted", 4), (1, 12, 3, "b", 100, "event", "untrusted", 3), (1, 13, 4, "c", 900, "event", "asserted", 2), (1, 14, 5, "d", 50, "profile", "verified", 1)]
+    head = spark.createDataFrame(rows, "query_id int, id int, rank int, text string, tokens int, kind string, trust_tier string, t_valid int")
+    got = {r.id: (r.slot, r.total_tokens, r.dropped_for_tokens, r.k_bound, r.trust) for r in compose.composed(head, 3, 500, untrusted=1, quota=("profile", 1)).collect()}
+    assert got == {14: (1, 150, 1, False, "untrusted"), 10: (2, 150, 1, False, "untrusted")}
+    assert [r.id for r in compose.composed(head, 4, 5000, by_time=True).orderBy("slot").collect()] == [14, 13, 12, 10]
+    assert compose.composed(head.limit(0)).count() == 0
