@@ -23,9 +23,9 @@ def any_cue(text: Column, cues: tuple[str, ...]) -> Column:
 
 
 def indication_redirect(text: Column) -> Column:
-    """``refer … to …`` within sixty characters, or a standing recommendation."""
+    """``refer … to …`` within sixty bytes of UTF-8, each read as a character, or a standing recommendation."""
     low = F.lower(text)
-    return low.rlike(r"(?s)refer (?:(?! to ).){0,60} to .") | any_cue(low, ("always recommend", "always suggest"))
+    return F.decode(F.encode(low, "UTF-8"), "ISO-8859-1").rlike(r"(?s)refer (?:(?! to ).){0,60} to .") | any_cue(low, ("always recommend", "always suggest"))
 
 
 def looks_like_pii(text: Column) -> Column:
