@@ -30,7 +30,7 @@ MAX_COMMON = 300_000
 PAIR_LIMIT = 8
 BLOCK = 512
 #: Bits of the sketch that tells most unlike sets apart; a power of two. Sets of up to SMALL_SET shingles travel
-#: whole beside it.
+#: whole beside it, larger ones, which fill it, with a bitmap of their own size.
 BITS = 2048
 SMALL_SET = 256
 #: Bytes of one numpy step, and rows that travel to Python at once: a row may hold two whole sets.
@@ -135,13 +135,14 @@ def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, bits, body``: how many distinct shingles a text has, their bitmap, and themselves if they are few."""
+    """``doc_id, n, bits, body``: how many distinct shingles a text has, their bitmap, and themselves if they are few,
+    else a bitmap as fine as their number asks for."""
 
     def run(batches):
         for ids, part in text_slices(batches, STEP_BYTES):
             sets = shingle_sets(part, width)
-            few = [s.tobytes() if len(s) <= SMALL_SET else None for s in sets]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s, BITS).tobytes() for s in sets], pa.binary()), pa.array(few, pa.binary())], names=["doc_id", "n", "bits", "body"])
+            body = [s.tobytes() if len(s) <= SMALL_SET else fine_sketch(s) for s in sets]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s, BITS).tobytes() for s in sets], pa.binary()), pa.array(body, pa.binary())], names=["doc_id", "n", "bits", "body"])
 
     return texts.mapInArrow(run, "doc_id long, n int, bits binary, body binary")
 
@@ -264,7 +265,7 @@ def _across(rows: DataFrame, sketches: DataFrame, least: float, block: int) -> D
 
     The texts of a key are dealt into blocks, and every two blocks meet in one group of bounded size. Pairs that
     sizes and bitmaps do not tell apart are verified there if both sets are small, and only those that join two
-    components are returned; others are returned as not sure.
+    components are returned; of others the fine bitmaps are compared, and what they leave is returned as not sure.
     """
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -275,7 +276,9 @@ def _across(rows: DataFrame, sketches: DataFrame, least: float, block: int) -> D
         mine, ids, roots, n = (table.column(c).to_numpy() for c in ("mine", "id", "component", "n"))
         roots = roots.copy()
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-        bodies = [None if b is None else np.frombuffer(b, np.uint64) for b in table.column("body").to_pylist()]
+        bodies = table.column("body").to_pylist()
+        whole = [np.frombuffer(b, np.uint64) if m <= SMALL_SET else None for b, m in zip(bodies, n.tolist(), strict=True)]
+        fine = lambda k: bodies[k] if whole[k] is None else fine_sketch(whole[k])
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.nonzero(mine == i)[0], np.nonzero(mine == j)[0]
         sizes, there = n[right], bits[right]
@@ -285,8 +288,8 @@ def _across(rows: DataFrame, sketches: DataFrame, least: float, block: int) -> D
             for other in right[(roots[right] != roots[k]) & (apart <= bound * (sizes + n[k]) + 1e-6)]:
                 if roots[other] == roots[k]:
                     continue
-                sure = bodies[k] is not None and bodies[other] is not None
-                if sure and not is_similar(bodies[k], bodies[other], least):
+                sure = whole[k] is not None and whole[other] is not None
+                if not (is_similar(whole[k], whole[other], least) if sure else may_be_similar(fine(k), fine(other), bound)):
                     continue
                 found.append((min(ids[k], ids[other]), max(ids[k], ids[other]), sure))
                 if sure:
