@@ -68,6 +68,11 @@ def spread_keys(spark, sf):
     return turns.key_utterances(_stream(spark, sf), "unit", "pos", fold_turns=0).select("unit", "pos", "key")
 
 
+@register("W6_key_utterances", _TOPICS.replace("conv_id % 4 AS unit, conv_id * 100 + turn AS pos", "conv_id AS unit, turn AS pos", 1) + "SELECT s.unit AS conv_id, s.pos AS turn, coalesce(key, false) AS key FROM s LEFT JOIN kf ON kf.unit = s.unit AND kf.pos = s.pos")
+def key_utterances(spark, sf):
+    return turns.key_utterances(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "turn", "key")
+
+
 @register("W1_episodes_by_topic", _TOPICS + ", t AS (SELECT s.unit, s.pos, tokens, false AS gap, o.pos IS NOT NULL AS topic, row_number() OVER (PARTITION BY s.unit ORDER BY s.pos) AS k FROM s LEFT JOIN o ON o.unit = s.unit AND o.pos = s.pos)" + _FOLDED.format(cap=128))
 def by_topic(spark, sf):
     """Key utterances, depths between them and boundaries give topics; topics and the cap give episodes."""
@@ -107,7 +112,11 @@ def depths(spark, sf):
     return segment.depths(_similar(spark, sf), "label", "vec_id").select("label", "vec_id", F.round("depth", 4).alias("depth"))
 
 
-@register("W4_boundary_candidates")
+@register("W4_boundary_candidates", f"""WITH {_SIM},
+d AS (SELECT label, vec_id, CASE WHEN count(similarity) OVER l = 2 AND count(similarity) OVER r = 2 THEN round(avg(similarity) OVER l + avg(similarity) OVER r - 2 * similarity, 6) END AS depth FROM s
+  WINDOW l AS (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING))
+SELECT label, vec_id, depth FROM d WHERE depth IS NOT NULL WINDOW w AS (PARTITION BY label ORDER BY vec_id), v AS (PARTITION BY label)
+QUALIFY depth > coalesce(lag(depth) OVER w, -1e9) AND depth > coalesce(lead(depth) OVER w, -1e9) AND round(depth, 6) >= round(avg(depth) OVER v - 0.5 * stddev_pop(depth) OVER v, 6)""")
 def boundaries(spark, sf):
     return segment.boundary_candidates(segment.depths(_similar(spark, sf), "label", "vec_id"), "label", "vec_id").select("label", "vec_id", "depth")
 

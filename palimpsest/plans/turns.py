@@ -88,11 +88,6 @@ def grounding(spark, sf):
     return rows.select("conv_id", "turn", replies.grounding(F.col("gist"), F.col("text")).alias("g")).select("conv_id", "turn", "g.matched", "g.total")
 
 
-@register("W6_key_utterances")
-def key_utterances(spark, sf):
-    return turns.key_utterances(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "turn", "key")
-
-
 @register("W4_spaced_boundaries")
 def spaced(spark, sf):
     depths = segment.depths(segment.adjacent_similarity(table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding").alias("vector")), "label", "vec_id").drop("vector"), "label", "vec_id")
