@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import compose
+from palimpsest.functions.vectors import dot, norm
+from palimpsest.operators import channels, compose, nearest
 from palimpsest.operators.ranks import spread_rank
 from palimpsest.sources import bundles
 
@@ -54,3 +55,26 @@ def test_an_export_holds_one_namespace(spark):
     assert {name: [r[0] for r in found[name].collect()] for name in found} == {"records": ["r1"], "quarantine": ["q1"], "trajectories": ["a"], "states": ["a"], "acl_ua": ["x"]}
     with pytest.raises(ValueError):
         bundles.namespace_tables({"records": tables["records"], "other": make([(1,)], "x int")}, "t", "n")
+
+
+@pytest.mark.parametrize("scope", [[], ["label"]])
+def test_dense_scans_records_once_a_block_and_joins_no_pairs(spark, monkeypatch, scope):
+    rng = random.Random(9)
+    odd = [None, [], [0.0] * 8, [None] + [1.0] * 7, [1.0] * 5, [float("nan")] + [1.0] * 7, [float("inf")] + [1.0] * 7]
+    vectors = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(300)] + odd * 2
+    vectors += [vectors[k % 3] for k in range(60)]
+    rows = [(k, v, rng.choice(["a", "a", "b", None])) for k, v in enumerate(vectors)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "id long, vector array<float>, label string").repartition(3)
+    queries = frame.filter("id % 4 = 0 OR id BETWEEN 300 AND 313").withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(channels, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(nearest, "SLAB", 32)
+    pairs = queries.join(frame.withColumnRenamed("vector", "other"), scope) if scope else queries.crossJoin(frame.withColumnRenamed("vector", "other"))
+    scale = norm(F.col("vector")) * norm(F.col("other"))
+    score = F.round(F.when(scale > 0, dot(F.col("vector"), F.col("other")) / scale).otherwise(F.lit(0.0)), channels.DIGITS)
+    want = channels.top_ranked(pairs.select("query_id", "id", score.alias("score")), 6)
+    found = channels.dense(queries, frame, 6, scope)
+    same = lambda rows: sorted((r.query_id, r.rank, r.id, repr(r.score)) for r in rows)
+    assert same(found.collect()) == same(want.collect())
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert channels.dense(queries.limit(0), frame, 6, scope).count() == 0 == channels.dense(queries, frame.limit(0), 6, scope).count()
