@@ -81,10 +81,14 @@ def auroc(rows: DataFrame, score: str, label: str, key: list[str] | None = None)
     return total.select(*key, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).alias("auroc"))
 
 
-def retrieval_quality(ranked: DataFrame, gold: DataFrame, k: int = 6) -> DataFrame:
-    """Per query: recall, any and reciprocal rank at ``k``; queries without a hit count as zero."""
+def retrieval_quality(ranked: DataFrame, gold: DataFrame, k: int = 6, size: DataFrame | None = None) -> DataFrame:
+    """Per query: recall, any and reciprocal rank at ``k``; queries without a hit count as zero.
+
+    Where ``size(query_id, n_gold)`` is given, ``gold(query_id, id)`` need hold no more than what is ranked.
+    """
     hits = ranked.filter(F.col("rank") <= k).join(gold, ["query_id", "id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first"))
-    size = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
+    if size is None:
+        size = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
     joined = size.join(hits, "query_id", "left")
     found = F.coalesce("hits", F.lit(0))
     return joined.select("query_id", (found / F.col("n_gold")).alias("recall"), (found > 0).cast("int").alias("any_hit"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.evaluation.metrics import retrieval_quality
 from palimpsest.functions.vectors import dot, norm
 from palimpsest.operators import channels, compose, nearest
 from palimpsest.operators.ranks import spread_rank
@@ -78,3 +79,13 @@ def test_dense_scans_records_once_a_block_and_joins_no_pairs(spark, monkeypatch,
     assert same(found.collect()) == same(want.collect())
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert channels.dense(queries.limit(0), frame, 6, scope).count() == 0 == channels.dense(queries, frame.limit(0), 6, scope).count()
+
+
+def test_gold_need_hold_no_more_than_what_is_ranked(spark):
+    rng = random.Random(4)
+    gold = [(q, k) for q in range(8) for k in range(rng.choice([1, 3, 40]))]
+    ranked = [(q, k, n) for q in range(7) for n, k in enumerate(rng.sample(range(60), 9), 1)]
+    whole, head = spark.createDataFrame(gold, "query_id int, id int"), spark.createDataFrame(ranked, "query_id int, id int, rank int")
+    size = whole.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
+    told = whole.join(head.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    assert sorted(retrieval_quality(head, told, 6, size).collect()) == sorted(retrieval_quality(head, whole, 6).collect())
