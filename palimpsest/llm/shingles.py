@@ -263,12 +263,19 @@ def _across(rows: DataFrame, sketches: DataFrame, least: float, block: int) -> D
     """``a, b, sure`` that connect the similar texts with one key and two components, of ``rows(key, id, size,
     component)``.
 
-    The texts of a key are dealt into blocks, and every two blocks meet in one group of bounded size. Pairs that
+    The texts of a key are dealt into blocks, those of its largest component apart from the others, and every two
+    blocks meet in one group of bounded size, but for two of the largest component: there is nothing to connect.
+    So the work is the texts of a key times those outside its largest component. Pairs of two components that
     sizes and bitmaps do not tell apart are verified there if both sets are small, and only those that join two
     components are returned; of others the fine bitmaps are compared, and what they leave is returned as not sure.
     """
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("inside"), (F.sum("n") - F.max("n")).alias("outside"))
+    inner, outer = (F.ceil(F.col(c) / F.lit(block)).cast("int") for c in ("inside", "outside"))
+    within = F.col("component") == F.col("largest")
+    mine = F.when(within, F.pmod(F.xxhash64("id"), inner)).otherwise(inner + F.pmod(F.xxhash64("id"), F.greatest(outer, F.lit(1)))).cast("int")
+    other = F.sequence(F.when(within, inner).otherwise(F.lit(0)), inner + outer - 1)
+    dealt = rows.join(small(most.filter("outside > 0")), "key").withColumn("mine", mine).withColumn("other", F.explode(other))
     cells = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component")
     bound = (1 - least) / (1 + least)
 
@@ -284,8 +291,9 @@ def _across(rows: DataFrame, sketches: DataFrame, least: float, block: int) -> D
         sizes, there = n[right], bits[right]
         found: list[tuple[int, int, bool]] = []
         for k in left:
-            apart = np.bitwise_count(there ^ bits[k]).sum(axis=1, dtype=np.int64)
-            for other in right[(roots[right] != roots[k]) & (apart <= bound * (sizes + n[k]) + 1e-6)]:
+            across = np.nonzero(roots[right] != roots[k])[0]
+            apart = np.bitwise_count(there[across] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            for other in right[across[apart <= bound * (sizes[across] + n[k]) + 1e-6]]:
                 if roots[other] == roots[k]:
                     continue
                 sure = whole[k] is not None and whole[other] is not None

@@ -8,7 +8,7 @@ import xxhash
 
 from palimpsest.llm.common import connected_components
 from palimpsest.llm.exactdedup import exact_duplicates, keep_last_copies
-from palimpsest.llm.shingles import keep_one_of_each, prefix, shingle_sets, similar_pairs
+from palimpsest.llm.shingles import SMALL_SET, _across, _sketches, keep_one_of_each, prefix, shingle_sets, similar_pairs
 from palimpsest.llm.simhash import decode, fingerprint, near_duplicates, near_pairs, nearby_codewords, shingle_hashes
 from palimpsest.llm.substrdedup import repeated_windows
 from palimpsest.llm.suffixdedup import repeated_substrings
@@ -255,3 +255,21 @@ def test_shingles_do_not_depend_on_the_slice(monkeypatch):
     monkeypatch.setattr(shingles, "STEP_BYTES", 64)
     small = shingle_sets([t.encode() for t in texts], 5)
     assert all(np.array_equal(a, b) and np.array_equal(a, c) for a, b, c in zip(whole, alone, small, strict=True))
+
+
+def test_texts_of_the_largest_component_are_not_dealt_against_one_another(spark, monkeypatch):
+    """Work of a large group is its size times what lies outside its largest component; no link across is lost."""
+    base = [f"w{k}" for k in range(60)]
+    texts = {k: " ".join([*base, *(f"a{k}" for _ in range(2))]) for k in range(60)}  # one component
+    texts |= {100 + k: " ".join([*base, *(f"b{k}x{j}" for j in range(3))]) for k in range(4)}  # similar to it, each apart
+    texts |= {200 + k: " ".join(f"c{k}x{j}" for j in range(60)) for k in range(3)}  # like nothing
+    frame = spark.createDataFrame([(k, t.encode()) for k, t in texts.items()], "doc_id long, text binary")
+    rows = spark.createDataFrame([(7, k, len(texts), 0 if k < 100 else k) for k in texts], "key long, id long, size int, component long")
+    dealt = []
+    join = type(rows).join
+    monkeypatch.setattr(type(rows), "join", lambda self, *a, **kw: dealt.append(self) or join(self, *a, **kw))
+    found = _across(rows, _sketches(frame, 5), 0.8, 8)
+    monkeypatch.undo()
+    pairs = {(r.a, r.b) for r in found.filter("sure").collect()}
+    assert {b for _, b in pairs} == {100, 101, 102, 103} and all(a < b and b >= 100 for a, b in pairs) and max(len(t.split()) for t in texts.values()) <= SMALL_SET
+    assert dealt[-1].count() == 60 * 1 + 7 * 9  # rows that meet: 8 blocks of the largest component, one of the others
