@@ -87,10 +87,14 @@ def spaced_boundaries(candidates: DataFrame, unit: str, gap: str, depth: str, n_
     """Deepest first, the gaps that stay ``least`` key utterances from one another and from both ends.
 
     ``candidates(unit, gap, depth, n_key)``: a gap lies between key utterances ``gap`` and ``gap`` + 1 of ``n_key``.
+    Candidates at a distance of ``least`` or more have no say over one another, so each run of closer ones is folded
+    for itself, whatever the length of the unit.
     """
     opens = F.col(gap) + 1
-    inside = candidates.filter((opens >= least) & (F.col(n_key) - opens >= least))
-    rows = inside.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct((-F.col(depth)).alias("d"), F.col(gap).cast("long").alias("g")))).alias("rows"))
+    inside = candidates.filter((opens >= least) & (F.col(n_key) - opens >= least)).select(unit, F.col(gap).cast("long").alias("g"), F.col(depth).alias("depth"))
+    placed = spread_scan(inside, unit, ["g"], {"nth": F.lit(1)}, {"before": F.col("g")})
+    runs = spread_scan(placed.withColumn("new", F.coalesce((F.col("g") - F.col("before") >= least).cast("long"), F.lit(1))), unit, ["nth"], {"run": F.col("new")})
+    rows = runs.groupBy(unit, "run").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "g"))).alias("rows"))
     start = F.array().cast("array<bigint>")
     take = lambda acc, x: F.when(F.forall(acc, lambda t: F.abs(t - x["g"]) >= least), F.array_append(acc, x["g"])).otherwise(acc)
     return rows.select(unit, F.explode(F.aggregate("rows", start, take)).alias(gap))

@@ -187,3 +187,25 @@ def test_observe_writes_episodes_once(spark):
     assert [(r.slot, r.value) for r in found] == [(1, "[2024-06-05] user: I met Anna Smith yesterday\nassistant: Nice (yesterday = 2024-06-04)")]
     judged = store.observe(rows, Scope("t", "n"), judge=lambda t: F.lit("no json")).records
     assert {r.trust_tier for r in judged.collect()} == {"quarantined"}
+
+
+def test_boundaries_far_apart_are_not_folded_in_one_row(spark, monkeypatch):
+    rng = random.Random(6)
+    fold, folded = turns.F.aggregate, []
+    monkeypatch.setattr(turns.F, "aggregate", lambda c, *a: folded.append(c) or fold(c, *a))
+    kept_by = []
+    group = type(spark.range(1)).groupBy
+    monkeypatch.setattr(type(spark.range(1)), "groupBy", lambda self, *a: kept_by.append(a) or group(self, *a))
+    for least in (2, 4):
+        rows = [(u, g, round(rng.random(), 2), 400) for u in range(3) for g in sorted(rng.sample(range(400), 130))]
+        frame = spark.createDataFrame(rows, "unit int, gap long, depth double, n_key int")
+        want = set()
+        for u in range(3):
+            taken: list[int] = []
+            for _, g in sorted((-d, g) for x, g, d, _ in rows if x == u and g + 1 >= least and 400 - g - 1 >= least):
+                if all(abs(t - g) >= least for t in taken):
+                    taken.append(g)
+            want |= {(u, g) for g in taken}
+        found = turns.spaced_boundaries(frame, "unit", "gap", "depth", "n_key", least)
+        assert {(r.unit, r.gap) for r in found.collect()} == want
+    assert folded and ("unit", "run") in kept_by and ("unit",) not in kept_by
