@@ -25,6 +25,20 @@ def test_units_encode_as_the_tokenizer_does(tokenizer):
         assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_a_text_is_encoded_in_one_call(tokenizer):
+    encoder, calls = UnitEncoder(PATH, public_tokenizers.PATTERN), []
+    fast = encoder.fast.encode_ordinary
+    encoder.fast.encode_ordinary = lambda text: calls.append(text) or fast(text)
+    text = " ".join(f"word{k}" for k in range(1000))
+    assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert calls == [text]
+
+
+def test_a_long_run_of_white_space_ends(tokenizer):
+    text = "a" + " " * 1_200_000 + "b"
+    assert UnitEncoder(PATH, public_tokenizers.PATTERN).encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("partitions", [1, 5])
 def test_round_trip(docs, rows, no_docs, tokenizer, partitions):
     pieces = pack(docs, partitions=partitions).collect()
