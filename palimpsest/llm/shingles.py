@@ -4,7 +4,7 @@ Texts with a Jaccard similarity of 0.8 differ in up to twelve of 64 SimHash bits
 do, and at that radius no segment of a fingerprint stays whole. So this is a prefix-filtered set join: in one
 global order of shingles, two sets of similarity s or more share one of the first n - ceil(s n) + 1 shingles of
 each. The order puts shingles that a bounded sample shows in several texts last, which only makes common lines
-rarely a prefix; any order is right. Every candidate is verified on the whole sets of 64-bit shingle hashes.
+rarely a prefix, and so do those that more texts than meet in pairs have in a first prefix; any order is right. Every candidate is verified on the whole sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ SIMILARITY = 0.8
 SAMPLE_ROWS = 10_000
 COMMON_ROWS = 3
 MAX_COMMON = 300_000
+#: Shingles found in many prefixes that travel to the workers at most; others stay where they are in the order.
+MAX_FREQUENT = 1_000_000
 #: Texts that share a prefix shingle meet in pairs up to this many; beyond, each meets the first and then the last,
 #: and what these leave apart meets in blocks.
 PAIR_LIMIT = 8
@@ -188,9 +190,33 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
-def _prefixes(texts: DataFrame, width: int, least: float) -> DataFrame:
-    """``id, keys``: the prefix shingles of every text that has words."""
+def _prefixes(texts: DataFrame, width: int, least: float, pair_limit: int) -> DataFrame:
+    """``id, keys``: the prefix shingles of every text that has words.
+
+    A sample shows fewer of the common shingles the more texts there are. So a first round counts the prefix shingles of
+    all texts, and those of more than ``pair_limit`` go last as well: texts that have others of their own no longer meet
+    by them.
+    """
     common = common_shingles(texts, width)
+    counts = _heads(texts, width, least, common).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return _heads(texts, width, least, np.union1d(common, _frequent(counts.filter(F.col("n") > pair_limit))))
+
+
+def _frequent(counts: DataFrame, limit: int = MAX_FREQUENT) -> np.ndarray:
+    """The keys of ``counts(key, n)``, sorted as unsigned; if there are more than ``limit``, the most frequent of them."""
+    counts = cut_lineage(counts)
+    least, held = 0, 0
+    for n, keys in sorted(((r["n"], r["keys"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("keys")).collect()), reverse=True):
+        held += keys
+        if held > limit:
+            break
+        least = n
+    found = counts.filter(F.col("n") >= least).select("key").toArrow().column("key").to_numpy() if least else np.array([], np.int64)
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def _heads(texts: DataFrame, width: int, least: float, common: np.ndarray) -> DataFrame:
+    """``id, keys``: the prefixes in the order that puts ``common`` last."""
 
     def run(batches):
         for ids, part in text_slices(batches, STEP_BYTES):
@@ -259,9 +285,27 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> D
     return found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _families(rows: DataFrame) -> DataFrame:
+    """``rows(key, id, component)`` with one key for a family, texts that hang together by keys, where that is cheaper.
+
+    Copies of a long text share many keys, each with somewhat different texts, so a pair would meet once for each of them.
+    A family whose size squared is no more than the sum of its keys' sizes squared meets once as a whole, which holds all
+    pairs of its keys; others, such as long chains, meet key by key.
+    """
+    low = rows.groupBy("key").agg(F.min("id").alias("low"))
+    edges = rows.join(small(low), "key").select(F.col("id").alias("u"), F.col("low").alias("v"))
+    families = cut_lineage(connected_components(rows.select(F.col("id").alias("node")).distinct(), edges).select(F.col("node").alias("id"), F.col("component").alias("family")))
+    sizes = rows.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("n"))  # a key is of one family
+    costs = sizes.join(families, "id").groupBy("family").agg(F.sum(F.col("n") * F.col("n")).alias("apart"))
+    whole = costs.join(families.groupBy("family").agg(F.count(F.lit(1)).cast("double").alias("m")), "family").filter(F.col("m") * F.col("m") <= F.col("apart")).select("family")
+    within = small(families.join(small(whole), "family"))
+    roots = rows.groupBy("id").agg(F.min("component").alias("component"))
+    own = F.xxhash64("family", F.lit("family"))  # should it equal a key, both only meet as one
+    return roots.join(within, "id").select(own.alias("key"), "id", "component").unionByName(rows.join(within, "id", "left_anti").select("key", "id", "component"))
+
+
 def _across(rows: DataFrame, sketches: DataFrame, least: float, block: int) -> DataFrame:
-    """``a, b, sure`` that connect the similar texts with one key and two components, of ``rows(key, id, size,
-    component)``.
+    """``a, b, sure`` that connect the similar texts with one key and two components, of ``rows(key, id, component)``.
 
     The texts of a key are dealt into blocks, those of its largest component apart from the others, and every two
     blocks meet in one group of bounded size, but for two of the largest component: there is nothing to connect.
@@ -320,7 +364,7 @@ def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY
     words have none and no links. Ids must be unique. An empty table gives an empty result.
     """
     texts = keyed_texts(docs, id_col)
-    rows = cut_lineage(_prefixes(texts, width, least)).select(F.explode("keys").alias("key"), "id")
+    rows = cut_lineage(_prefixes(texts, width, least, pair_limit)).select(F.explode("keys").alias("key"), "id")
     groups = cut_lineage(_groups(rows))
     members = cut_lineage(rows.join(small(groups.filter("size > 2")), "key"))
     twos = groups.filter("size = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
@@ -344,10 +388,10 @@ def similar_pairs(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY
     roots = small(connected_components(nodes, links if known is None else links.unionByName(known)))
     tagged = cut_lineage(large.select("key", "id", "size").join(roots.withColumnRenamed("node", "id"), "id"))
     apart = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rest = cut_lineage(tagged.join(small(apart), "key"))
+    rest = cut_lineage(tagged.join(small(apart), "key").select("key", "id", "component"))
     if rest.isEmpty():
         return links
-    more = cut_lineage(_across(rest, sketches, least, block))
+    more = cut_lineage(_across(cut_lineage(_families(rest)), sketches, least, block))
     sure = more.filter("sure").select(F.col("a").alias("u"), F.col("b").alias("v"))
     return links.unionByName(sure).unionByName(verified(more.filter("NOT sure").select("a", "b")))
 

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -273,3 +274,37 @@ def test_texts_of_the_largest_component_are_not_dealt_against_one_another(spark,
     pairs = {(r.a, r.b) for r in found.filter("sure").collect()}
     assert {b for _, b in pairs} == {100, 101, 102, 103} and all(a < b and b >= 100 for a, b in pairs) and max(len(t.split()) for t in texts.values()) <= SMALL_SET
     assert dealt[-1].count() == 60 * 1 + 7 * 9  # rows that meet: 8 blocks of the largest component, one of the others
+
+
+def test_shingles_that_the_sample_misses_leave_the_prefixes(spark, monkeypatch):
+    """A line in thirty texts that are otherwise their own: none of its shingles stays in many prefixes."""
+    from palimpsest.llm import shingles
+
+    monkeypatch.setattr(shingles, "SAMPLE_ROWS", 0)
+    line = " ".join(f"line{k}" for k in range(12))
+    texts = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(40)) + " " + line) for i in range(30)], "doc_id long, text string")
+    keys = [k for r in shingles._prefixes(texts, 5, 0.8, 8).collect() for k in r["keys"]]
+    assert len(keys) == 30 * 10 and max(Counter(keys).values()) <= 8
+
+
+def test_frequent_keys_beyond_the_limit_are_the_most_frequent(spark):
+    from palimpsest.llm.shingles import _frequent
+
+    counts = spark.createDataFrame([(-1, 9), (5, 30), (7, 12), (8, 9)], "key long, n long")
+    assert _frequent(counts).view(np.int64).tolist() == [5, 7, 8, -1]
+    assert _frequent(counts, 3).view(np.int64).tolist() == [5, 7]
+    assert _frequent(counts, 0).tolist() == [] and _frequent(counts.limit(0)).tolist() == []
+
+
+def test_families_meet_once(spark):
+    """Twenty texts under ten keys, each without one of them, are one group; a chain of pairs stays key by key."""
+    from palimpsest.llm.shingles import _families
+
+    family = [(k, i, i) for k in range(10) for i in range(20) if i != k]
+    chain = [(100 + i, j, j) for i in range(1000, 1010) for j in (i, i + 1)]
+    rows = spark.createDataFrame(family + chain, "key long, id long, component long")
+    got = defaultdict(list)
+    for r in _families(rows).collect():
+        assert r.id == r.component
+        got[r.key].append(r.id)
+    assert sorted(map(sorted, got.values())) == [list(range(20)), *[[i, i + 1] for i in range(1000, 1010)]]
