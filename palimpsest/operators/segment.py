@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from palimpsest.operators.ranks import spread_scan
 GAP_SECONDS, TOKEN_CAP = 3600, 512
 #: Turns of a unit that may be folded in one row.
 FOLD_TURNS = 1000
+#: Places of a unit whose pointers are followed in one go.
+BLOCK = 1 << 14
 
 
 def episodes(
@@ -29,14 +33,16 @@ def episodes(
     """
     flag = F.lit(False) if topic is None else F.coalesce(F.col(topic), F.lit(False))
     when = F.lit(None).cast("long") if at is None else F.unix_timestamp(at)
-    own = turns.select(unit, order, F.coalesce(approx_tokens(F.col(text)), F.lit(0)).cast("long").alias("tokens"), when.alias("at"), flag.alias("topic"))
-    sizes = turns.groupBy(unit).agg(F.count(F.lit(1)).alias("n"))
-    long_units = cut_lineage(sizes.filter(F.col("n") > fold_turns).select(unit))
+    own = lambda rows: rows.select(unit, order, F.coalesce(approx_tokens(F.col(text)), F.lit(0)).cast("long").alias("tokens"), when.alias("at"), flag.alias("topic"))
+    sizes = cut_lineage(turns.groupBy(unit).agg(F.count(F.lit(1)).alias("n")))
+    long_units, short_units = (sizes.filter(c).select(unit) for c in (F.col("n") > fold_turns, F.col("n") <= fold_turns))
     if long_units.isEmpty():
-        cut = _folded(own, unit, order, gap_seconds, token_cap)
+        cut = _folded(own(turns), unit, order, gap_seconds, token_cap)
     else:
-        few = _folded(own.join(long_units, unit, "left_anti"), unit, order, gap_seconds, token_cap)
-        cut = few.unionByName(spread_starts(own.join(long_units, unit, "left_semi"), unit, order, gap_seconds, token_cap))
+        long_turns = cut_lineage(own(turns.join(long_units, unit, "left_semi")))  # texts are read once
+        cut = spread_starts(long_turns, unit, order, gap_seconds, token_cap)
+        if not short_units.isEmpty():
+            cut = _folded(own(turns.join(short_units, unit, "left_semi")), unit, order, gap_seconds, token_cap).unionByName(cut)
     return turns.join(cut, [unit, order])
 
 
@@ -62,8 +68,7 @@ def spread_starts(own: DataFrame, unit: str, order: str, gap_seconds: int, token
 
     Running totals of tokens tell for each turn which later turn would pass the cap, were an episode to begin with it: the
     turn whose stretch of the total holds the sum, found by an equi-join on stretches of ``token_cap`` tokens. Episodes
-    begin at gaps and topics and wherever those pointers lead from there, which doubling them finds in as many rounds
-    as the logarithm of the episodes between two gaps.
+    begin at gaps and topics and wherever those pointers lead from there (reached).
     """
     counted = spread_scan(own, unit, [order], {"idx": F.lit(1), "total": F.col("tokens")}, {"before": F.col("at")})
     why = F.when(F.col("idx") == 1, "first").when(F.col("at") - F.col("before") > gap_seconds, "time_gap").when(F.col("topic"), "topic_shift")
@@ -88,8 +93,70 @@ def spread_starts(own: DataFrame, unit: str, order: str, gap_seconds: int, token
     return met.select(unit, order, (F.col("episode") - 1).alias("episode"), F.col("ended").alias("ended_by"))
 
 
-def reached(starts: DataFrame, jumps: DataFrame, unit: str) -> DataFrame:
-    """``unit, idx`` of all places to which ``jumps(unit, idx, to)``, one a place and forwards, lead from the starts."""
+def reached(starts: DataFrame, jumps: DataFrame, unit: str, block: int = BLOCK) -> DataFrame:
+    """``unit, idx`` of all places to which ``jumps(unit, idx, to)``, one a place and forwards, lead from the starts.
+
+    Pointers are followed inside blocks of ``block`` places first. Paths that meet stay together, so what leads out of a
+    block is a few places; pointers from those alone are doubled, in as many rounds as the logarithm of the blocks of a
+    path, and then every block follows what leads into it. A pointer thus moves three times, however long its path is.
+    """
+    kind = dict(jumps.dtypes)[unit]
+    dealt = lambda rows: rows.withColumn("block", F.floor(F.col("idx") / block))
+    placed = dealt(jumps.select(unit, F.col("idx").cast("long").alias("idx"), F.col("to").cast("long").alias("to"))).groupBy(unit, "block")
+    first = starts.select(unit, F.col("idx").cast("long").alias("idx")).distinct()
+
+    def out(key, rows):
+        idx, to = _ascending(rows)
+        ends = np.unique(to[_ends(idx, to)])
+        return pa.table({unit: pa.repeat(key[0], len(ends)), "idx": ends})
+
+    def through(key, rows, entries):
+        idx, to = _ascending(rows)
+        entries = entries.filter(pa.array(np.isin(entries.column("idx").to_numpy(), idx)))
+        at = np.searchsorted(idx, entries.column("idx").to_numpy())
+        return pa.table({unit: pa.repeat(key[0], len(at)), "idx": entries.column("idx"), "to": to[_ends(idx, to)[at]], "first": entries.column("first")})
+
+    def inside(key, rows, entries):
+        idx, to = _ascending(rows)
+        given = entries.column("idx").to_numpy()
+        met = np.isin(idx, given).tolist()
+        for k, after in enumerate(_following(idx, to).tolist()):  # pointers lead forwards
+            if met[k]:
+                met[after] = True
+        found = np.union1d(idx[np.array(met, bool)], given)
+        return pa.table({unit: pa.repeat(key[0], len(found)), "idx": found})
+
+    places = f"{unit} {kind}, idx long"
+    exits = placed.applyInArrow(out, places).distinct().withColumn("first", F.lit(False))
+    entries = dealt(first.withColumn("first", F.lit(True)).unionByName(exits)).groupBy(unit, "block")
+    coarse = cut_lineage(placed.cogroup(entries).applyInArrow(through, f"{places}, to long, first boolean"))
+    led = cut_lineage(coarse.filter("first").select(unit, F.col("to").alias("idx")).distinct())
+    led = _doubled(led, cut_lineage(coarse.filter("NOT first").drop("first")), unit)
+    return placed.cogroup(dealt(first.unionByName(led).distinct()).groupBy(unit, "block")).applyInArrow(inside, places)
+
+
+def _ascending(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    idx, to = rows.column("idx").to_numpy(), rows.column("to").to_numpy()
+    order = np.argsort(idx, kind="stable")
+    return idx[order], to[order]
+
+
+def _following(idx: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Where each pointer's target stands among the pointers; its own place if it leads out of them."""
+    at = np.minimum(np.searchsorted(idx, to), max(0, len(idx) - 1))
+    return np.where(idx[at] == to, at, np.arange(len(idx)))
+
+
+def _ends(idx: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Which pointer leads out of them at last, for each pointer."""
+    last = _following(idx, to)
+    while (last != last[last]).any():
+        last = last[last]
+    return last
+
+
+def _doubled(starts: DataFrame, jumps: DataFrame, unit: str) -> DataFrame:
+    """As reached(), by doubling all pointers: rounds that join all of them."""
     while not jumps.isEmpty():
         led = starts.join(jumps, [unit, "idx"]).select(unit, F.col("to").alias("idx"))
         starts = cut_lineage(starts.unionByName(led).distinct())

@@ -57,6 +57,27 @@ def test_episodes(spark, fold):
     assert segment.episodes(frame.limit(0), "unit", "turn", fold_turns=fold).count() == 0
 
 
+def test_pointers_are_followed_in_blocks(spark, monkeypatch):
+    """Long paths are not doubled pointer by pointer: what is written down between rounds is a few rows a block."""
+    rng, written, cut = random.Random(8), [], segment.cut_lineage
+    monkeypatch.setattr(segment, "cut_lineage", lambda df: (lambda kept: written.append(kept.count()) or kept)(cut(df)))
+    to = {"a": {k: k + 1 + k % 3 for k in range(40_000)}, "b": {k: k + rng.randint(1, 40) for k in range(300) if rng.random() < 0.9}}
+    first = {"a": [0], "b": [3, 50, 299, 500], "c": [7]}
+    want = set()
+    for u, starts in first.items():
+        for at in starts:
+            while at is not None and (u, at) not in want:
+                want.add((u, at))
+                at = to.get(u, {}).get(at)
+    jumps = spark.createDataFrame([(u, i, j) for u, pointers in to.items() for i, j in pointers.items()], "unit string, idx long, to long")
+    starts = spark.createDataFrame([(u, k) for u, ks in first.items() for k in ks], "unit string, idx long")
+    got = [tuple(r) for r in segment.reached(starts, jumps, "unit").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert sum(written) < 1000
+    small = [tuple(r) for r in segment.reached(starts, jumps.filter("unit = 'b'"), "unit", block=7).collect()]
+    assert sorted(small) == sorted({p for p in want if p[0] != "a"} | {("a", 0)})
+
+
 def plain_keys(texts):
     before, out = None, []
     for t in texts:
