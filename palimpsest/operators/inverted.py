@@ -4,32 +4,32 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.vectors import norm
-from palimpsest.operators.channels import _cosines, top_ranked
+from palimpsest.operators.channels import DIGITS, QUERY_BLOCK, top_ranked
 from palimpsest.operators.checkpoints import cut_lineage
+from palimpsest.operators.nearest import Heads, Vectors
 
 #: Vectors that a centroid is trained on, and the most centroids: so the sample is bounded by their product.
 SAMPLE_PER_LIST, MOST_LISTS = 64, 4096
+#: About how many vectors of a list meet about QUERY_BLOCK queries in one group.
+PART_ROWS = 1 << 14
 
 
 @dataclass(frozen=True)
 class Lists:
-    """``rows(list, id, vector, rn)`` hold every vector once; ``centroids(list, centroid)`` are at most MOST_LISTS rows."""
+    """``rows(list, id, vector)`` hold every vector once; ``centroids(list, centroid)`` are at most MOST_LISTS rows."""
 
     rows: DataFrame
     centroids: DataFrame
 
 
-def _unit(vector):
-    length = norm(vector)
-    return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length)).otherwise(F.transform(vector, lambda x: x.cast("double")))
-
-
 def build_lists(records: DataFrame, lists: int | None = None, seed: int = 1) -> Lists:
     """Lists of ``records(id, vector)``, by default the square root of their number.
 
@@ -41,24 +41,64 @@ def build_lists(records: DataFrame, lists: int | None = None, seed: int = 1) ->
     k = max(1, min(MOST_LISTS, lists or round(n**0.5), n))
     share = min(1.0, k * SAMPLE_PER_LIST / max(1, n))
     drawn = whole.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) <= share * (1 << 30))
-    unit = lambda rows: rows.select("*", array_to_vector(_unit(F.col("vector"))).alias("unit"))
+    unit = lambda rows: Normalizer(inputCol="given", outputCol="unit").transform(rows.withColumn("given", array_to_vector("vector")))
     if n == 0:
         empty = records.sparkSession.createDataFrame([], "list int, centroid array<double>")
-        return Lists(whole.select(F.lit(0).alias("list"), "id", "vector", norm(F.col("vector")).alias("rn")), empty)
+        return Lists(whole.select(F.lit(0).alias("list"), "id", "vector"), empty)
     model: KMeansModel = KMeans(k=k, seed=seed, maxIter=10, featuresCol="unit", predictionCol="list").fit(unit(drawn if not drawn.isEmpty() else whole))
     centroids = records.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "list int, centroid array<double>")
-    placed = model.transform(unit(whole)).select("list", "id", "vector", norm(F.col("vector")).alias("rn"))
+    placed = model.transform(unit(whole)).select("list", "id", "vector")
     return Lists(cut_lineage(placed), centroids)
 
 
 def search(queries: DataFrame, index: Lists, limit: int = 50, probes: int = 8) -> DataFrame:
     """Top ``limit`` of ``queries(query_id, vector)`` by exact cosine among the vectors of the ``probes`` nearest lists.
 
-    As channels.dense(), but a query meets only its lists, in an equi-join that adaptive execution splits where a list is
-    long. A query of length zero scores zero everywhere; it meets some lists like any other.
+    As channels.dense(), but a query meets only its lists: those and the queries that probe them are brought together,
+    and matrix products find what exact sums then score. A list of more than PART_ROWS vectors is dealt into parts by a
+    hash of the id, its queries by QUERY_BLOCK likewise, so that no group holds more than about so many of either. A query of length zero
+    scores zero everywhere; it meets some lists like any other.
     """
-    q = queries.select("query_id", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
-    far = q.crossJoin(F.broadcast(index.centroids))  # a query against a bounded number of centroids
-    gap = F.aggregate(F.zip_with("centroid", _unit(F.col("qv")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    nearest = far.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(gap, 12), "list"))).filter(F.col("nth") <= probes)
-    return top_ranked(_cosines(index.rows.join(nearest.select("query_id", "qv", "qn", "list"), "list")), limit)
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "id": dict(index.rows.dtypes)["id"], "score": "double"}
+    probed = f"query_id {kinds['query_id']}, vector {dict(queries.dtypes)['vector']}, list int"
+    near = cut_lineage(queries.select("query_id", "vector").mapInArrow(_nearest_lists(index.centroids.orderBy("list").toArrow(), probes), probed))  # at most MOST_LISTS centroids
+    parts = lambda rows, most, name: rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / most).alias(name))
+    dealt = F.broadcast(parts(index.rows, PART_ROWS, "slabs").join(parts(near, QUERY_BLOCK, "blocks"), "list"))  # a row a list
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = index.rows.join(dealt, "list").select("list", "id", "vector", own("id", "slabs").alias("slab"), every("blocks").alias("block"))
+    asked = near.join(dealt, "list").select("list", "query_id", "vector", every("slabs").alias("slab"), own("query_id", "blocks").alias("block"))
+
+    def meet(some, held):
+        empty = pa.table({"query_id": some.column("query_id").slice(0, 0), "id": held.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+        if not some.num_rows or not held.num_rows:
+            return empty
+        heads = Heads(some.column("query_id").combine_chunks(), some.column("vector").combine_chunks(), limit, DIGITS)
+        heads.add(held.column("id").combine_chunks(), held.column("vector").combine_chunks())
+        found = heads.rows()
+        return empty if found is None else found
+
+    group = ["list", "slab", "block"]
+    met = asked.groupBy(group).cogroup(rows.groupBy(group)).applyInArrow(meet, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    return top_ranked(met.withColumn("score", F.round("score", DIGITS)), limit)
+
+
+def _nearest_lists(centroids: pa.Table, probes: int):
+    """A function for mapInArrow over ``query_id, vector``: a row for each of the ``probes`` lists whose centroids are nearest to
+    the direction of the vector; the first lists where it has none or another length."""
+    lists = centroids.column("list").to_numpy()
+
+    def run(batches):
+        given = Vectors(centroids.column("centroid").combine_chunks())
+        for batch in batches:
+            q = Vectors(batch.column("vector"))
+            order = np.tile(np.arange(len(lists)), (batch.num_rows, 1))[:, :probes]
+            for n in q.matrix.keys() & given.matrix.keys():
+                whole = np.where((q.norm[q.rows[n]] > 0)[:, None], q.units(n), q.matrix[n])
+                with np.errstate(all="ignore"):
+                    gap = np.square(given.matrix[n]).sum(axis=1) - 2 * whole @ given.matrix[n].T
+                order[q.rows[n]] = np.argsort(np.round(gap, 12), axis=1, kind="stable")[:, :probes]
+            at = np.repeat(np.arange(batch.num_rows), order.shape[1])
+            yield pa.record_batch([batch.column(c).take(pa.array(at)) for c in ("query_id", "vector")] + [pa.array(lists[order.ravel()], pa.int32())], ["query_id", "vector", "list"])
+
+    return run

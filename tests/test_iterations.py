@@ -285,6 +285,24 @@ def test_inverted_lists(spark):
     assert inverted.search(queries, inverted.build_lists(records.limit(0))).count() == 0
 
 
+def test_long_lists_meet_their_queries_in_parts(spark, monkeypatch):
+    """No row is made for a pair of query and vector: parts of a list meet parts of its queries, with the scores of dense search."""
+    monkeypatch.setattr(inverted, "PART_ROWS", 40)
+    monkeypatch.setattr(inverted, "QUERY_BLOCK", 7)
+    rng = random.Random(12)
+    vectors = [(k, [rng.gauss(0, 1) for _ in range(5)]) for k in range(200)] + [(k, [1.0, 0.5, 0.0, 0.0, 0.0]) for k in range(200, 300)]
+    records = spark.createDataFrame(vectors, "id int, vector array<float>")
+    asked = [(f"q{k}", v) for k, v in vectors[::10]] + [("null", None), ("zero", [0.0] * 5)]
+    queries = spark.createDataFrame(asked, "query_id string, vector array<float>").repartition(3)
+    index = inverted.build_lists(records, lists=3)
+    found = inverted.search(queries, index, 4, probes=3)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    want = [tuple(r) for r in channels.dense(queries, records, 4).select("query_id", "id", "score", "rank").collect()]
+    assert sorted(tuple(r) for r in found.select("query_id", "id", "score", "rank").collect()) == sorted(want)
+    few = {(r.query_id, r.id) for r in inverted.search(queries, index, 4, probes=1).collect()}
+    assert len(few) == 4 * len(asked) and len(few & {r[:2] for r in want}) < len(few)
+
+
 def test_bootstrap(spark):
     rng = random.Random(1)
     pairs = [(rng.choice([0.0, 0.25, 1.0]), rng.choice([0.0, 0.2, 1.0])) for _ in range(800)] + [(None, 1.0), (1.0, None), (float("nan"), 1.0)]
