@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.channels import DIGITS, QUERY_BLOCK, top_ranked
+from palimpsest.operators.channels import DIGITS, QUERY_BLOCK, dense, top_ranked
 from palimpsest.operators.checkpoints import cut_lineage
 from palimpsest.operators.nearest import Heads, Vectors
 
@@ -20,6 +20,8 @@ from palimpsest.operators.nearest import Heads, Vectors
 SAMPLE_PER_LIST, MOST_LISTS = 64, 4096
 #: About how many vectors of a list meet about QUERY_BLOCK queries in one group.
 PART_ROWS = 1 << 14
+#: The fewest lists that a query probes, the recall that probing is chosen for, and the queries by which it is measured.
+PROBES, RECALL, MEASURED = 8, 0.92, 400
 
 
 @dataclass(frozen=True)
@@ -51,7 +53,7 @@ def build_lists(records: DataFrame, lists: int | None = None, seed: int = 1) ->
     return Lists(cut_lineage(placed), centroids)
 
 
-def search(queries: DataFrame, index: Lists, limit: int = 50, probes: int = 8) -> DataFrame:
+def search(queries: DataFrame, index: Lists, limit: int = 50, probes: int = PROBES) -> DataFrame:
     """Top ``limit`` of ``queries(query_id, vector)`` by exact cosine among the vectors of the ``probes`` nearest lists.
 
     As channels.dense(), but a query meets only its lists: those and the queries that probe them are brought together,
@@ -60,8 +62,8 @@ def search(queries: DataFrame, index: Lists, limit: int = 50, probes: int = 8) -
     scores zero everywhere; it meets some lists like any other.
     """
     kinds = {"query_id": dict(queries.dtypes)["query_id"], "id": dict(index.rows.dtypes)["id"], "score": "double"}
-    probed = f"query_id {kinds['query_id']}, vector {dict(queries.dtypes)['vector']}, list int"
-    near = cut_lineage(queries.select("query_id", "vector").mapInArrow(_nearest_lists(index.centroids.orderBy("list").toArrow(), probes), probed))  # at most MOST_LISTS centroids
+    probed = f"query_id {kinds['query_id']}, vector {dict(queries.dtypes)['vector']}, list int, nth int"
+    near = cut_lineage(queries.select("query_id", "vector").mapInArrow(_nearest_lists(index, probes), probed).drop("nth"))
     parts = lambda rows, most, name: rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / most).alias(name))
     dealt = F.broadcast(parts(index.rows, PART_ROWS, "slabs").join(parts(near, QUERY_BLOCK, "blocks"), "list"))  # a row a list
     own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
@@ -83,9 +85,29 @@ def search(queries: DataFrame, index: Lists, limit: int = 50, probes: int = 8) -
     return top_ranked(met.withColumn("score", F.round("score", DIGITS)), limit)
 
 
-def _nearest_lists(centroids: pa.Table, probes: int):
+def probes_for(queries: DataFrame, index: Lists, limit: int, recall: float = RECALL) -> int:
+    """How many lists a query must probe for that share of its exact first ``limit``; no fewer than PROBES.
+
+    Measured on MEASURED of the queries, drawn by hash, against all vectors: where vectors do not cluster, that is a large
+    share of the lists.
+    """
+    drawn = cut_lineage(queries.filter("vector IS NOT NULL").select("query_id", "vector").orderBy(F.xxhash64("query_id"), "query_id").limit(MEASURED))
+    held = dense(drawn, index.rows, limit).select("query_id", "id").join(index.rows.select("id", "list"), "id")
+    kinds = dict(drawn.dtypes)
+    order = drawn.mapInArrow(_nearest_lists(index, MOST_LISTS), f"query_id {kinds['query_id']}, vector {kinds['vector']}, list int, nth int")
+    told = dict(held.join(order.drop("vector"), ["query_id", "list"]).groupBy("nth").count().collect())  # a row a list at most
+    wanted, found = recall * sum(told.values()), 0
+    for nth in sorted(told):
+        found += told[nth]
+        if found >= wanted:
+            return max(PROBES, nth)
+    return PROBES
+
+
+def _nearest_lists(index: Lists, probes: int):
     """A function for mapInArrow over ``query_id, vector``: a row for each of the ``probes`` lists whose centroids are nearest to
-    the direction of the vector; the first lists where it has none or another length."""
+    the direction of the vector, and which it is, from 1; the first lists where it has none or another length."""
+    centroids = index.centroids.orderBy("list").toArrow()  # at most MOST_LISTS rows
     lists = centroids.column("list").to_numpy()
 
     def run(batches):
@@ -99,6 +121,6 @@ def _nearest_lists(centroids: pa.Table, probes: int):
                     gap = np.square(given.matrix[n]).sum(axis=1) - 2 * whole @ given.matrix[n].T
                 order[q.rows[n]] = np.argsort(np.round(gap, 12), axis=1, kind="stable")[:, :probes]
             at = np.repeat(np.arange(batch.num_rows), order.shape[1])
-            yield pa.record_batch([batch.column(c).take(pa.array(at)) for c in ("query_id", "vector")] + [pa.array(lists[order.ravel()], pa.int32())], ["query_id", "vector", "list"])
+            yield pa.record_batch([batch.column(c).take(pa.array(at)) for c in ("query_id", "vector")] + [pa.array(lists[order.ravel()], pa.int32()), pa.array(np.tile(np.arange(1, order.shape[1] + 1), batch.num_rows), pa.int32())], ["query_id", "vector", "list", "nth"])
 
     return run

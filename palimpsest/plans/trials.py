@@ -136,6 +136,6 @@ def attacks(spark, sf):
 
 @register("R1_inverted")
 def probed(spark, sf):
-    """Ten nearest of the stated vectors by inverted lists (recall against R1_dense is measured in the tests)."""
-    index = inverted.build_lists(_vectors(spark, sf))
-    return inverted.search(_vector_queries(spark, sf), index, 10).withColumn("score", F.round("score", 6))
+    """Ten nearest of the stated vectors by inverted lists, as many as a recall of 0.9 takes (measured by R1_dense's search on some)."""
+    index, queries = inverted.build_lists(_vectors(spark, sf)), _vector_queries(spark, sf)
+    return inverted.search(queries, index, 10, inverted.probes_for(queries, index, 10)).withColumn("score", F.round("score", 6))

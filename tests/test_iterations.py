@@ -303,6 +303,17 @@ def test_long_lists_meet_their_queries_in_parts(spark, monkeypatch):
     assert len(few) == 4 * len(asked) and len(few & {r[:2] for r in want}) < len(few)
 
 
+def test_probes_reach_the_recall_asked_for(spark):
+    """Vectors without clusters: eight probes lose many of the nearest."""
+    rng = random.Random(13)
+    records = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(32)]) for k in range(1600)], "id int, vector array<float>")
+    queries, index = records.filter("id % 10 = 0").withColumnRenamed("id", "query_id"), inverted.build_lists(records)
+    exact = {(r.query_id, r.id) for r in channels.dense(queries, records, 10).collect()}
+    share = lambda probes: len(exact & {(r.query_id, r.id) for r in inverted.search(queries, index, 10, probes).collect()}) / len(exact)
+    assert share(inverted.PROBES) < 0.85 and share(inverted.probes_for(queries, index, 10)) >= 0.9
+    assert inverted.probes_for(queries.limit(0), index, 10) == inverted.PROBES
+
+
 def test_bootstrap(spark):
     rng = random.Random(1)
     pairs = [(rng.choice([0.0, 0.25, 1.0]), rng.choice([0.0, 0.2, 1.0])) for _ in range(800)] + [(None, 1.0), (1.0, None), (float("nan"), 1.0)]
