@@ -140,7 +140,17 @@ def graded(reply: Column, kind: str) -> Column:
     return F.when(score.isin(0.0, 1.0), score.cast("int"))
 
 
+#: Gold rows that one task joins, about.
+TASK_ROWS = 1 << 20
+
+
 def reached(gold: DataFrame, stored: DataFrame) -> DataFrame:
-    """Per question whether all its gold units are stored: ``gold(question_id, unit)``, ``stored(unit)``."""
-    kept = gold.join(stored.select("unit").distinct().withColumn("there", F.lit(1)), "unit", "left")
+    """Per question whether all its gold units are stored: ``gold(question_id, unit)``, ``stored(unit)``.
+
+    The gold rows are counted and dealt by unit over so many tasks that each sorts about TASK_ROWS of them and adds up no
+    more questions than that, however many there are in all.
+    """
+    parts = -(-gold.count() // TASK_ROWS)
+    dealt = gold.repartition(parts, "unit") if parts > 1 else gold
+    kept = dealt.join(stored.select("unit").distinct().withColumn("there", F.lit(1)), "unit", "left")
     return kept.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_gold"), F.count("there").alias("n_stored")).withColumn("reached", F.col("n_gold") == F.col("n_stored"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.evaluation import audit
 from palimpsest.evaluation.metrics import retrieval_quality
 from palimpsest.functions.vectors import dot, norm
 from palimpsest.operators import channels, compose, nearest
@@ -89,3 +90,17 @@ def test_gold_need_hold_no_more_than_what_is_ranked(spark):
     size = whole.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
     told = whole.join(head.select("query_id", "id"), ["query_id", "id"], "left_semi")
     assert sorted(retrieval_quality(head, told, 6, size).collect()) == sorted(retrieval_quality(head, whole, 6).collect())
+
+
+def test_reach_joins_a_bounded_number_of_rows_a_task(spark, monkeypatch):
+    monkeypatch.setattr(audit, "TASK_ROWS", 50, raising=False)
+    rng = random.Random(4)
+    pairs = [(rng.randrange(40), rng.choice([None, *range(60)])) for _ in range(600)]
+    gold = spark.createDataFrame(pairs, "question_id int, unit int")
+    found = audit.reached(gold, spark.createDataFrame([(k,) for k in [*range(0, 60, 2), 0, None]], "unit int"))
+    want = {q: [0, 0] for q, _ in pairs}
+    for q, u in pairs:
+        want[q][0] += 1
+        want[q][1] += u is not None and u % 2 == 0
+    assert {r.question_id: [r.n_gold, r.n_stored] for r in found.collect()} == want
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
