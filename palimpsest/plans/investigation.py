@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import channels
+from palimpsest.operators.checkpoints import cut_lineage
 from palimpsest.operators.investigate import HEDGE, STATEMENT, Investigation, answerability_gate, digested, insufficiency_gate, investigate, premise_checked
 from palimpsest.plans.common import register
 from palimpsest.plans.ranking import _LIVE, _TERMS, _live, _questions
@@ -13,8 +14,7 @@ from palimpsest.sources.connectors import ReadingLlm, complete_column
 STEPS, STEP_K = 3, 6
 
 
-def _found(spark, sf) -> Investigation:
-    live = _live(spark, sf)
+def _found(spark, sf, live) -> Investigation:
     probe = lambda queries: channels.lexical(queries, live, STEP_K)
     model = lambda rows, prompt, reply: complete_column(rows, ReadingLlm(), prompt, reply)
     return investigate(_questions(spark, sf), live, probe, model, STEPS, STEP_K)
@@ -56,7 +56,7 @@ SELECT query_id, steps, stopped AS stopped_because, barren AS barren_steps, conf
 FROM s{STEPS} LEFT JOIN (SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY score DESC, id) AS ids FROM pool{STEPS} GROUP BY query_id) USING (query_id)""")
 def investigated(spark, sf):
     """A row a question: what it asked, how long, why it stopped, and the records it found, best first."""
-    found = _found(spark, sf)
+    found = _found(spark, sf, _live(spark, sf))
     ids = found.pool.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]), ",").alias("ids"))
     return found.trace.drop("question").withColumn("asked", F.array_join("asked", " | ")).join(ids, "query_id", "left")
 
@@ -94,7 +94,7 @@ UNION ALL SELECT query_id, (last + 1)::INT, NULL, 'palimpsest://ambiguous', '{HE
 UNION ALL SELECT query_id, 1, NULL, 'palimpsest://insufficient', '{STATEMENT}' FROM v WHERE support = 'unsupported'""")
 def answerability(spark, sf):
     live = _live(spark, sf)
-    evidence = _evidence(_found(spark, sf), live)
+    evidence = cut_lineage(_evidence(_found(spark, sf, live), live))
     return answerability_gate(evidence, _replies(evidence, _questions(spark, sf)).select("query_id", F.col("verdict").alias("reply")))
 
 
@@ -104,9 +104,10 @@ SELECT query_id, slot::INT AS slot, id, 'record' AS source, value FROM e JOIN t
 UNION ALL SELECT query_id, 1, NULL, CASE WHEN told IS NULL THEN 'palimpsest://insufficient' ELSE 'palimpsest://premise' END, coalesce(told, '{STATEMENT}') FROM t WHERE stopped <> 'sufficient'""")
 def insufficiency(spark, sf):
     """The analysis of a premise is the head of every other question; elsewhere the bare statement stays."""
-    found = _found(spark, sf)
+    live = _live(spark, sf)
+    found = _found(spark, sf, live)
     analyses = found.trace.select("query_id", F.trim(F.left("question", F.lit(40) * (F.char_length("question") % 2))).alias("reply"))
-    return insufficiency_gate(_evidence(found, _live(spark, sf)), found.trace, analyses)
+    return insufficiency_gate(_evidence(found, live), found.trace, analyses)
 
 
 @register("R18_notes", _INVESTIGATED + _SETS + """,
@@ -119,6 +120,7 @@ UNION ALL SELECT query_id, (last + 1)::INT, NULL, 'notes', '[notes] ' || array_t
 UNION ALL SELECT query_id, (last + 1)::INT, NULL, 'premise', value FROM c""")
 def notes(spark, sf):
     """A digest behind each set, and behind that the claims which its memories contradict."""
-    evidence = _evidence(_found(spark, sf), _live(spark, sf))
-    told = _replies(evidence, _questions(spark, sf))
+    live = _live(spark, sf)
+    evidence = cut_lineage(_evidence(_found(spark, sf, live), live))
+    told = cut_lineage(_replies(evidence, _questions(spark, sf)))
     return premise_checked(digested(evidence, told.select("query_id", F.col("digest").alias("reply"))), told.select("query_id", F.col("claims").alias("reply")))

@@ -10,6 +10,7 @@ from palimpsest.evaluation.metrics import retrieval_quality
 from palimpsest.functions.vectors import dot, norm
 from palimpsest.operators import channels, compose, nearest
 from palimpsest.operators.ranks import spread_rank
+from palimpsest.plans import ranking
 from palimpsest.sources import bundles
 
 
@@ -104,3 +105,13 @@ def test_reach_joins_a_bounded_number_of_rows_a_task(spark, monkeypatch):
         want[q][1] += u is not None and u % 2 == 0
     assert {r.question_id: [r.n_gold, r.n_stored] for r in found.collect()} == want
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+
+
+def test_texts_of_inadmissible_records_are_never_split(spark, tmp_path):
+    """What probes use is the admissible records as written down, not a scan of all documents."""
+    rows = [(k, f"words of {k}", "en", "web") for k in range(30)] + [(10**6, "too late", "en", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    live = ranking._live(spark, str(tmp_path))
+    assert "FileScan" not in live._jdf.queryExecution().toString() and "parquet" not in live._jdf.queryExecution().toString()
+    kept = {r.id for r in live.collect()}
+    assert kept and 10**6 not in kept and not any(k % 11 == 0 or k % 17 == 0 for k in kept)
