@@ -109,6 +109,14 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def bound_arrow_rows(spark: SparkSession, rows: int) -> None:
+    """From now on at most so many rows travel to Python at once in this session: for results that are only computed
+    when the caller writes them, which ``arrow_rows`` does not reach. A smaller setting stays as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,10 @@ class UnitEncoder:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.plain = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")
         self.run = re.compile(rf"\s{{{LONG_RUN}}}")
@@ -52,6 +52,13 @@ class UnitEncoder:
         ranks = {bytes(map(to_byte.__getitem__, word)): i for word, i in spec["model"]["vocab"].items() if word not in self.specials}
         self.fast = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        """Only loaded for a text that asks for it: a worker that meets none does not hold its tables."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> np.ndarray:
         if not self.plain or any(s in text for s in self.specials) or len(text) > LONG_RUN and self.run.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")

@@ -77,3 +77,11 @@ def test_like_texts_have_like_vectors():
     a, b, c = hashed_vectors([b"the cat sat on the mat " * 20, b"the cat sat on the mat " * 19 + b"dog", bytes(range(65, 91)) * 20])
     assert np.abs(a - b).sum() < np.abs(a - c).sum()
     assert not hashed_vectors([b"", b"abc"]).any()
+
+
+def test_tokenizer_is_loaded_only_for_texts_that_ask_for_it():
+    encoder = UnitEncoder(PATH, public_tokenizers.PATTERN)
+    encoder.encode("The garden of the old house, twice.")
+    assert "tokenizer" not in vars(encoder)
+    encoder.encode(f"a {encoder.specials[0]} b")
+    assert "tokenizer" in vars(encoder)

@@ -36,3 +36,27 @@ def test_near_dedup_finds_five_word_copies(spark):
     assert (fingerprint(shingle_hashes(text.encode(), 3)) ^ fingerprint(shingle_hashes(copy.encode(), 3))).bit_count() > 2
     docs = spark.createDataFrame([(1, text), (2, copy), (3, " ".join(reversed(words)))], "doc_id long, text string")
     assert {r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()} == {1, 3}
+
+
+def test_stages_leave_small_batches(spark, tmp_path):
+    """A stage's result is computed when it is written: what runs then hands Python few rows at once, not a task's texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "The garden of the old house", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "a marble statue in the hall")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    try:
+        for name, stage in pipeline.STAGES:
+            for given, most in (("10000", 256), ("0", 256), ("100", 100)):
+                spark.conf.set(key, given)
+                stage(spark, docs, str(tmp_path))
+                found = spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+                assert found == most, name
+    finally:
+        spark.conf.set(key, before)
