@@ -57,7 +57,8 @@ def width_verdict(points: DataFrame, base: Column) -> DataFrame:
 
 
 def step_points(traces: DataFrame, cell: list[str]) -> DataFrame:
-    """One row a step bound: ``traces(..., recall, steps, pool, barren, conflicts, ms)`` of single investigations."""
+    """One row a step bound, a null one too: ``traces(..., recall, steps, pool, barren, conflicts, ms)`` of single
+    investigations; an ``ms`` that is null counts as the longest."""
     mean = traces.groupBy(*cell).agg(
         F.avg("recall").alias("recall"),
         F.avg((F.col("recall") > 0).cast("double")).alias("any"),
@@ -66,7 +67,9 @@ def step_points(traces: DataFrame, cell: list[str]) -> DataFrame:
         F.coalesce(F.try_divide(F.sum("barren"), F.sum("steps")), F.lit(0.0)).alias("barren_fraction"),
         F.avg((F.col("conflicts") > 0).cast("double")).alias("conflict_fraction"),
     )
-    return mean.join(nearest_ranks(traces, cell, "ms", {"p50_ms": 0.5, "p90_ms": 0.9}), cell)
+    times = nearest_ranks(traces, cell, "ms", {"p50_ms": 0.5, "p90_ms": 0.9}, nulls=True)
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}")) for c in cell]
+    return mean.alias("m").join(times.alias("t"), same).select("m.*", "p50_ms", "p90_ms")
 
 
 def rescored(rows: DataFrame, verdicts: DataFrame) -> DataFrame:

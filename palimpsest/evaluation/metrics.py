@@ -15,10 +15,12 @@ def nearest_rank(values: Column | str, q: float) -> Column:
     return F.try_element_at(ordered, F.floor((F.size(ordered) - 1) * F.lit(q) + 0.5).cast("int") + 1)
 
 
-def nearest_ranks(rows: DataFrame, key: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """The same for groups of any size: ranks by window, so no group is gathered in one value."""
+def nearest_ranks(rows: DataFrame, key: list[str], value: str, qs: dict[str, float], nulls: bool = False) -> DataFrame:
+    """The same for groups of any size: ranks by window, so no group is gathered in one value. With ``nulls`` these count
+    too, behind all values."""
     w = Window.partitionBy(*key)
-    ranked = rows.filter(F.col(value).isNotNull()).withColumn("nth", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    kept = rows if nulls else rows.filter(F.col(value).isNotNull())
+    ranked = kept.withColumn("nth", F.row_number().over(w.orderBy(F.asc_nulls_last(value))) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     place = lambda q: F.floor((F.col("n") - 1) * F.lit(q) + 0.5)
     return ranked.groupBy(*key).agg(*[F.max(F.when(F.col("nth") == place(q), F.col(value))).alias(name) for name, q in qs.items()])
 

@@ -12,6 +12,7 @@ from palimpsest.functions.text import ABSTENTION_STARTS, ABSTENTIONS
 from palimpsest.functions.trust import OVERRIDE_CUES, assess_trust
 from palimpsest.operators import ledger
 from palimpsest.operators.applying import apply_in_order
+from palimpsest.operators.checkpoints import cut_lineage
 from palimpsest.plans.applied import _APPLIED, _outcomes
 from palimpsest.plans.common import register, table
 from palimpsest.plans.investigation import _INVESTIGATED, STEPS, _found
@@ -196,14 +197,15 @@ h AS (SELECT query_id, count(*) AS n, count(p.id) AS hits FROM gold LEFT JOIN po
 t AS (SELECT s.query_id % 2 AS max_steps, coalesce(hits / h.n, 0) AS recall, steps, s.n AS pool, barren, conflicts, length(array_to_string(asked, '')) AS ms FROM s{STEPS} s LEFT JOIN h USING (query_id))
 SELECT max_steps, round(avg(recall), 6) AS recall, round(avg((recall > 0)::INT), 6) AS "any", round(avg(steps), 6) AS mean_steps, round(avg(pool), 6) AS mean_pool, round(sum(barren) / sum(steps), 6) AS barren_fraction, round(avg((conflicts > 0)::INT), 6) AS conflict_fraction, {_ms(0.5, 'p50_ms')}, {_ms(0.9, 'p90_ms')} FROM t GROUP BY 1""".replace("count(p.id) AS hits", "count(p.score) AS hits"))
 def step_points(spark, sf):
-    """Investigations of even and of odd items; what one costs is the characters that it searched for."""
-    found, gold = _found(spark, sf), _gold(spark, sf)
+    """Investigations of even and of odd items; what one costs is the characters that it searched for, unknown without a search."""
+    live = _live(spark, sf)
+    found, gold = _found(spark, sf, live), _gold(spark, sf, live)
     hits = gold.join(found.pool.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
     rows = found.trace.join(hits, "query_id", "left").select(
         (F.col("query_id") % 2).alias("max_steps"), F.coalesce("recall", F.lit(0.0)).alias("recall"), "steps", "pool",
-        F.col("barren_steps").alias("barren"), F.col("conflicts_seen").alias("conflicts"), F.char_length(F.array_join("asked", "")).cast("long").alias("ms"),
+        F.col("barren_steps").alias("barren"), F.col("conflicts_seen").alias("conflicts"), F.when(F.exists("asked", lambda q: q.isNotNull()), F.char_length(F.array_join("asked", "")).cast("long")).alias("ms"),
     )
-    points = arms.step_points(rows, ["max_steps"])
+    points = arms.step_points(cut_lineage(rows), ["max_steps"])
     return points.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in points.dtypes])
 
 

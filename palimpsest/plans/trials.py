@@ -28,10 +28,10 @@ def _lists(spark, sf):
     return lexical.unionByName(dense)
 
 
-def _gold(spark, sf):
-    """Records that hold the head of an item word for word."""
+def _gold(spark, sf, live=None):
+    """Records that hold the head of an item word for word; ``live`` are the admissible ones, if they are at hand."""
     needles = _questions(spark, sf).select(F.col("query_id").alias("needle"), F.left("text", F.lit(40)).alias("text"))
-    return contained(needles, _live(spark, sf), fold=lambda t: t).select(F.col("needle").alias("query_id"), "id")
+    return contained(needles, _live(spark, sf) if live is None else live, fold=lambda t: t).select(F.col("needle").alias("query_id"), "id")
 
 
 def _ranked(spark, sf):
